@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import ship_package
 from .decontaminate import decontaminate
+from .lm_score import lm_score
+from .sentencepiece_codec import encode
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -19,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_read(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -29,6 +35,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_read(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -40,7 +50,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_benchmark_decontamination, op5_suffix_array_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
