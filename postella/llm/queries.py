@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import ship_package
 from .decontaminate import decontaminate
+from .html_extract import extract
 from .lm_score import lm_score
+from .quality import assess
 from .sentencepiece_codec import encode
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
@@ -44,13 +46,21 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_html_extraction, op7_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
