@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from .common import ship_package
 from .decontaminate import decontaminate
 from .html_extract import extract
+from .lang_id import identify
 from .lm_score import lm_score
 from .quality import assess
 from .sentencepiece_codec import encode
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import Ledger, changes, count_tokens, shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,13 +57,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts; its retry changes nothing."""
+    ledger = Ledger(spark, f"{shared_folder(spark)}/token_ledger/{uuid.uuid4().hex}")
+    batch = changes(inserted=count_tokens(_read(spark, sf_dir, "documents")))
+    ledger.commit("documents", batch)
+    ledger.commit("documents", batch)
+    return ledger.totals()
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_html_extraction, op7_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_html_extraction, op7_quality_rules, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
