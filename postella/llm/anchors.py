@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from .common import Chunk, NULL_ID, chunks, id_array, in_part, mix, pack, partitions, pick, to_part, unpack
+from .common import Chunk, chunks, in_part, mix, pack, partitions, pick, pick_with_rest, to_part, unpack
 
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PARTS_SQL = "part int, kind int, blob binary"
@@ -292,13 +293,15 @@ def text_mapper(parts: int):
     def run(batches):
         for chunk in chunks(batches, 8 << 20):
             tags, texts = tags_of(chunk), chunk.texts()
-            yield from rows_of(in_part(chunk.ids, parts), TEXTS, lambda i: (chunk.ids[i], tags[i], chunk.null[i], [texts[j] for j in i]))  # noqa: B023
+            rest = chunk.batch.slice(chunk.lo, len(chunk)).select(range(2, chunk.batch.num_columns))
+            yield from rows_of(in_part(chunk.ids, parts), TEXTS, lambda i: (chunk.ids[i], tags[i], chunk.null[i], [texts[j] for j in i], rest.take(pa.array(i)) if rest.num_columns else None))  # noqa: B023
 
     return run
 
 
-def with_ranges(schema: pa.Schema, make: Callable[[np.ndarray, np.ndarray, list[bytes], list[np.ndarray]], list[pa.Array]]):
-    """Texts meet their ranges. make gets ids, null flags, texts and for each an (m, 2) array of window ranges."""
+def with_ranges(names: list[str], make: Callable[[np.ndarray, np.ndarray, list[bytes], list[np.ndarray]], list[pa.Array]]):
+    """Texts meet their ranges. make gets ids, null flags, texts and for each an (m, 2) array of window ranges;
+    its arrays are followed by the columns that came along."""
 
     def run(batches):
         texts, found = [], []
@@ -315,7 +318,7 @@ def with_ranges(schema: pa.Schema, make: Callable[[np.ndarray, np.ndarray, list[
         doc, tag, start, end = merged(doc, tag, start, end - start)
         spans = np.stack([start, end], 1) if len(start) else np.zeros((0, 2), np.int64)
         for blob in texts:
-            ids, tags, null, data = unpack(blob)
+            ids, tags, null, data, rest = unpack(blob)
             size = 0
             lo = 0
             left, right = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
@@ -323,20 +326,25 @@ def with_ranges(schema: pa.Schema, make: Callable[[np.ndarray, np.ndarray, list[
             for i in range(len(ids)):
                 size += len(data[i])
                 if size > 4 << 20 or i == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays(make(ids[lo : i + 1], null[lo : i + 1], data[lo : i + 1], mine[lo : i + 1]), schema=schema)
+                    part = slice(lo, i + 1)
+                    more = rest.slice(lo, i + 1 - lo).columns if rest else []
+                    yield pa.RecordBatch.from_arrays([*make(ids[part], null[part], data[part], mine[part]), *more], names=names)
                     lo, size = i + 1, 0
 
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str, text_col: str, spec: Spec, windows, schema: pa.Schema, schema_sql: str, make) -> DataFrame:
-    """The three steps: runs to their anchors' partitions, ranges and texts to their documents' partitions, results."""
-    rows = pick(docs, k=(id_col, "long"), t=(text_col, "string"))
+def deduplicate(docs: DataFrame, id_col: str, text_col: str, spec: Spec, windows, schema_sql: str, make, carry: bool = False) -> DataFrame:
+    """The three steps: runs to their anchors' partitions, ranges and texts to their documents' partitions, results.
+    carry: all columns of docs come along, named by position."""
+    want = {"k": (id_col, "long"), "t": (text_col, "string")}
+    rows = pick(docs, **want)
+    whole = pick_with_rest(docs, **want)[0] if carry else rows
+    out = StructType.fromDDL(schema_sql)
+    for f in whole.schema.fields[2:]:
+        out.add(f.name, f.dataType)
     n = partitions(rows)
     runs = to_part(n, rows.mapInArrow(run_mapper(spec, n), PARTS_SQL), "part")
     ranges = runs.mapInArrow(resolver(spec, n, windows), PARTS_SQL)
-    texts = rows.mapInArrow(text_mapper(n), PARTS_SQL)
-    return to_part(n, ranges.union(texts), "part").mapInArrow(with_ranges(schema, make), schema_sql)
-
-
-__all__ = ["NULL_ID", "Runs", "Spec", "deduplicate", "grams", "id_array"]
+    texts = whole.mapInArrow(text_mapper(n), PARTS_SQL)
+    return to_part(n, ranges.union(texts), "part").mapInArrow(with_ranges(out.names, make), out)

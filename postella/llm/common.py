@@ -58,6 +58,13 @@ def pick(df: DataFrame, **want: tuple[str, str]) -> DataFrame:
     return plain.select(*[F.col(f"__c{position(names, src)}").cast(kind).alias(dst) for dst, (src, kind) in want.items()])
 
 
+def pick_with_rest(df: DataFrame, **want: tuple[str, str]) -> tuple[DataFrame, list[str]]:
+    """The wanted columns as by `pick`, then all columns of the frame, named by position; and their names."""
+    plain, names = flat(df)
+    first = [F.col(f"__c{position(names, src)}").cast(kind).alias(dst) for dst, (src, kind) in want.items()]
+    return plain.select(*first, *[F.col(c) for c in plain.columns]), names
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size; reads nothing."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

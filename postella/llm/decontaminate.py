@@ -19,8 +19,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from .common import chunks, id_array, pick
+from .common import chunks, id_array, pick, pick_with_rest
 
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -28,7 +29,6 @@ WINDOW = 13
 #: Bytes of item text in one automaton.
 ITEM_BYTES = 1 << 20
 _SPAN = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("words", _SPAN), ("items", pa.list_(pa.string())), ("spans", _SPAN)])
 _SQL = "doc_id long, text string, n_words long, words array<struct<first: long, end: long>>, items array<string>, spans array<struct<first: long, end: long>>"
 #: The automaton that this worker has built last, by the key of its items.
 _built: dict[str, "Automaton"] = {}
@@ -91,7 +91,8 @@ def _scanner(items, at: str, window: int, last: bool):
                 else:
                     places.append([])
             text = pa.nulls(len(chunk), pa.string()) if last else chunk.column(1).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), text, pa.array(total, pa.int64()), _spans(hits), pa.array(names, pa.list_(pa.string())), _spans(places)], schema=_SCHEMA)
+            rest = range(6, chunk.batch.num_columns)
+            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), text, pa.array(total, pa.int64()), _spans(hits), pa.array(names, pa.list_(pa.string())), _spans(places), *map(chunk.column, rest)], names=chunk.batch.schema.names)
 
     return run
 
@@ -125,14 +126,30 @@ def _slices(spark: SparkSession, items: DataFrame, id_col: str, text_col: str):
     yield spark.sparkContext.broadcast(part)
 
 
+def _scan(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """Rows (doc_id, text, more) with n_words, words, items and spans after the text."""
+    rest = rows.columns[2:]
+    span = "array(named_struct('first', 0L, 'end', 0L))"
+    rows = rows.selectExpr("doc_id", "text", "0L n_words", f"slice({span}, 1, 0) words", "slice(array(''), 1, 0) items", f"slice({span}, 1, 0) spans", *rest)
+    out = StructType.fromDDL(_SQL)
+    for f in rows.schema.fields[6:]:
+        out.add(f.name, f.dataType)
+    parts = list(_slices(rows.sparkSession, items, item_id, item_text))
+    for i, part in enumerate(parts):
+        rows = rows.mapInArrow(_scanner(part, uuid.uuid4().hex, window, i == len(parts) - 1), out)
+    n_hit = "aggregate(words, 0L, (n, x) -> n + x.end - x.first)"
+    return rows.selectExpr("doc_id", "n_words", f"{n_hit} n_hit", "cast(size(items) as long) n_items", "items", "words hit_words", "spans hit_spans", *rest).selectExpr("doc_id", "n_words", "n_hit", "n_items", "items", "hit_words", "hit_spans", "n_hit > 0 and 20 * n_hit >= n_words contaminated", *rest)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document its words, the ranges of words inside any occurrence of an item's window, the items that
     occur (sorted), the hit ranges as byte offsets of the original text, and n_hit, n_items, contaminated
     (any hit, and at least one word in twenty)."""
-    rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    rows = rows.selectExpr("doc_id", "text", "0L n_words", "array(named_struct('first', 0L, 'end', 0L)) words", "array('') items", "array(named_struct('first', 0L, 'end', 0L)) spans").selectExpr("doc_id", "text", "n_words", "slice(words, 1, 0) words", "slice(items, 1, 0) items", "slice(spans, 1, 0) spans")
-    parts = list(_slices(docs.sparkSession, items, item_id, item_text))
-    for i, part in enumerate(parts):
-        rows = rows.mapInArrow(_scanner(part, uuid.uuid4().hex, window, i == len(parts) - 1), _SQL)
-    n_hit = "aggregate(words, 0L, (n, x) -> n + x.end - x.first)"
-    return rows.selectExpr("doc_id", "n_words", f"{n_hit} n_hit", "cast(size(items) as long) n_items", "items", "words hit_words", "spans hit_spans").selectExpr("*", "n_hit > 0 and 20 * n_hit >= n_words contaminated")
+    return _scan(pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")), items, item_id, item_text, window)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns as they are, that aren't contaminated; decided row by row, without a join."""
+    rows, names = pick_with_rest(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
+    out = _scan(rows, items, item_id, item_text, window).where("not contaminated")
+    return out.select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)

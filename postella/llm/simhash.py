@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import PARTS_SQL, rows_of
-from .common import checkpoint, chunks, id_array, mix, partitions, pick, to_part, unpack
+from .common import checkpoint, chunks, flat, id_array, mix, partitions, pick, position, to_part, unpack
 from .components import components, local_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -65,9 +65,9 @@ def fingerprints(texts: list[bytes], shingle: int = 4) -> np.ndarray:
 
 
 def _fingerprint(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    names = ["doc_id", "code", "fp"]
     for chunk in chunks(batches, 4 << 20):
-        yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(fingerprints(chunk.texts()).view(np.int64))], schema=schema)
+        yield pa.RecordBatch.from_arrays([id_array(chunk.ids), chunk.column(2).cast(pa.int64()), pa.array(fingerprints(chunk.texts()).view(np.int64))], names=names)
 
 
 def _to_buckets(parts: int):
@@ -162,14 +162,35 @@ def _link(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes[tied].view(np.int64)), pa.array(nodes[root[tied]].view(np.int64))], names=["u", "v"])
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long, component_id): fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
-    rows = pick(docs, k=(id_col, "long"), t=(text_col, "string"))
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, code of the text, fp), and for each fingerprint (fp, root, first): its component's
+    name and the first row of it, the row that has the least id and then the least code."""
+    rows = pick(docs, k=(id_col, "long"), t=(text_col, "string")).select("k", "t", F.xxhash64("t").alias("code"))
     n = partitions(rows, 64 << 20)
-    marked = checkpoint(rows.mapInArrow(_fingerprint, "doc_id long, fp long"))
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    marked = checkpoint(rows.mapInArrow(_fingerprint, "doc_id long, code long, fp long"))
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("least"))
     links = to_part(n, least.select("fp").mapInArrow(_to_buckets(n), PARTS_SQL), "part").mapInArrow(_link, "u long, v long")
     tied = components(links).withColumnRenamed("node", "fp")
     of = least.join(tied, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(of.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked, of
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long, component_id): fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
+    marked, of = _grouped(docs, id_col, text_col)
+    named = of.groupBy("root").agg(F.min("least").alias("first"))
+    return marked.join(of.select("fp", "root").join(named, "root").select("fp", F.col("first.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, of one document of each component: that of the smallest id.
+    Of rows that repeat its id and text one stays."""
+    marked, of = _grouped(docs, id_col, text_col)
+    first = of.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("k"), F.col("first.code").alias("code"))
+    plain, names = flat(docs)
+    rows = plain.withColumns({"__k": F.col(f"__c{position(names, id_col)}").cast("long"), "__code": F.xxhash64(F.col(f"__c{position(names, text_col)}").cast("string"))})
+    kept = rows.join(first.hint("shuffle_hash"), rows["__k"].eqNullSafe(first["k"]) & (rows["__code"] == first["code"]), "left_semi")
+    # repeated rows are looked for by their keys alone, so that texts move again only where there are some
+    if marked.groupBy("doc_id", "code").count().where("count > 1").isEmpty():
+        return kept.drop("__k", "__code").toDF(*names)
+    return kept.dropDuplicates(["__k", "__code"]).drop("__k", "__code").toDF(*names)

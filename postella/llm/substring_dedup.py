@@ -16,9 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .anchors import Runs, Spec, deduplicate, firsts, grams, id_array, later
+from .anchors import Runs, Spec, deduplicate, firsts, grams, later
+from .common import id_array
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
 SQL = "doc_id long, n_words long, n_removed long, spans array<struct<first: long, end: long>>, kept string"
 
 
@@ -80,4 +80,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 1 <= k <= length:
         raise ValueError("k must be from 1 to length")
     spec = Spec(length, k, words=True, across=False)
-    return deduplicate(docs, id_col, text_col, spec, _windows(spec), SCHEMA, SQL, _make(length))
+    return deduplicate(docs, id_col, text_col, spec, _windows(spec), SQL, _make(length))

@@ -18,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .anchors import Runs, Spec, deduplicate, id_array
+from .anchors import Runs, Spec, deduplicate
+from .common import flat, id_array, position
 from .substring_dedup import spans_array
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept binary"
 #: Suffixes of a batch; levels hold about this many times a power of two.
 BATCH = 1 << 16
@@ -107,10 +108,35 @@ def _make(length: int):
     return make
 
 
+def _spec(length: int, k: int) -> Spec:
+    if not 1 <= k <= length:
+        raise ValueError("k must be from 1 to length")
+    return Spec(length, k, words=False, across=True)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16) -> DataFrame:
     """Per document its UTF-8 bytes, the maximal spans covered by strings of `length` bytes that also
     start in a document with a smaller id, and the bytes that stay."""
-    if not 1 <= k <= length:
-        raise ValueError("k must be from 1 to length")
-    spec = Spec(length, k, words=False, across=True)
-    return deduplicate(docs, id_col, text_col, spec, _windows(spec), SCHEMA, SQL, _make(length))
+    spec = _spec(length, k)
+    return deduplicate(docs, id_col, text_col, spec, _windows(spec), SQL, _make(length))
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = 50, k: int = 16) -> DataFrame:
+    """The rows of docs with repeated spans cut out of the text. What is left of a character that was cut
+    in two goes too. chars_col, where there is one, becomes the new length. A document of which nothing but white
+    space is left goes; one from which nothing was cut stays as it is."""
+    spec = _spec(length, k)
+    make = _make(length)
+
+    def cut(ids, null, texts, spans):
+        _, _, removed, _, _, kept = make(ids, null, texts, spans)
+        left = [None if no else x.decode("utf-8", "ignore") for no, x in zip(null, kept.to_pylist(), strict=True)]
+        return [pa.array(left, pa.string()), removed]
+
+    out = deduplicate(docs, id_col, text_col, spec, _windows(spec), "__text string, __removed long", cut, carry=True)
+    _, names = flat(docs)
+    out = out.where("__removed = 0 or __text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    text, n = position(names, text_col), position(names, chars_col) if chars_col in names else -1
+    kinds = dict(out.dtypes)
+    columns = [F.col("__text") if i == text else F.when(F.col("__removed") > 0, F.length("__text").cast(kinds[f"__c{i}"])).otherwise(F.col(f"__c{i}")) if i == n else F.col(f"__c{i}") for i in range(len(names))]
+    return out.select(*[c.alias(f"__o{i}") for i, c in enumerate(columns)]).toDF(*names)
