@@ -22,10 +22,6 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < 10, small).otherwise(series)
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-
-
 def hyper_tail(x: Column, m: Column, u: Column, k: Column) -> Column:
     """P(X > x), X the hits among k draws without return from u cells of which m count; 1 - (1 - tail), so that
     what is below a double's resolution at one is 0. Terms further than 40 deviations from the mean are below the
@@ -35,11 +31,17 @@ def hyper_tail(x: Column, m: Column, u: Column, k: Column) -> Column:
     low = F.greatest(F.lit(0).cast("long"), k - (u - m))
     high = F.least(k, m)
 
+    lf = log_factorial
+    fixed = lf(m) + lf(u - m) + lf(k) + lf(u - k) - lf(u)
+
     def total(first: Column, last: Column) -> Column:
-        def term(i: Column) -> Column:
-            return F.exp(log_choose(m, i) + log_choose(u - m, k - i) - log_choose(u, k))
+        def add(acc: Column, i: Column) -> Column:
+            term = F.exp(acc["fixed"] - lf(i) - lf(m - i) - lf(k - i) - lf(u - m - k + i))
+            return F.struct(acc["fixed"].alias("fixed"), (acc["sum"] + term).alias("sum"))
 
-        return F.when(first > last, F.lit(0.0)).otherwise(F.aggregate(F.sequence(first, F.greatest(first, last)), F.lit(0.0), lambda acc, i: acc + term(i)))
+        start = F.struct(fixed.alias("fixed"), F.lit(0.0).alias("sum"))
+        added = F.aggregate(F.sequence(first, F.greatest(first, last)), start, add, lambda acc: acc["sum"])
+        return F.when(first > last, F.lit(0.0)).otherwise(added)
 
     upper = total(F.greatest(x + 1, low), F.least(high, F.greatest(x, F.floor(mean).cast("long")) + width))
     lower = total(F.greatest(low, F.floor(mean).cast("long") - width), F.least(x, high))

@@ -56,4 +56,4 @@ def test_filters_reach_the_scan(spark, tmp_path):
     a = load(spark, str(tmp_path / "i"))
     plan = boolean.find(a, ["Brand#1", "Brand#2"], ["ASIA"])._jdf.queryExecution().toString()
     scan = plan[plan.index("== Physical Plan") :]
-    assert "PartitionFilters: [dataset" in scan and "PushedFilters: [In(gene" in scan and "value" not in scan[scan.index("ReadSchema") :].split("\n")[0]
+    assert "(dataset" in scan[scan.index("PartitionFilters") :] and "PushedFilters: [In(gene" in scan and "value" not in scan[scan.index("ReadSchema") :].split("\n")[0]
