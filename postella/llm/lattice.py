@@ -83,13 +83,14 @@ class Lattice:
         n = len(units)
         size = np.fromiter(map(len, units), np.int64, n)
         buf = np.frombuffer(b"".join(units), np.uint8)
-        start = np.cumsum(size) - size
-        unit = np.repeat(np.arange(n), size)
-        room = np.repeat(start + size, size) - np.arange(len(buf))  # bytes left in the unit
-        at = np.arange(len(buf))
+        start = (np.cumsum(size) - size).astype(np.int32)
+        size = size.astype(np.int32)
+        unit = np.repeat(np.arange(n, dtype=np.int32), size)
+        at = np.arange(len(buf), dtype=np.int32)
+        room = np.repeat(start + size, size) - at  # bytes left in the unit
         h = np.zeros(len(buf), np.uint64)
         single = np.zeros(len(buf), bool)
-        width = np.where(buf >= 0xF0, 4, np.where(buf >= 0xE0, 3, np.where(buf >= 0xC0, 2, 1)))
+        width = 1 + (buf >= 0xC0).astype(np.int8) + (buf >= 0xE0) + (buf >= 0xF0)
         lead = (buf & 0xC0) != 0x80
         from_, to, piece = [], [], []
         for m, (hashes, ids) in enumerate(pieces.prefixes, 1):
@@ -110,25 +111,30 @@ class Lattice:
         bare = np.flatnonzero(lead & ~single)
         if len(bare):
             w = width[bare]
-            s = np.repeat(bare, w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            s = (np.repeat(bare, w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w, dtype=np.int64) - w, w)).astype(np.int32)
             from_.append(s)
             to.append(s + 1)
             piece.append(pieces.byte[buf[s]])
+        del at, h, room, single, lead
         s, e, p = np.concatenate(from_), np.concatenate(to), np.concatenate(piece)
+        del from_, to, piece
         u = unit[s]
         order = np.argsort(e + u, kind="stable")
-        s, e, p, u = s[order], e[order], p[order], u[order]
-        self.source, self.target, self.piece = s + u, e + u, p.astype(np.int32)
-        self.first, self.last = start + np.arange(n), start + size + np.arange(n)
+        s, e, u = s[order], e[order], u[order]
+        self.source, self.target, self.piece = s + u, e + u, p[order].astype(np.int32)
+        del order, p, s
+        nth = np.arange(n, dtype=np.int32)
+        self.first, self.last = start + nth, start + size + nth
         self.nodes = len(buf) + n
         self.weight = log[self.piece]
         depth = e - start[u]
-        self._by = np.argsort(depth, kind="stable")
-        self._cuts = np.r_[0, np.cumsum(np.bincount(depth, minlength=1))]
+        del e, u
+        by = np.argsort(depth, kind="stable").astype(np.int32)
+        cuts = np.r_[0, np.cumsum(np.bincount(depth, minlength=1))]
         self.alpha = np.full(self.nodes, -np.inf)
         self.alpha[self.first] = 0
-        for d in range(1, len(self._cuts) - 1):
-            k = self._by[self._cuts[d] : self._cuts[d + 1]]
+        for d in range(1, len(cuts) - 1):
+            k = by[cuts[d] : cuts[d + 1]]
             if len(k):
                 self._sum(self.alpha, self.target[k], self.alpha[self.source[k]] + self.weight[k])
         self.log_likelihood = self.alpha[self.last]
@@ -161,11 +167,16 @@ class Lattice:
 
     def sampler(self) -> None:
         """Prepare backward sampling: for each node the running probabilities of the edges into it."""
-        q = np.exp(self.alpha[self.source] + self.weight - self.alpha[self.target])
-        self._ptr = np.searchsorted(self.target, np.arange(self.nodes + 1))
+        self.weight += self.alpha[self.source]
+        self.weight -= self.alpha[self.target]
+        q = np.exp(self.weight)
+        del self.weight
+        self._ptr = np.searchsorted(self.target, np.arange(self.nodes + 1, dtype=np.int32)).astype(np.int32)
         run = np.cumsum(q)
         begin = self._ptr[self.target]
-        self._cum = run - (run[begin] - q[begin])
+        q = run[begin] - q[begin]
+        run -= q
+        self._cum = run
         self._end = self._ptr[1:]
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,8 @@ from .common import chunks, flat, id_array, mix, pick, position
 from .lattice import UNIT, Lattice, Pieces, load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text whose distinct units are held at once.
+CHUNK = 2 << 20
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("lossless", pa.bool_())])
 
 
@@ -38,8 +40,8 @@ def encode_texts(table: Pieces, ids: np.ndarray, texts: list[bytes], seed: int,
     row = mix(ids.astype(np.uint64) ^ mix(np.array([seed], np.uint64)))
     nth = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out, counts = [], []
-    for lo in range(0, len(unit), 1 << 20):
-        part = slice(lo, lo + (1 << 20))
+    for lo in range(0, len(unit), 1 << 18):
+        part = slice(lo, lo + (1 << 18))
         key = mix(np.repeat(row, sizes)[part] + nth[part].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         p, c = lattice.sample(unit[part], key)
         out.append(p)
@@ -57,7 +59,7 @@ def decode_pieces(table: Pieces, pieces: list[int]) -> bytes:
 def _encoder(model: str, seed: int, alpha: float):
     def run(batches):
         table = load(model)
-        for chunk in chunks(batches, 8 << 20):
+        for chunk in chunks(batches, CHUNK):
             texts = chunk.texts()
             pieces, counts = encode_texts(table, chunk.ids, texts, seed, alpha)
             counts[chunk.null] = 0  # the pieces of a null are none
