@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .html_extract import extract
 from .lang_id import identify
 from .lm_score import lm_score
+from .oracle import SQL
 from .quality import assess
 from .sentencepiece_codec import encode
 from .simhash import simhash_components
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1,0 +1,161 @@
+"""Lattices, sampled pieces and scores against enumeration."""
+
+from __future__ import annotations
+
+import math
+import os
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from postella.llm import queries
+from postella.llm.common import mix
+from postella.llm.lattice import Lattice, load
+from postella.llm.lm_score import lm_score
+from postella.llm.sentencepiece_codec import MODEL, decode, decode_pieces, encode, encode_texts
+
+from .conftest import SF, by_id, texts_of
+from .test_simhash import lower
+
+pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary")
+
+
+@pytest.fixture(scope="module")
+def table():
+    return load(MODEL)
+
+
+def segmentations(table, unit):
+    single = set(table.byte.tolist())
+    ids = {r: i for i, r in enumerate(table.raw) if r and i not in single}
+
+    def walk(p):
+        if p == len(unit):
+            yield ()
+            return
+        w = len(unit[p:].decode()[0].encode())
+        for m in range(1, len(unit) - p + 1):
+            if unit[p : p + m] in ids:
+                yield from ((ids[unit[p : p + m]], *rest) for rest in walk(p + m))
+        if unit[p : p + w] not in ids:
+            yield from ((*map(int, table.byte[list(unit[p : p + w])]), *rest) for rest in walk(p + w))
+
+    return list(walk(0))
+
+
+UNITS = [" thonre", " né▁x", "\n", "   ", "A", " 日本", " \U0001f600z"]
+
+
+def test_marginals_and_expectations(table):
+    units = [u.encode() for u in UNITS]
+    lattice = Lattice(table, units)
+    times = np.arange(1.0, len(units) + 1)
+    want = np.zeros(table.size)
+    for i, u in enumerate(units):
+        seg = segmentations(table, u)
+        p = [math.exp(sum(table.log[j] for j in s)) for s in seg]
+        assert lattice.log_likelihood[i] == pytest.approx(math.log(sum(p)))
+        for s, q in zip(seg, p, strict=True):
+            for j in s:
+                want[j] += times[i] * q / sum(p)
+    assert np.allclose(lattice.expected(times, table.size), want)
+
+
+def test_samples_follow_the_posterior(table):
+    unit, n = b" thonre", 40_000
+    flat = table.log * 0.3
+    lattice = Lattice(table, [unit], flat)
+    lattice.sampler()
+    pieces, count = lattice.sample(np.zeros(n, int), mix(np.arange(n, dtype=np.uint64)))
+    ends = np.cumsum(count)
+    got = Counter(tuple(pieces[e - c : e].tolist()) for e, c in zip(ends, count, strict=True))
+    p = {s: math.exp(sum(flat[j] for j in s)) for s in segmentations(table, unit)}
+    assert set(got) <= set(p)
+    assert all(abs(got[s] / n - q / sum(p.values())) < 0.01 for s, q in p.items())
+
+
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=6), st.integers(0, 5))
+@settings(max_examples=50, deadline=None)
+def test_round_trip_of_any_text(texts, seed):
+    table = load(MODEL)
+    raw = [t.encode("utf-8", "ignore") for t in texts]
+    pieces, counts = encode_texts(table, np.arange(len(raw)), raw, seed, 0.5)
+    ends = np.r_[0, np.cumsum(counts)]
+    for i, t in enumerate(raw):
+        mine = pieces[ends[i] : ends[i + 1]]
+        assert decode_pieces(table, mine.tolist()) == t
+        alone, _ = encode_texts(table, np.array([i]), [t], seed, 0.5)
+        assert (alone == mine).all()
+
+
+def test_tricky_pieces(tricky):
+    got, again = (sorted(map(repr, encode(df).collect())) for df in (tricky, tricky.repartition(1)))
+    assert got == again
+    rows = encode(tricky).collect()
+    assert all(r.lossless for r in rows) and sorted(map(str, (r.doc_id for r in rows))) == sorted(str(d) for d, _ in texts_of(tricky))
+    back = by_id([(r.doc_id, r.decoded) for r in decode(encode(tricky)).collect()])
+    assert {k: sorted(map(str, v)) for k, v in back.items()} == {k: sorted(map(str, v)) for k, v in by_id(texts_of(tricky)).items()}
+    null = next(r for r in rows if r.doc_id == 4)
+    assert null.pieces is None and null.n_pieces == 0
+    assert encode(tricky, seed=1).where("doc_id = 14").first().pieces != encode(tricky, seed=2).where("doc_id = 14").first().pieces
+
+
+def brute_scores(rows):
+    out, count, tokens = {}, Counter(), []
+    for d, t in rows:
+        held = d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+        tokens.append((d, held, [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), None]))
+        if not held:
+            count.update(tokens[-1][2])
+    n, v = sum(count.values()), len(count)
+    for d, held, w in tokens:
+        out.setdefault(d, []).append((held, len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n * (v + 1))) for x in w)))
+    return out, count, tokens
+
+
+def test_tricky_scores(tricky):
+    rows = texts_of(tricky)
+    want, _, _ = brute_scores(rows)
+    for r in lm_score(tricky).collect():
+        held, n, known, total, base = want[r.doc_id][0]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert r.base_score == pytest.approx(base) and math.isfinite(r.score)
+
+
+def test_scores_of_the_table(spark, documents, table):
+    want, count, tokens = brute_scores(texts_of(documents))
+    got = {r.doc_id: r for r in queries.op3_lm_scoring(spark, SF).collect()}
+    for d, ((held, n, known, total, base),) in want.items():
+        r = got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total) and r.base_score == pytest.approx(base)
+    # the model itself: adapted pieces, marginals, Witten and Bell
+    words = sorted({w for w in count if w})
+    uses = np.exp(table.log) * 10_000 + Lattice(table, [b" " + w.encode() for w in words]).expected(np.array([float(count[w]) for w in words]), table.size)
+    every = sorted({w for _, _, ws in tokens for w in ws if w})
+    with np.errstate(divide="ignore"):
+        lat = dict(zip(every, Lattice(table, [b" " + w.encode() for w in every], np.log(uses / uses.sum())).log_likelihood, strict=True))
+    n, v = sum(count.values()), len(count)
+    for d, _, ws in tokens[:60]:
+        s = sum(math.log10((count[w] + v * (0.999 * math.exp(lat[w]) if w else 0.001)) / (n + v)) for w in ws)
+        assert got[d].score == pytest.approx(s, rel=1e-5)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_word_probabilities_sum_to_one_at_most(table):
+    """Over all words of up to two letters of a small alphabet."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b for a in letters for b in ["", *letters]]
+    assert 0 < np.exp(Lattice(table, [b" " + w.encode() for w in words]).log_likelihood).sum() < 1
+
+
+def test_empty(empty, spark):
+    assert encode(empty).count() == 0 and lm_score(empty).count() == 0
+    only_held = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
+    r = lm_score(only_held).first()
+    assert r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) and math.isfinite(r.base_score)
