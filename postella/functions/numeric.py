@@ -14,39 +14,29 @@ ERF_P = 0.3275911
 WINITZKI = 0.147
 
 
-def log_factorial(n: Column) -> Column:
-    """ln(n!): Stirling's series from 10 on, where it is exact to doubles; a table below. No lookup join is needed."""
-    x = F.greatest(n.cast("double"), F.lit(10.0))
-    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    small = F.element_at(F.array(*[F.lit(v) for v in SMALL]), (F.least(F.greatest(n, F.lit(0)), F.lit(9)) + 1).cast("int"))
-    return F.when(n < 10, small).otherwise(series)
-
-
-def hyper_tail(x: Column, m: Column, u: Column, k: Column) -> Column:
-    """P(X > x), X the hits among k draws without return from u cells of which m count; 1 - (1 - tail), so that
-    what is below a double's resolution at one is 0. Terms further than 40 deviations from the mean are below the
-    smallest double; the sum leaves them out, so its length grows with the root of k at most."""
-    mean = k * m / u
-    width = F.ceil(40 * F.sqrt(F.greatest(mean * (1 - m / u), F.lit(1.0)))).cast("long") + 50
-    low = F.greatest(F.lit(0).cast("long"), k - (u - m))
-    high = F.least(k, m)
-
-    lf = log_factorial
-    fixed = lf(m) + lf(u - m) + lf(k) + lf(u - k) - lf(u)
-
-    def total(first: Column, last: Column) -> Column:
-        def add(acc: Column, i: Column) -> Column:
-            term = F.exp(acc["fixed"] - lf(i) - lf(m - i) - lf(k - i) - lf(u - m - k + i))
-            return F.struct(acc["fixed"].alias("fixed"), (acc["sum"] + term).alias("sum"))
-
-        start = F.struct(fixed.alias("fixed"), F.lit(0.0).alias("sum"))
-        added = F.aggregate(F.sequence(first, F.greatest(first, last)), start, add, lambda acc: acc["sum"])
-        return F.when(first > last, F.lit(0.0)).otherwise(added)
-
-    upper = total(F.greatest(x + 1, low), F.least(high, F.greatest(x, F.floor(mean).cast("long")) + width))
-    lower = total(F.greatest(low, F.floor(mean).cast("long") - width), F.least(x, high))
-    tail = F.when(x >= mean, 1 - (1 - upper)).otherwise(1 - lower)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))
+def log_factorials(*n: str) -> str:
+    """SQL of the sum of ln(n!): Stirling's series from 10 on, where it is exact to doubles; a table below. No
+    lookup join is needed, and the series stands in the plan once for all n."""
+    small = ", ".join(f"{v!r}D" for v in SMALL)
+    d = "cast(n as double)"
+    series = f"{d} * ln({d}) - {d} + 0.5D * ln({2 * math.pi!r}D * {d}) + 1 / (12 * {d}) - 1 / (360 * {d} * {d} * {d}) + 1 / (1260 * {d} * {d} * {d} * {d} * {d})"
+    one = f"case when n < 10 then element_at(array({small}), cast(n as int) + 1) else {series} end"
+    return f"aggregate(array({', '.join(f'cast({x} as bigint)' for x in n)}), 0D, (a, n) -> a + {one})"
+
+
+def with_hyper_tail(df: DataFrame, x: str, m: str, u: str, k: str, out: str) -> DataFrame:
+    """Add P(X > x), X the hits among k draws without return from u cells of which m count; 1 - (1 - tail), so
+    that what is below a double's resolution at one is 0. Terms further than 40 deviations from the mean are below
+    the smallest double; the sum leaves them out, so its length grows with the root of k at most."""
+    df = df.selectExpr("*", f"{k} * {m} / {u} __mean", f"greatest(0L, {k} - ({u} - {m})) __low", f"least({k}, {m}) __high")
+    df = df.selectExpr("*", f"cast(ceil(40 * sqrt(greatest(__mean * (1 - {m} / {u}), 1D))) as bigint) + 50 __width", f"{log_factorials(m, f'{u} - {m}', k, f'{u} - {k}')} - {log_factorials(u)} __fixed")
+    # the shorter side of the sum
+    above = f"{x} >= __mean"
+    df = df.selectExpr("*", f"if({above}, greatest({x} + 1, __low), greatest(__low, cast(floor(__mean) as bigint) - __width)) __first", f"if({above}, least(__high, {x} + __width), least({x}, __high)) __last")
+    term = f"exp(__fixed - {log_factorials('i', f'{m} - i', f'{k} - i', f'{u} - {m} - {k} + i')})"
+    df = df.selectExpr("*", f"if(__first > __last, 0D, aggregate(sequence(__first, greatest(__first, __last)), 0D, (s, i) -> s + {term})) __sum")
+    tail = f"greatest(0D, least(1D, if({above}, 1 - (1 - __sum), 1 - __sum)))"
+    return df.selectExpr("*", f"{tail} {out}").drop("__mean", "__low", "__high", "__width", "__fixed", "__first", "__last", "__sum")
 
 
 def holm(df: DataFrame, p: str, n: Column, by: list[str] = (), out: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import holm, hyper_tail
+from ..functions.numeric import holm, with_hyper_tail
 from ..plans.atlas import Atlas
 from .boolean import find
 from .lookup import scoped
@@ -20,7 +20,7 @@ def enrich(atlas: Atlas, hits: DataFrame, datasets: list[str] | None = None) ->
     n = types.agg(F.count("*").alias("__n"))
     every = Window.partitionBy()
     rows = per.join(types, "cell_type").withColumns({"__k": F.sum("cell_hits").over(every), "__u": F.sum("total_cells").over(every)})
-    rows = rows.withColumn("pval", hyper_tail(F.col("cell_hits"), F.col("total_cells"), F.col("__u"), F.col("__k"))).join(F.broadcast(n))
+    rows = with_hyper_tail(rows, "cell_hits", "total_cells", "__u", "__k", "pval").join(F.broadcast(n))
     return holm(rows, "pval", F.col("__n")).select("cell_type", "cell_hits", "total_cells", "pval")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import holm, hyper_tail
+from ..functions.numeric import holm, with_hyper_tail
 from ..plans.atlas import Atlas
 from .lookup import resolve_genes, scoped
 from .markers import score
@@ -69,7 +69,7 @@ def signature(atlas: Atlas, cell_types: list[str], max_genes: int = 1000, min_ce
     rows = hits.join(atlas.cell_types.select("cell_type", F.col("total_cells").alias("m")), "cell_type")
     step = Window.partitionBy("target", "position")
     rows = rows.withColumns({"k": F.sum("x").over(step), "u": F.sum("m").over(step)})
-    rows = rows.withColumn("p", hyper_tail(F.col("x"), F.col("m"), F.col("u"), F.col("k")))
+    rows = with_hyper_tail(rows, "x", "m", "u", "k", "p")
     n = atlas.cell_types.agg(F.count("*").alias("__n"))
     rows = holm(rows.join(F.broadcast(n)), "p", F.col("__n"), ["target", "position"])
     own = rows.where(F.col("cell_type") == F.col("target")).select("target", "position", "x", "m", "p")
