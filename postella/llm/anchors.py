@@ -30,8 +30,10 @@ PARTS_SQL = "part int, kind int, blob binary"
 RUNS, RANGES, TEXTS = 0, 1, 2
 #: Tokens handled at once by the numpy passes.
 STEP = 1 << 20
+#: Windows of a resolver's slice.
+WINDOWS = 1 << 20
 #: Bytes of run content that a task gathers before it sends.
-FLUSH = 40 << 20
+FLUSH = 28 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 
@@ -171,6 +173,37 @@ def range_rows(doc, tag, start, n, parts: int) -> Iterator[pa.RecordBatch]:
     yield from rows_of(in_part(doc, parts), RANGES, lambda i: (doc[i], tag[i], start[i].astype(np.int64), end[i].astype(np.int64)))
 
 
+def _planes(x: np.ndarray) -> list[bytes]:
+    """The bytes of small integers, lowest first; planes of zeros at the end are left out, and the others compress well."""
+    x = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    used = np.flatnonzero(x.any(axis=0))
+    return [x[:, j].tobytes() for j in range(int(used[-1]) + 1 if len(used) else 1)]
+
+
+def _joined(planes: list[bytes]) -> np.ndarray:
+    out = np.zeros(len(planes[0]), np.int64)
+    for j, p in enumerate(planes):
+        out |= np.frombuffer(p, np.uint8).astype(np.int64) << (8 * j)
+    return out
+
+
+def _packed(doc, tag, first, n, off, size, content: bytes, spec: Spec) -> tuple:
+    """Runs in the order of (document, position), each document once; a run of bytes has its size from its windows."""
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
+    at = np.flatnonzero(new)
+    return doc[at], tag[at], _planes(new[1:]), _planes(first), _planes(n), _planes(off), _planes(size) if spec.words else None, content
+
+
+def _unpacked(got: tuple, spec: Spec) -> tuple:
+    doc, tag, new, first, n, off, size, content = got
+    first = _joined(first)
+    i = np.zeros(len(first), np.int64)
+    if len(first) > 1:
+        np.cumsum(_joined(new), out=i[1:])
+    n = _joined(n)
+    return doc[i], tag[i], first, n, _joined(off), _joined(size) if spec.words else n + spec.length - 1, content
+
+
 def run_mapper(spec: Spec, parts: int):
     """From documents (id, text): their runs, less those that the task has met earlier; of those the ranges."""
 
@@ -183,7 +216,7 @@ def run_mapper(spec: Spec, parts: int):
         gone = later(doc, first, doc[f], first[f], spec.across)
         yield from range_rows(doc[gone], tag[gone], first[gone], n[gone], parts)
         rest = order[~gone[order]]
-        yield from rows_of((mix(anchor[rest]) % np.uint64(parts)).astype(np.int64), RUNS, lambda i: (doc[rest[i]], tag[rest[i]], first[rest[i]].astype(np.int32) if first[rest[i]].max() < 1 << 31 else first[rest[i]], n[rest[i]].astype(np.int32), off[rest[i]].astype(np.int32), size[rest[i]].astype(np.int32), b"".join([content[j] for j in rest[i]])))
+        yield from rows_of((mix(anchor[rest]) % np.uint64(parts)).astype(np.int64), RUNS, lambda i: _packed(doc[rest[i]], tag[rest[i]], first[rest[i]], n[rest[i]], off[rest[i]], size[rest[i]], b"".join([content[j] for j in rest[i]]), spec))
 
     def run(batches):
         gathered, held = [], 0
@@ -219,18 +252,20 @@ class Runs:
     """All runs of one partition."""
 
     def __init__(self, blobs: list[bytes], spec: Spec):
-        got = [unpack(b) for b in blobs]
+        got, contents = [], []
+        for b in blobs:
+            *numbers, content = _unpacked(unpack(b), spec)
+            got.append(numbers)
+            contents.append(content)
         blobs.clear()
-        self.doc, self.tag, self.first, self.n, self.off, self.size = (np.concatenate([np.asarray(g[i]) for g in got]) for i in range(6))
-        self.first = self.first.astype(np.int64)
-        self.n = self.n.astype(np.int64)
-        self.buf = b"".join(g[6] for g in got)
-        self.lo = np.r_[0, np.cumsum(self.size.astype(np.int64))]
-        self.spec = spec
+        self.buf = b"".join(contents)
+        contents.clear()
+        self.doc, self.tag, self.first, self.n, self.off, size = (np.concatenate([g[i] for g in got]) for i in range(6))
+        self.lo = np.r_[0, np.cumsum(size)]
 
-    def content(self, i) -> list[bytes]:
-        lo = self.lo
-        return [self.buf[a:b] for a, b in zip(lo[i].tolist(), lo[i + 1].tolist(), strict=True)]
+    def content(self, i) -> Iterator[bytes]:
+        buf = self.buf
+        return (buf[a:b] for a, b in zip(self.lo[i].tolist(), self.lo[i + 1].tolist(), strict=True))
 
 
 def resolver(spec: Spec, parts: int, windows: Callable[[Runs, np.ndarray], np.ndarray]):
@@ -254,27 +289,58 @@ def resolver(spec: Spec, parts: int, windows: Callable[[Runs, np.ndarray], np.nd
         gone = later(doc, first, doc[f], first[f], spec.across)
         g = order[gone]
         yield from range_rows(r.doc[g], r.tag[g], r.first[g], r.n[g], parts)
-        size = _anchor_size(r, spec)
-        lo = r.lo[order] + r.off[order]
-        hi = lo + size[order] if size is not None else None
-        anchor = np.fromiter((xxhash.xxh3_64_intdigest(r.buf[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(order))
-        reps = np.flatnonzero(f == np.arange(len(f)))
-        values, counts = np.unique(anchor[reps], return_counts=True)
-        shared = values[counts > 1]
-        open_ = np.flatnonzero(~gone & np.isin(anchor, shared))
-        if not len(open_):
-            return
-        i = order[open_]
-        bad = windows(r, i)
-        n = r.n[i]
-        at = np.flatnonzero(bad)
-        which = np.repeat(np.arange(len(i)), n)[at]
-        pos = (np.arange(len(bad)) - np.repeat(np.cumsum(n) - n, n))[at] + r.first[i][which]
-        yield from range_rows(r.doc[i][which], r.tag[i][which], pos, np.ones(len(pos), np.int64), parts)
+        open_ = _differing(r, order, ~gone, f == np.arange(len(f)), spec)
+        found = []
+        for slice_ in open_:  # of whole groups of anchors
+            i = order[slice_]
+            bad = windows(r, i)
+            n = r.n[i]
+            at = np.flatnonzero(bad)
+            which = i[np.repeat(np.arange(len(i)), n)[at]]
+            nth = (np.arange(len(bad)) - np.repeat(np.cumsum(n) - n, n))[at]
+            found.append((r.doc[which], r.tag[which], r.first[which] + nth, np.ones(len(at), np.int64)))
+        if found:
+            yield from range_rows(*map(np.concatenate, zip(*found, strict=True)), parts)
 
     return run
 
 
+def _hashes(buf: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(buf[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
+
+
+def _shared(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """Whether runs of different content have the key; rep marks one run of each content."""
+    values, counts = np.unique(key[rep], return_counts=True)
+    return np.isin(key, values[counts > 1])
+
+
+def _differing(r: Runs, order: np.ndarray, alive: np.ndarray, rep: np.ndarray, spec: Spec) -> Iterator[np.ndarray]:
+    """Positions in order of the runs to open: they share an anchor with a run of other content, and, where tokens are
+    bytes, one of its halves: a window reaches at least half of what it has beside its anchor to one
+    side, so runs that differ on both sides within that share no window. In slices of about WINDOWS windows."""
+    size = _anchor_size(r, spec)[order]
+    lo = r.lo[order] + r.off[order]
+    hi = lo + size
+    anchor = _hashes(r.buf, lo, hi)
+    at = np.flatnonzero(_shared(anchor, rep))
+    if not spec.words and len(at):
+        half = (spec.length - spec.k + 1) // 2
+        part = np.zeros(len(at), bool)
+        left = np.flatnonzero(lo[at] - half >= r.lo[order[at]])
+        part[left] |= _shared(_hashes(r.buf, lo[at[left]] - half, hi[at[left]]), rep[at[left]])
+        right = np.flatnonzero(hi[at] + half <= r.lo[order[at] + 1])
+        part[right] |= _shared(_hashes(r.buf, lo[at[right]], hi[at[right]] + half), rep[at[right]])
+        at = at[part]
+    at = at[alive[at]]
+    slices = int(r.n[order[at]].sum()) // WINDOWS + 1
+    which = mix(anchor[at]) % np.uint64(slices)
+    for s in range(slices):
+        mine = at[which == s]
+        if len(mine):
+            yield mine
+
+
 def _anchor_size(r: Runs, spec: Spec) -> np.ndarray:
     """Bytes of each run's anchor."""
     if not spec.words:
@@ -343,7 +409,7 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, spec: Spec, windows
     out = StructType.fromDDL(schema_sql)
     for f in whole.schema.fields[2:]:
         out.add(f.name, f.dataType)
-    n = partitions(rows)
+    n = partitions(rows, 6 << 20)
     runs = to_part(n, rows.mapInArrow(run_mapper(spec, n), PARTS_SQL), "part")
     ranges = runs.mapInArrow(resolver(spec, n, windows), PARTS_SQL)
     texts = whole.mapInArrow(text_mapper(n), PARTS_SQL)

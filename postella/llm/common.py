@@ -66,14 +66,19 @@ def pick_with_rest(df: DataFrame, **want: tuple[str, str]) -> tuple[DataFrame, l
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size; reads nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files and tables that the frame reads, as Catalyst knows them; a frame over something of
+    unknown size is measured by the length of its strings."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if total < 1 << 60:
+        return total
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(8))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
 def partitions(df: DataFrame, target_bytes: int = 16 << 20) -> int:
     """Shuffle partitions: the session's number, or more where the input asks for more."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(plan_bytes(df) / target_bytes)))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(plan_bytes(df) / target_bytes))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -114,14 +114,14 @@ def _spec(length: int, k: int) -> Spec:
     return Spec(length, k, words=False, across=True)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 12) -> DataFrame:
     """Per document its UTF-8 bytes, the maximal spans covered by strings of `length` bytes that also
     start in a document with a smaller id, and the bytes that stay."""
     spec = _spec(length, k)
     return deduplicate(docs, id_col, text_col, spec, _windows(spec), SQL, _make(length))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = 50, k: int = 16) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = 50, k: int = 12) -> DataFrame:
     """The rows of docs with repeated spans cut out of the text. What is left of a character that was cut
     in two goes too. chars_col, where there is one, becomes the new length. A document of which nothing but white
     space is left goes; one from which nothing was cut stays as it is."""
