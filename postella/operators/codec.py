@@ -30,9 +30,9 @@ def cell_type_expression(atlas: Atlas, cell_type: str, quantised: bool = False)
     if quantised:
         one = Atlas(e, atlas.cells, atlas.cell_types, atlas.qb)
         e = dequantise(quantise(one), atlas.qb).select("gene", "cell_id", F.col("decoded").alias("value"))
-    # rows of the matrix: each gene with the array of the type's cells, which is what the result holds anyway
-    ids = atlas.cells.where(F.col("cell_type") == cell_type).agg(F.collect_list("cell_id").alias("ids"))
-    full = e.select("gene").distinct().join(F.broadcast(ids)).select("gene", F.explode("ids").alias("cell_id"))
+    # the names of the type's genes, as many as the vocabulary has at most, go to where its cells are
+    names = e.select("gene").distinct().agg(F.collect_list("gene").alias("genes"))
+    full = atlas.cells.where(F.col("cell_type") == cell_type).select("cell_id").join(F.broadcast(names)).select("cell_id", F.explode("genes").alias("gene"))
     return full.join(e.select("gene", "cell_id", "value"), ["gene", "cell_id"], "left").select("gene", "cell_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 

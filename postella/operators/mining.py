@@ -58,10 +58,9 @@ def frequent_sets(atlas: Atlas, genes: list[str], datasets: list[str] | None = N
     else:
         from pyspark.ml.fpm import FPGrowth
 
-        t = transactions(atlas, genes, datasets).where(F.size("items") > 1).select("items").persist()
+        t = transactions(atlas, genes, datasets).where(F.size("items") > 1).select("items")
         n = t.count()
         if not n:
-            t.unpersist()
             return atlas.spark.createDataFrame([], "query string, items array<string>, n_cells long")
         model = FPGrowth(itemsCol="items", minSupport=min(1.0, (cutoff - 0.5) / n)).fit(t)
         found = model.freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("items"), F.col("freq").alias("n_cells"))
