@@ -237,7 +237,7 @@ def run_mapper(spec: Spec, parts: int):
             content = [buf[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
             code = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(content))
             anchor = np.fromiter((xxhash.xxh3_64_intdigest(buf[i:j]) for i, j in zip(alo.tolist(), ahi.tolist(), strict=True)), np.uint64, len(content))
-            gathered.append((chunk.ids[d], tags[d], first - offs[d], n, alo - lo, hi - lo, code, anchor, content, ahi - alo))
+            gathered.append((chunk.ids[d], tags[d], first - offs[d], n, alo - lo, hi - lo, code, anchor, content))
             held += int((hi - lo).sum()) + 120 * len(content)
             if held > FLUSH:
                 yield from send(gathered)
