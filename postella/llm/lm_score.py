@@ -204,14 +204,14 @@ def _scorer(n: int, v: int, ends: int):
             for i, counts, marginal in answers.get(key, []):
                 c[i], lat[i] = counts, marginal
             with np.errstate(divide="ignore"):
-                p_base = np.log10(c + 1) - np.log10(float(max(n, 1)) * (v + 1))
+                p_base = np.log10(c + 1) - np.log10(n + v + 1.0)
                 p = np.log10(c + weight * (1 - END) * np.exp(np.maximum(lat, -700))) - np.log10(n + weight)
                 # beyond the range of doubles, in logarithms
                 tiny = (c == 0) & (lat < -700)
                 p[tiny] = np.log10(weight * (1 - END)) + lat[tiny] / np.log(10) - np.log10(n + weight)
             doc = np.repeat(np.arange(len(ids)), sizes)
             add = lambda x: np.bincount(doc, x[every], len(ids)) if len(every) else np.zeros(len(ids))  # noqa: B023, E731
-            base = add(p_base) + np.log10(ends + 1) - np.log10(float(max(n, 1)) * (v + 1))
+            base = add(p_base) + np.log10(ends + 1) - np.log10(n + v + 1.0)
             score = add(p) + np.log10(ends + weight * END) - np.log10(n + weight)
             known = add((c > 0).astype(float)).astype(np.int64) + (ends > 0)
             lattice = add(lat / np.log(10) + np.log10(1 - END)) + np.log10(END)
@@ -235,7 +235,7 @@ def _ends(blob_rows: DataFrame) -> DataFrame:
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, folds: int = 7, fold: int = 2) -> DataFrame:
     """Per document: whether crc32(id as text) % folds == fold (held out, not learned from), tokens, known
-    tokens, training tokens, an add-one unigram score as base, the model's score, and the lattice's alone (all log10)."""
+    tokens, training tokens, an add-one unigram score over N + V + 1 as base, the model's score, and the lattice's alone (all log10)."""
     rows = pick(docs, k=(id_col, "long"), t=(text_col, "string"))
     n = partitions(rows)
     counts = checkpoint(to_part(n, rows.mapInArrow(_counter(n, folds, fold), PARTS_SQL), "part").mapInArrow(_summed, "part int, kind int, blob binary, tokens long, distinct long"))
