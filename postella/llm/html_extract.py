@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped first: comments, scripts, styles and other containers that hold no running text
-(menus, page headers and footers, asides, forms, dialogs, and what class, id or role name as such) leave
-empty lines; each block becomes a line. Text lengths, less the text of links, are summed over sliding
-windows of lines. A run of windows with text begins at a surge and ends at a dive, where the next
-windows are empty; text between them is kept if the run's highest window stands out on its page.
-Where the page marks its article, only its lines have lengths, and every run in it is kept.
+(menus, page headers and footers, asides, forms, dialogs, and what a whole class, id or role name says is such).
+Each block that has text becomes a line; tags alone make none. Text lengths, less the text of links, are summed over
+sliding windows of lines. A run of windows with text begins at a surge and ends at a dive, where the next windows are
+empty; it is kept, with short and link-heavy lines inside, if its highest window stands out on its page.
+The main container is the deepest that holds nearly all text of those runs: from its first to its last line of running
+text all is kept; of lines outside it that don't stand out only headings, paragraphs, items and cells are.
+Where the page marks an article that holds most of the running text, its lines are the text.
 
 Rows: one per page row. A null or empty html has the empty text. Broken markup (open tags, a cut end) is read
 as far as it goes. Nothing is capped. Other columns don't matter.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +42,24 @@ _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 WINDOW = 3
 #: A run of lines stands out if one of its windows has this many characters, or this part of the page's most.
 SURGE, SHARE = 80, 0.5
+#: Letters and digits outside links that make a line prose although most of it is links.
+PROSE = 10
+#: The main container holds this part of the text that stands out.
+MOST = 0.9
+_HOLDS = frozenset("div section article main td center".split())
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre caption figcaption".split())
+
+
+class Line(NamedTuple):
+    """A block's text, characters of it in links, letters and digits outside them, whether it stands in a marked
+    article, the container it is in, and the block's name."""
+
+    text: str
+    links: int
+    plain: int
+    inside: bool
+    home: int
+    block: str
 
 
 def _named_away(name: str, attrs: str) -> bool:
@@ -52,35 +73,42 @@ def _named_away(name: str, attrs: str) -> bool:
         if key == "role":
             if value in _ROLES:
                 return True
-        elif key in ("class", "id") and not _NAMES.isdisjoint(_SPLIT.split(value)):
+        elif key in ("class", "id") and any(n in _NAMES or _NAMES.issuperset(_SPLIT.split(n)) for n in value.split()):
             return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """Blocks in page order: text, characters of it in links, and whether it stands in a marked article.
-    Blocks that are stripped are empty."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> tuple[list[Line], list[int], list[int]]:
+    """Blocks with text in page order; and of each container, in page order too, its parent and the last one within it.
+    Container 0 is the page."""
+    out: list[Line] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements: name, stripped
-    state = {"links": 0, "away": 0, "article": 0, "a": 0}
+    homes, parent, last = [0], [0], [0]
+    state = {"links": 0, "plain": 0, "away": 0, "article": 0, "a": 0}
 
     def flush() -> None:
         line = " ".join(unescape("".join(text)).split())
-        out.append((line, state["links"], state["article"] > 0))
+        if line:
+            block = next((name for name, _ in reversed(stack) if name in _BLOCK), "")
+            out.append(Line(line, state["links"], state["plain"], state["article"] > 0, homes[-1], block))
         text.clear()
-        state["links"] = 0
+        state["links"] = state["plain"] = 0
 
     def put(raw: str) -> None:
         if raw and not state["away"]:
             text.append(raw)
             if state["a"]:
                 state["links"] += len(" ".join(unescape(raw).split()))
+            else:
+                state["plain"] += sum(map(str.isalnum, unescape(raw)))
 
     def pop(to: int) -> None:
         while len(stack) > to:
             name, away = stack.pop()
             state["away"] -= away
+            if name in _HOLDS:
+                last[homes.pop()] = len(parent) - 1
             if name in ("article", "main"):
                 state["article"] -= 1
             elif name == "a":
@@ -123,34 +151,80 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         away = name in _SKIP or name == "header" and not state["article"] or _named_away(name, m[3])
         stack.append((name, away))
         state["away"] += away
+        if name in _HOLDS:
+            parent.append(homes[-1])
+            last.append(0)
+            homes.append(len(parent) - 1)
         if name in ("article", "main"):
             state["article"] += 1
         elif name == "a":
             state["a"] += 1
     flush()
+    pop(0)
+    last[0] = len(parent) - 1
+    return out, parent, last
+
+
+def _runs(at: list[int], gap: int) -> list[tuple[int, int]]:
+    """First and last of the positions (ascending) that are at most gap apart."""
+    out: list[tuple[int, int]] = []
+    for i in at:
+        if out and i - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], i)
+        else:
+            out.append((i, i))
     return out
 
 
 def main_text(html: str) -> str:
     """The page's article, its blocks joined by line breaks."""
-    lines = lines_of(html)
-    marked = any(inside and line for line, _, inside in lines)
-    size = [0 if marked and not inside else len(line) if marked else max(0, len(line) - 2 * links) for line, links, inside in lines]
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    top = max(sums, default=0)
-    kept: list[str] = []
-    i = 0
-    while i < len(size):
-        if not sums[i]:
-            i += 1
-            continue
-        j = i  # the surge; the dive is where the windows are empty again
-        while j < len(size) and sums[j]:
-            j += 1
-        if marked or max(sums[i:j]) >= min(SURGE, top * SHARE) or max(sums[i:j]) == top:
-            kept += [line for (line, _, _), n in zip(lines[i:j], size[i:j], strict=True) if n]
-        i = j
-    return "\n".join(kept)
+    lines, parent, last = lines_of(html)
+    size = [max(0, len(x.text) - 2 * x.links) for x in lines]
+    marked = [i for i, x in enumerate(lines) if x.inside]
+    if marked and 2 * sum(size[i] for i in marked) >= sum(size):
+        return "\n".join(lines[i].text for i in marked)
+    prose = [x.plain >= PROSE for x in lines]
+    if not any(size):  # links everywhere
+        size = [x.plain if p else 0 for x, p in zip(lines, prose, strict=True)]
+    top = max((sum(size[i : i + WINDOW]) for i in range(len(size))), default=0)
+
+    def stands_out(lo: int, hi: int) -> bool:
+        high = max(sum(size[i : min(i + WINDOW, hi + 1)]) for i in range(lo, hi + 1))
+        return high >= min(SURGE, top * SHARE)
+
+    # a dive is a window without text, so at least as many lines
+    runs = [r for r in _runs([i for i, n in enumerate(size) if n], WINDOW) if stands_out(*r)]
+    weight = [0] * len(parent)
+    for lo, hi in runs:
+        for i in range(lo, hi + 1):
+            weight[lines[i].home] += size[i]
+    total = sum(weight)
+    for c in range(len(parent) - 1, 0, -1):
+        weight[parent[c]] += weight[c]
+    main = max((c for c, w in enumerate(weight) if w >= MOST * total), default=0)
+    within = [main <= x.home <= last[main] for x in lines]
+    keep = [False] * len(lines)
+    for lo, hi in runs:
+        out = _runs([i for i in range(lo, hi + 1) if not within[i]], 1)
+        for i in range(lo, hi + 1):
+            keep[i] = True
+        for a, b in out:
+            if not stands_out(a, b):
+                for i in range(a, b + 1):
+                    keep[i] = lines[i].block in _TEXTUAL and (size[i] > 0 or prose[i])
+    if main:
+        mine = [i for i, here in enumerate(within) if here]
+        sized = [i for i in mine if size[i]]
+        for i in mine:
+            keep[i] = sized[0] <= i <= sized[-1] or prose[i]
+    for lo, hi in runs:  # link-heavy prose beside a run
+        while lo and prose[lo - 1] and not size[lo - 1]:
+            lo -= 1
+            keep[lo] = True
+        while hi + 1 < len(lines) and prose[hi + 1] and not size[hi + 1]:
+            hi += 1
+            keep[hi] = True
+    return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def _extract(batches):
