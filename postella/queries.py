@@ -18,6 +18,7 @@ from .functions.numeric import ERF, ERF_P, WINITZKI
 from .operators import boolean, codec, display, enrichment, intervals, lookup, markers, mining, similarity, specificity
 from .plans.atlas import Atlas, merge
 from .sources import tables
+from .sources.shared import shared_folder
 
 _atlases: dict[tuple[str, str, str], Atlas] = {}
 
@@ -408,7 +409,7 @@ def merge_datasets(a):
 
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/atlas/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/atlas/{uuid.uuid4().hex}"
     tables.save(atlas(spark, sf_dir), path)
     return tables.load(spark, path).expression
 
