@@ -5,19 +5,24 @@ a delete, minus the old and plus the new for a revision. A batch of changes is s
 language and tokenizer version before anything moves, so a hot source is one row per task, and the
 sums are committed to a ledger. Totals are the sum of what is committed: additive, in any order.
 
-A commit is idempotent: its data are written aside, then one marker file named after the batch is
-created, which fails if it exists; only data named by markers count. A retry of a batch, or two writers of the
-same batch, count once. `compact` folds committed batches into a snapshot; their markers stay.
+A commit is idempotent: its data are written aside, then a marker that names them is written aside and renamed to
+the name of the batch, which fails if that exists; only data named by markers count. A crash before the rename leaves
+nothing that counts, and the retry does it all. A retry of a batch, or two writers of one batch, count once.
+`compact` folds what one listing of the markers shows into a snapshot: the totals, and a table of the batches folded
+so far. Their markers go afterwards; a marker whose batch the snapshot has doesn't count. So neither the
+listing nor what the driver holds grows with the batches ever committed, only with those since the last snapshot.
 
 Rows: totals have one row for each source, language and tokenizer whose counts aren't all zero; null source
-and language are groups of their own. A null text counts as a document without tokens. Repeated
-rows count as often as they stand. Other columns don't matter.
+and language are groups of their own. A null or empty text counts as a document without tokens. Repeated rows, ties
+among them, count as often as they stand; a very long text is tokenised whole. An empty table gives no rows, and an
+empty batch is committed like any other. Columns are taken by name, the first of those that clash; others don't matter.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import urllib.parse
 import uuid
 
 import pyarrow as pa
@@ -30,6 +35,7 @@ TOKENIZERS = "/opt/tokenizers"
 _KEYS = ["source", "lang", "tokenizer"]
 _SUMS = ["n_docs", "n_tokens", "n_bytes"]
 _SQL = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
+_BATCHES = "batch string"
 _loaded: dict = {}
 
 
@@ -80,70 +86,105 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.path}/commits"))
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(conf)
+        for folder in ("batches", "snapshots", "aside"):
+            self._fs.mkdirs(self._path(f"{self.path}/{folder}"))
+        # of the two interfaces of Hadoop only this one has a rename that fails where the name is taken
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._no_overwrite = spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def _mark(self, name: str, note: dict) -> bool:
-        """Create the marker; false if it exists."""
-        at = self._path(f"{self.path}/commits/{name}")
-        if self._fs.exists(at):
-            return False
-        try:
-            out = self._fs.create(at, False)
-        except Exception as e:
-            if "exist" in str(e):
-                return False
-            raise
+        """The marker, whole or not at all; false if it exists."""
+        aside = self._path(f"{self.path}/aside/{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
         out.write(bytearray(json.dumps(note).encode()))
         out.close()
+        try:
+            self._context.rename(aside, self._path(f"{self.path}/{name}"), self._no_overwrite)
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+            self._fs.delete(aside, False)
+            return False
         return True
 
-    def _marks(self) -> dict[str, dict]:
-        found = {}
-        for s in self._fs.listStatus(self._path(f"{self.path}/commits")):
-            reader = self._fs.open(s.getPath())
-            found[s.getPath().getName()] = json.loads(bytes(reader.readAllBytes()).decode() or "{}")
-            reader.close()
-        return found
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")))
+
+    def _note(self, name: str) -> dict | None:
+        """What the marker says; None if it has gone."""
+        try:
+            reader = self._fs.open(self._path(f"{self.path}/{name}"))
+        except Exception as e:
+            if "FileNotFound" in str(e):
+                return None
+            raise
+        said = json.loads(bytes(reader.readAllBytes()).decode())
+        reader.close()
+        return said
+
+    def _snapshot(self) -> tuple[int, dict | None]:
+        """Number and note of the last snapshot."""
+        names = self._names("snapshots")
+        return (int(names[-1]), self._note(f"snapshots/{names[-1]}")) if names else (0, None)
+
+    def _folded(self, shot: dict | None, batches: list[str]) -> set[str]:
+        """Those of the batches that the snapshot has."""
+        if not shot or not batches:
+            return set()
+        asked = F.broadcast(self.spark.createDataFrame([(b,) for b in batches], _BATCHES))
+        return {r.batch for r in self.spark.read.schema(_BATCHES).parquet(f"{self.path}/{shot['batches']}").join(asked, "batch", "left_semi").collect()}
+
+    def _live(self) -> tuple[int, dict | None, dict[str, str]]:
+        """The last snapshot, and the data of each batch that it doesn't have. Batches are listed first: a marker that
+        has gone by then has gone into a snapshot that is listed after."""
+        while True:
+            names = self._names("batches")
+            number, shot = self._snapshot()
+            folded = self._folded(shot, names)
+            notes = {b: self._note(f"batches/{b}") for b in names if b not in folded}
+            if None not in notes.values():
+                return number, shot, {b: note["data"] for b, note in notes.items()}
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Add the batch's changes; false, and nothing is done, if a batch of that name is committed."""
-        name = f"batch-{batch}"
-        if self._fs.exists(self._path(f"{self.path}/commits/{name}")):
+        name = urllib.parse.quote(batch, safe="")
+        # the marker goes after the snapshot has come, so it is looked for first
+        if self._fs.exists(self._path(f"{self.path}/batches/{name}")) or self._folded(self._snapshot()[1], [name]):
             return False
         data = f"data/{uuid.uuid4().hex}"
         signed.groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in _SUMS]).write.parquet(f"{self.path}/{data}")
-        return self._mark(name, {"data": data})
-
-    def _live(self) -> tuple[list[str], list[str], int]:
-        """Data folders that count, batches folded or live, and the last snapshot's number."""
-        marks = self._marks()
-        shots = sorted((int(k[9:]), v) for k, v in marks.items() if k.startswith("snapshot-"))
-        number, last = shots[-1] if shots else (0, {"data": None, "covers": []})
-        covered = set(last["covers"])
-        batches = {k: v["data"] for k, v in marks.items() if k.startswith("batch-") and v}
-        folders = [d for k, d in batches.items() if k not in covered] + ([last["data"]] if last["data"] else [])
-        return sorted(folders), sorted(covered | set(batches)), number
+        # another writer's marker may have been folded and removed meanwhile: then this one doesn't count
+        return self._mark(f"batches/{name}", {"data": data}) and not self._folded(self._snapshot()[1], [name])
 
-    def totals(self) -> DataFrame:
-        """Additive totals of all committed batches."""
-        folders, _, _ = self._live()
+    def _sum(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], _SQL)
         found = self.spark.read.schema(_SQL).parquet(*[f"{self.path}/{d}" for d in folders])
         total = found.groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in _SUMS])
         return total.where(" or ".join(f"{c} <> 0" for c in _SUMS))
 
-    def compact(self) -> bool:
-        """Fold what is committed into one snapshot; false if another did so meanwhile."""
-        _, batches, number = self._live()
-        data = f"data/{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{self.path}/{data}")
-        return self._mark(f"snapshot-{number + 1}", {"data": data, "covers": batches})
-
+    def totals(self) -> DataFrame:
+        """Additive totals of all committed batches."""
+        _, shot, live = self._live()
+        return self._sum(sorted(live.values()) + ([shot["data"]] if shot else []))
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one for tests where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    def compact(self) -> bool:
+        """Fold what one listing shows into a snapshot; false if another did so meanwhile. Old data stay, for those who
+        are reading them."""
+        number, shot, live = self._live()
+        folder = f"data/{uuid.uuid4().hex}"
+        note = {"data": f"{folder}/totals", "batches": f"{folder}/batches"}
+        self._sum(sorted(live.values()) + ([shot["data"]] if shot else [])).coalesce(1).write.parquet(f"{self.path}/{note['data']}")
+        batches = self.spark.createDataFrame([(b,) for b in sorted(live)], _BATCHES)
+        if shot:
+            batches = batches.union(self.spark.read.schema(_BATCHES).parquet(f"{self.path}/{shot['batches']}"))
+        batches.write.parquet(f"{self.path}/{note['batches']}")
+        if not self._mark(f"snapshots/{number + 1:012d}", note):
+            return False
+        for b in live:
+            self._fs.delete(self._path(f"{self.path}/batches/{b}"), False)
+        return True

@@ -1,0 +1,126 @@
+"""The ledger when writers crash, race and retry."""
+
+from __future__ import annotations
+
+import os
+import threading
+
+import pytest
+
+from postella.llm.token_counts import Ledger, changes, count_tokens
+
+from .conftest import texts_of
+from .test_filters import brute_totals, totals
+
+SQL = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
+
+
+def batch(spark, n, source="s"):
+    return spark.createDataFrame([(source, "en", "v", 1, n, 2 * n)], SQL)
+
+
+@pytest.fixture
+def ledger(spark, tmp_path):
+    return Ledger(spark, str(tmp_path / "l"))
+
+
+def tokens(ledger):
+    return sum(r.n_tokens for r in ledger.totals().collect())
+
+
+def test_commit_while_compacting(spark, ledger, monkeypatch):
+    ledger.commit("a", batch(spark, 5))
+    other = Ledger(spark, ledger.path)
+    once = []
+    plain = Ledger._sum
+
+    def meanwhile(self, folders):
+        if not once:
+            once.append(other.commit("b", batch(spark, 10)))
+        return plain(self, folders)
+
+    monkeypatch.setattr(Ledger, "_sum", meanwhile)
+    assert ledger.compact() and once == [True]
+    monkeypatch.setattr(Ledger, "_sum", plain)
+    assert tokens(ledger) == 15 and ledger.compact() and tokens(ledger) == 15
+
+
+def test_crash_before_the_marker_is_renamed(spark, ledger, monkeypatch):
+    def crash(*a):
+        raise OSError("the driver died")
+
+    with monkeypatch.context() as m:
+        m.setattr(ledger, "_context", type("C", (), {"rename": crash})())
+        with pytest.raises(OSError):
+            ledger.commit("a", batch(spark, 5))
+        with pytest.raises(OSError):
+            ledger.compact()
+    again = Ledger(spark, ledger.path)
+    assert tokens(again) == 0 and again.commit("a", batch(spark, 5)) and tokens(again) == 5
+    assert again.compact() and tokens(again) == 5
+
+
+def test_one_of_many_writers_of_a_batch_wins(spark, ledger):
+    got = []
+    writers = [threading.Thread(target=lambda: got.append(Ledger(spark, ledger.path).commit("a", batch(spark, 5)))) for _ in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(got) == [False, False, False, True] and tokens(ledger) == 5
+
+
+def test_writer_of_a_batch_that_was_folded_meanwhile(spark, ledger, monkeypatch):
+    late = Ledger(spark, ledger.path)
+    plain = late._mark
+
+    def after_another(name, note):
+        monkeypatch.setattr(late, "_mark", plain)
+        assert ledger.commit("a", batch(spark, 5)) and ledger.compact()
+        return plain(name, note)
+
+    monkeypatch.setattr(late, "_mark", after_another)
+    assert not late.commit("a", batch(spark, 5)) and tokens(ledger) == 5
+    assert ledger.compact() and tokens(ledger) == 5
+
+
+def test_markers_and_notes_stay_small(spark, ledger):
+    for i in range(3):
+        assert ledger.commit(f"day/{i}", batch(spark, 1)) and ledger.compact()
+        assert not os.listdir(f"{ledger.path}/batches") or all(n.endswith(".crc") for n in os.listdir(f"{ledger.path}/batches"))
+    assert not any(ledger.commit(f"day/{i}", batch(spark, 1)) for i in range(3)) and tokens(ledger) == 3
+    sizes = [os.path.getsize(f"{ledger.path}/snapshots/{n}") for n in sorted(os.listdir(f"{ledger.path}/snapshots")) if n[0] != "."]
+    assert len(sizes) == 3 and len(set(sizes)) == 1
+
+
+def test_second_compactor_fails(spark, ledger, monkeypatch):
+    ledger.commit("a", batch(spark, 5))
+    other, plain = Ledger(spark, ledger.path), ledger._mark
+
+    def after_another(name, note):
+        assert other.compact()
+        return plain(name, note)
+
+    monkeypatch.setattr(ledger, "_mark", after_another)
+    assert not ledger.compact() and tokens(ledger) == 5
+
+
+def test_empty_batch(spark, ledger):
+    none = batch(spark, 1).limit(0)
+    assert ledger.commit("none", none) and not ledger.commit("none", none) and ledger.totals().count() == 0
+    assert ledger.compact() and ledger.totals().count() == 0 and not ledger.commit("none", none)
+
+
+def test_clashing_names_and_long_texts(tricky):
+    rows = [tuple(r)[:4] for r in tricky.collect()]
+    counted = count_tokens(tricky)
+    assert counted.count() == len(texts_of(tricky))
+    got = {}
+    for r in counted.collect():
+        n = got.setdefault((r.source, r.lang, r.tokenizer), [0, 0, 0])
+        n[0] += 1
+        n[1] += r.n_tokens
+        n[2] += r.n_bytes
+    assert {k: tuple(v) for k, v in got.items()} == brute_totals(rows)
+    signed = changes(inserted=counted, deleted=counted)
+    assert signed.groupBy().sum("n_docs", "n_tokens", "n_bytes").first()[:] == (0, 0, 0)
