@@ -114,7 +114,7 @@ def brute_scores(rows):
             count.update(tokens[-1][2])
     n, v = sum(count.values()), len(count)
     for d, held, w in tokens:
-        out.setdefault(d, []).append((held, len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n * (v + 1))) for x in w)))
+        out.setdefault(d, []).append((held, len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + 1 * (v + 1))) for x in w)))
     return out, count, tokens
 
 
@@ -127,24 +127,125 @@ def test_tricky_scores(tricky):
         assert r.base_score == pytest.approx(base) and math.isfinite(r.score)
 
 
+class Plain:
+    """Forward and backward over one word at a time, from the vocabulary's pieces alone."""
+
+    def __init__(self, table):
+        single = set(table.byte.tolist())
+        self.ids = {r: i for i, r in enumerate(table.raw) if r and i not in single}
+        self.byte, self.longest = table.byte.tolist(), max(map(len, self.ids))
+
+    def edges(self, unit):
+        for p in range(len(unit)):
+            if unit[p] & 0xC0 != 0x80:
+                w = 1 + (unit[p] >= 0xC0) + (unit[p] >= 0xE0) + (unit[p] >= 0xF0)
+                if unit[p : p + w] not in self.ids:
+                    yield from ((q, q + 1, self.byte[unit[q]]) for q in range(p, p + w))
+            for m in range(1, min(self.longest, len(unit) - p) + 1):
+                if (i := self.ids.get(unit[p : p + m])) is not None:
+                    yield p, p + m, i
+
+    def walk(self, unit, weight):
+        """Probability of the unit, and the expected uses of its pieces."""
+        edges = sorted(self.edges(unit))
+        a, b = [1.0] + [0.0] * len(unit), [0.0] * len(unit) + [1.0]
+        for p, q, i in edges:
+            a[q] += a[p] * weight[i]
+        for p, q, i in reversed(edges):
+            b[p] += b[q] * weight[i]
+        uses = Counter()
+        for p, q, i in edges:
+            uses[i] += a[p] * weight[i] * b[q] / a[-1]
+        return a[-1], uses
+
+
 def test_scores_of_the_table(spark, documents, table):
     want, count, tokens = brute_scores(texts_of(documents))
     got = {r.doc_id: r for r in queries.op3_lm_scoring(spark, SF).collect()}
     for d, ((held, n, known, total, base),) in want.items():
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total) and r.base_score == pytest.approx(base)
-    # the model itself: adapted pieces, marginals, Witten and Bell
-    words = sorted({w for w in count if w})
-    uses = np.exp(table.log) * 10_000 + Lattice(table, [b" " + w.encode() for w in words]).expected(np.array([float(count[w]) for w in words]), table.size)
-    every = sorted({w for _, _, ws in tokens for w in ws if w})
-    with np.errstate(divide="ignore"):
-        lat = dict(zip(every, Lattice(table, [b" " + w.encode() for w in every], np.log(uses / uses.sum())).log_likelihood, strict=True))
+    # the model itself: pieces adapted by three steps, each word's marginal, the end
+    plain, weight = Plain(table), np.exp(table.log)
+    prior = weight * 10_000
+    for _ in range(3):
+        uses = prior.copy()
+        for w, c in count.items():
+            for i, x in plain.walk(b" " + w.encode(), weight.tolist())[1].items() if w else ():
+                uses[i] += c * x
+        weight = uses / uses.sum()
+    weight = weight.tolist()
+    p = {w: plain.walk(b" " + w.encode(), weight)[0] for w in {w for _, _, ws in tokens for w in ws if w}}
     n, v = sum(count.values()), len(count)
-    for d, _, ws in tokens[:60]:
-        s = sum(math.log10((count[w] + v * (0.999 * math.exp(lat[w]) if w else 0.001)) / (n + v)) for w in ws)
-        assert got[d].score == pytest.approx(s, rel=1e-5)
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    end = (count[None] + 1) / (n + 2)
+    for d, _, ws in tokens:
+        word = {w: (1 - end) * p[w] if w else end for w in ws}
+        assert got[d].score == pytest.approx(sum(math.log10(word[w]) for w in ws), rel=1e-9)
+        assert got[d].mixture_score == pytest.approx(sum(math.log10((count[w] + v * word[w]) / (n + v)) for w in ws), rel=1e-9)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+
+
+def test_base_in_sql(spark, documents):
+    """The counts and the base as the contract words them, in DuckDB."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.create_function("held", lambda d: zlib.crc32(str(d).encode()) % 7 == 2, ["BIGINT"], "BOOLEAN")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sql = f"""WITH t AS (SELECT doc_id, held(doc_id) AS held_out, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+'), '')) AS w FROM '{SF}/documents.parquet'),
+    c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+    SELECT doc_id, held_out, count(*), count(c), any_value(n), sum(log10((coalesce(c, 0) + 1) / (n + 1 * (v + 1)))) FROM t LEFT JOIN c USING (w), s GROUP BY 1, 2"""
+    want = {r[0]: r[1:] for r in c.execute(sql).fetchall()}
+    for r in queries.op3_lm_scoring(spark, SF).collect():
+        held, n, known, total, base = want.pop(r.doc_id)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total) and r.base_score == pytest.approx(base, rel=1e-12)
+    assert not want
+
+
+def test_very_long_words_and_repeated_rows(spark, table):
+    rows = [(1, "x" * 100_000 + " ab"), (1, "x" * 100_000 + " ab"), (2, "日本語" * 40_000), (3, "ab"), (3, "ab")]
+    got = by_id([(r.doc_id, r.n_tokens, r.score, r.mixture_score) for r in lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()])
+    assert all(len(got[k]) == 2 and got[k][0] == got[k][1] for k in (1, 3)) and all(math.isfinite(x) for v in got.values() for r in v for x in r[1:])
+    assert got[1][0][0] == 3 and got[2][0][0] == 2
+
+
+def test_deep_units_beside_others(table):
+    """Atoms walked alone and together agree, and neighbours don't matter."""
+    from postella.llm import lattice as module
+
+    units = [b" " + b"nana" * 30, " né日本▁語x".encode(), b" thonre" * 1, b"x" * 90]
+    times = np.array([1.0, 2.0, 3.0, 4.0])
+    keys = mix(np.arange(4, dtype=np.uint64))
+
+    def all_of(deep):
+        old, module.DEEP = module.DEEP, deep
+        try:
+            a = Lattice(table, units)
+            b = a.log_likelihood, a.expected(times, table.size)
+            a.sampler()
+            return (*b, *a.sample(np.arange(4), keys))
+        finally:
+            module.DEEP = old
+
+    for x, y in zip(all_of(3), all_of(1000), strict=True):
+        assert np.allclose(x, y, rtol=1e-12)
+    alone = Lattice(table, [units[1]])
+    together = Lattice(table, units)
+    assert alone.log_likelihood[0] == together.log_likelihood[1]
+    alone.sampler()
+    together.sampler()
+    k = alone._cum
+    i = np.searchsorted(together.target, together._first[together._atoms[1]] + 1)
+    assert (together._cum[i : i + len(k)] == k).all()
+
+
+def test_text_without_spaces_is_fast(table):
+    import time
+
+    text = ("日本語の文章には空白がない。" * 30_000).encode()
+    began = time.process_time()
+    pieces, _ = encode_texts(table, np.array([1]), [text], 0, 0.5)
+    assert time.process_time() - began < 20 and decode_pieces(table, pieces.tolist()) == text
 
 
 def test_word_probabilities_sum_to_one_at_most(table):
