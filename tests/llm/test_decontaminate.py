@@ -70,8 +70,38 @@ def test_offsets_point_into_the_original(spark, items):
     assert [raw[s.first : s.end].decode() for s in r.hit_spans] == [f"{LONG.title()}?! naïve, CAFé"]
 
 
-def test_keep_clean(tricky, items):
+def whole_windows(rows, items):
+    """Ids of documents that hold 13 words in a row of an item."""
+    known = {tuple(w[s : s + 13]) for _, t in items for w in [WORD.findall(lower(t or ""))] for s in range(len(w) - 12)}
+    return {d for d, t in rows for w in [WORD.findall(lower(t or ""))] if any(tuple(w[s : s + 13]) in known for s in range(len(w) - 12))}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 10])
+def test_keep_clean(tricky, items, monkeypatch, limit):
+    monkeypatch.setattr(d, "ITEM_BYTES", limit)
     out = d.keep_clean(tricky, items)
-    bad = {k for k, v in brute(texts_of(tricky), [tuple(r) for r in items.collect()]).items() if v[0][-1]}
+    listed = [tuple(r) for r in items.collect()]
+    bad = {k for k, v in brute(texts_of(tricky), listed).items() if v[0][-1]} | whole_windows(texts_of(tricky), listed)
     assert out.columns == tricky.columns
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(repr(tuple(r)) for r in tricky.collect() if r[0] not in bad)
+
+
+def test_no_passage_is_left(spark):
+    """Long documents, of which a passage is less than a twentieth."""
+    rows = [(i, f"{passage(1000, i)} {LONG if i % 2 else LONG[:60]} {passage(1000, i + 50)}") for i in range(8)]
+    items = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    kept = d.keep_clean(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6]
+    assert not d.decontaminate(kept, items).where("whole or contaminated").count()
+
+
+def test_many_documents_with_one_window(spark, monkeypatch):
+    """A hot window, by both ways."""
+    rows = [(i, f"{passage(5, i)} {LONG}") for i in range(300)] + [(None, LONG), (None, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(i, LONG) for i in range(20)], "item_id long, text string")
+    got = []
+    for limit in (1 << 20, 10):
+        monkeypatch.setattr(d, "ITEM_BYTES", limit)
+        got.append(sorted(map(repr, d.decontaminate(docs, items).collect())))
+    assert got[0] == got[1] and len(got[0]) == 302
