@@ -1,17 +1,19 @@
 """SimHash near-duplicates with pivot distance tables.
 
 Fingerprints that are equal become one first, so copies cost nothing afterwards. Fingerprints that
-differ in at most four of 64 bits agree in at least two of six blocks; for each of the 15 pairs of
-blocks a fingerprint goes to the bucket of its bits there. In a bucket, distances to many reference
-fingerprints are precomputed; pairs whose distances to a reference differ by more than the limit
-can't be near (triangle inequality) and are discarded, survivors are verified bit by bit. A
-bucket with very many fingerprints is linked in linear time instead: two fingerprints are within four bits
-exactly if some 64-bit word is within two bits of both, so all words within two bits are made
-and equal ones tie their owners (block by block of the words' space, in bounded memory).
+differ in at most four of 64 bits agree in all but four of m blocks; for each choice of m - 4 blocks a fingerprint goes
+to the bucket of its bits there. m is the least from six on with which a bucket of fingerprints that have
+nothing to do with each other is small; so keys get longer as rows get more. In every bucket, distances
+of all members to reference fingerprints are precomputed. Members outside the component of the first are compared with the
+bucket one after another: those whose distances to a reference differ by more than the limit can't be near
+(triangle inequality) and are discarded, survivors are verified bit by bit. What is in one component already isn't
+compared any more, so a bucket of near copies of one text, however many, takes few rounds over its members.
 Each task sends only a spanning forest of its links; components are found by star contraction.
 
-Rows: one per document row. A null or wordless text has fingerprint zero and links like any other. A
-null id is never the component's name unless no other id is in it.
+Rows: one per document row. A null, empty or wordless text has fingerprint zero and links like any other. A
+null id is never the component's name unless no other id is in it. Rows that repeat an id, and ties among ids, are
+each in their own text's component. A very long text is hashed whole, STEP words at a time. An empty table gives no
+rows. Columns are taken by name, the first of those that clash; others don't matter, and `keep_one` returns all.
 """
 
 from __future__ import annotations
@@ -29,38 +31,73 @@ from .common import checkpoint, chunks, flat, id_array, mix, partitions, pick, p
 from .components import components, local_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Shingles hashed at once.
+STEP = 1 << 18
 BITS = 4
-_EDGES = np.array([0, 11, 22, 33, 44, 54, 64])
-_MASKS = [sum(1 << b for b in range(_EDGES[i], _EDGES[i + 1])) for i in range(6)]
-TABLES = [np.uint64(_MASKS[i] | _MASKS[j]) for i, j in combinations(range(6), 2)]
 #: Reference fingerprints.
 PIVOTS = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Fingerprints of a bucket beyond which links come from the words within two bits.
-LARGE = 2048
+#: Fingerprints that a bucket holds by chance, at most.
+CROWD = 32
+#: Rounds with one reference member for each bucket; members compared together in later ones; pairs held at once.
+SINGLY, TOGETHER, PAIRS = 8, 256, 1 << 22
+
+
+def tables(rows: int) -> list[np.uint64]:
+    """Masks of the bits by which buckets are made for so many fingerprints: all but four of m blocks."""
+    m = next(m for m in range(BITS + 2, 64) if m == 12 or rows >> (64 * (m - BITS) // m) <= CROWD)
+    edges = [64 * i // m for i in range(m + 1)]
+    blocks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(m)]
+    return [np.uint64(sum(c)) for c in combinations(blocks, m - BITS)]
+
+
+def _ones(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each piece (they begin at `at`) have each bit: (pieces, 64)."""
+    out = np.zeros((len(at), 64), np.int64)
+    for byte in range(8):
+        bits = np.unpackbits(((h >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+        for bit in range(8):
+            out[:, 8 * byte + bit] = np.add.reduceat(np.ascontiguousarray(bits[:, bit]), at, dtype=np.int64)
+    return out
 
 
 def fingerprints(texts: list[bytes], shingle: int = 4) -> np.ndarray:
+    out = np.zeros(len(texts), np.uint64)
+    group: list[tuple[int, int]] = []  # text, shingles
     every: list[bytes] = []
-    sizes = np.zeros(len(texts), np.int64)
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+    def hashed() -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in every), np.uint64, len(every))
+
+    def finish() -> None:
+        if group:
+            which, sizes = (np.array(x, np.int64) for x in zip(*group, strict=True))
+            ones = _ones(hashed(), np.cumsum(sizes) - sizes)
+            out[which] = np.where(2 * ones > sizes[:, None], bit, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        group.clear()
+        every.clear()
+
     for i, t in enumerate(texts):
         w = t.translate(LOWER).split()
         m = max(len(w) - shingle + 1, min(len(w), 1))
-        sizes[i] = m
-        if len(w) <= shingle:
-            every += [b" ".join(w)] * m
-        else:
-            every += map(b" ".join, zip(*[w[j:] for j in range(shingle)], strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in every), np.uint64, len(every))
-    out = np.zeros(len(texts), np.uint64)
-    ends = np.cumsum(sizes)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        at = ends[some] - sizes[some]
-        for byte in range(8):
-            bits = np.unpackbits(((h >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-            for bit in range(8):
-                n = np.add.reduceat(np.ascontiguousarray(bits[:, bit]), at, dtype=np.int64)
-                out[some] |= (2 * n > sizes[some]).astype(np.uint64) << np.uint64(8 * byte + bit)
+        if m > STEP:
+            finish()
+            ones = np.zeros(64, np.int64)
+            for lo in range(0, m, STEP):
+                part = w[lo : lo + STEP + shingle - 1]
+                every += map(b" ".join, zip(*[part[j:] for j in range(shingle)], strict=False))
+                ones += _ones(hashed(), np.zeros(1, np.int64))[0]
+                every.clear()
+            out[i] = np.where(2 * ones > m, bit, np.uint64(0)).sum(dtype=np.uint64)
+        elif m:
+            if len(w) <= shingle:
+                every.append(b" ".join(w))
+            else:
+                every += map(b" ".join, zip(*[w[j:] for j in range(shingle)], strict=False))
+            group.append((i, m))
+            if len(every) > STEP:
+                finish()
+    finish()
     return out
 
 
@@ -70,96 +107,103 @@ def _fingerprint(batches):
         yield pa.RecordBatch.from_arrays([id_array(chunk.ids), chunk.column(2).cast(pa.int64()), pa.array(fingerprints(chunk.texts()).view(np.int64))], names=names)
 
 
-def _to_buckets(parts: int):
+def _to_buckets(masks: list[np.uint64], parts: int):
     def run(batches):
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
             if not len(fp):
                 continue
-            table = np.repeat(np.arange(len(TABLES), dtype=np.uint8), len(fp))
-            key = np.concatenate([fp & m for m in TABLES])
-            every = np.tile(fp, len(TABLES))
+            table = np.repeat(np.arange(len(masks), dtype=np.uint16), len(fp))
+            key = np.concatenate([fp & m for m in masks])
+            every = np.tile(fp, len(masks))
             part = (mix(key + table * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
             yield from rows_of(part, 0, lambda i: (table[i], every[i]))  # noqa: B023
 
     return run
 
 
-def near_pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions with equal keys (sorted) and at most BITS differing bits: pivots first, then bits."""
+def bucket_links(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions in one bucket (equal numbers stand together) with at most BITS differing bits, enough of them
+    to hold together whatever such pairs connect."""
+    n = len(fp)
     far = [np.bitwise_count(fp ^ p).astype(np.int8) for p in PIVOTS]
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    i = np.arange(len(fp))
-    step = 1
-    while True:
-        i = i[i + step < len(fp)]
-        i = i[key[i] == key[i + step]]
-        if not len(i):
-            break
-        left, right = i, i + step
-        for d in far:
-            near = np.abs(d[left] - d[right]) <= BITS
-            left, right = left[near], right[near]
-            if not len(left):
-                break
-        if len(left):
-            near = np.bitwise_count(fp[left] ^ fp[right]) <= BITS
-            a.append(left[near])
-            b.append(right[near])
-        step += 1
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, n])
+    root = np.arange(n)
+    asked = np.zeros(n, bool)
+    a, b = [], []
+    start, size = start[size > 1], size[size > 1]
+    rounds = 0
+    while len(start):
+        ends = np.cumsum(size)
+        who = np.arange(int(ends[-1])) + np.repeat(start - (ends - size), size)  # all members of the buckets left
+        # the first member, then those that aren't in its component and weren't compared yet: one by one, later many at once
+        waits = ~asked[who] & (root[who] != np.repeat(root[start], size))
+        waits[ends - size] = ~asked[start]
+        many = np.cumsum(waits)
+        first = np.r_[0, many[ends[:-1] - 1]]
+        waits &= many - np.repeat(first, size) <= (1 if rounds < SINGLY else TOGETHER)
+        refs, of = who[waits], np.repeat(np.arange(len(start)), size)[waits]
+        asked[refs] = True
+        pairs = np.cumsum(size[of])
+        for lo in range(0, int(pairs[-1]) if len(refs) else 0, PAIRS):
+            take = slice(*np.searchsorted(pairs, [lo, lo + PAIRS], "right"))
+            x, n_each = np.repeat(refs[take], size[of[take]]), size[of[take]]
+            y = np.arange(len(x)) - np.repeat(np.cumsum(n_each) - n_each, n_each) + np.repeat(start[of[take]], n_each)
+            x, y = (z[root[y] != root[x]] for z in (x, y))
+            for d in far:
+                near = np.abs(d[x] - d[y]) <= BITS
+                before = len(x)
+                x, y = x[near], y[near]
+                if 8 * len(x) >= 7 * before:  # what is left is near mostly: verifying it is cheaper
+                    break
+            near = np.bitwise_count(fp[x] ^ fp[y]) <= BITS
+            x, y = x[near], y[near]
+            if len(x):
+                a.append(x)
+                b.append(y)
+                nodes, at = np.unique(np.r_[root[x], root[y]], return_inverse=True)
+                top = nodes[local_components(len(nodes), at[: len(x)], at[len(x) :])]
+                i = np.minimum(np.searchsorted(nodes, root[who]), len(nodes) - 1)
+                root[who] = np.where(nodes[i] == root[who], top[i], root[who])
+        on = np.bincount(of, minlength=len(start)) > 0
+        start, size = start[on], size[on]
+        rounds += 1
     z = np.zeros(0, np.int64)
     return np.concatenate([z, *a]), np.concatenate([z, *b])
 
 
-def ball_pairs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions tied by a common word within two bits, as chains; linear in the fingerprints."""
-    ones = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    a, b = [], []
-    flips = np.concatenate([[np.uint64(0)], ones, [x | y for x, y in combinations(ones, 2)]]).astype(np.uint64)
-    slices = max(1, len(fp) * len(flips) // (1 << 22))
-    for s in range(slices):  # each word belongs to one slice
-        words, owner = [], []
-        for f in flips:
-            w = fp ^ f
-            mine = np.flatnonzero(mix(w) % np.uint64(slices) == s) if slices > 1 else np.arange(len(fp))
-            words.append(w[mine])
-            owner.append(mine)
-        w, o = np.concatenate(words), np.concatenate(owner)
-        order = np.argsort(w, kind="stable")
-        w, o = w[order], o[order]
-        same = np.flatnonzero(w[1:] == w[:-1])
-        a.append(o[same])
-        b.append(o[same + 1])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _link(batches):
-    """A spanning forest of the links in the buckets of one partition."""
-    got = [unpack(x.as_py()) for b in batches for x in b.column(2)]
-    if not got:
-        return
-    table, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-    key = fp & np.array(TABLES)[table]
-    order = np.lexsort((fp, key, table))
-    table, fp, key = table[order], fp[order], key[order]
-    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (table[1:] != table[:-1])])
-    bucket = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(fp)]))
-    size = np.diff(np.r_[start, len(fp)])
-    nodes, at = np.unique(fp, return_inverse=True)
-    a, b = [], []
-    few = np.flatnonzero((size[bucket] > 1) & (size[bucket] <= LARGE))
-    x, y = near_pairs(bucket[few], fp[few])
-    a.append(at[few[x]])
-    b.append(at[few[y]])
-    for g in np.flatnonzero(size > LARGE):
-        mine = np.arange(start[g], start[g] + size[g])
-        x, y = ball_pairs(fp[mine])
-        a.append(at[mine[x]])
-        b.append(at[mine[y]])
-    root = local_components(len(nodes), np.concatenate(a), np.concatenate(b))
-    tied = np.flatnonzero(root != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied].view(np.int64)), pa.array(nodes[root[tied]].view(np.int64))], names=["u", "v"])
+def _link(masks: list[np.uint64], forest: bool):
+    """Of the buckets of one partition a spanning forest of the links, or pairs that are linked themselves."""
+
+    def run(batches):
+        got = [unpack(x.as_py()) for b in batches for x in b.column(2)]
+        if not got:
+            return
+        table, fp = (np.concatenate(x) for x in zip(*got, strict=True))
+        key = fp & np.array(masks)[table]
+        order = np.lexsort((fp, key, table))
+        table, fp, key = table[order], fp[order], key[order]
+        bucket = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (table[1:] != table[:-1])])
+        a, b = bucket_links(bucket, fp)
+        nodes, at = np.unique(fp, return_inverse=True)
+        if forest:
+            root = local_components(len(nodes), at[a], at[b])
+            tied = np.flatnonzero(root != np.arange(len(nodes)))
+            u, v = nodes[tied], nodes[root[tied]]
+        else:
+            pairs = np.unique(np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], 1), axis=0)
+            u, v = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    return run
+
+
+def near_fingerprints(fps: DataFrame, rows: int, parts: int, forest: bool = True) -> DataFrame:
+    """(u, v) of distinct fingerprints (fp), of which there are at most so many rows: links that hold together what
+    at most BITS differing bits connect; with forest=False each differs in so few itself."""
+    masks = tables(rows)
+    return to_part(parts, fps.select("fp").mapInArrow(_to_buckets(masks, parts), PARTS_SQL), "part").mapInArrow(_link(masks, forest), "u long, v long")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +213,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     n = partitions(rows, 64 << 20)
     marked = checkpoint(rows.mapInArrow(_fingerprint, "doc_id long, code long, fp long"))
     least = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("least"))
-    links = to_part(n, least.select("fp").mapInArrow(_to_buckets(n), PARTS_SQL), "part").mapInArrow(_link, "u long, v long")
+    links = near_fingerprints(least, marked.count(), n)
     tied = components(links).withColumnRenamed("node", "fp")
     of = least.join(tied, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     return marked, of

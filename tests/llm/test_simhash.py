@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from postella.llm import queries, simhash
 from postella.llm.components import components, local_components
-from postella.llm.simhash import ball_pairs, fingerprints, keep_one, near_pairs, simhash_components
+from postella.llm.simhash import bucket_links, fingerprints, keep_one, simhash_components, tables
 
 from .conftest import SF, by_id, texts_of
 
@@ -85,21 +85,47 @@ def test_fingerprints_of_many_shapes():
     assert [int(f) for f in fingerprints([t.encode() for t in texts])] == [brute_fingerprint(t) for t in texts]
 
 
-@given(st.lists(st.tuples(st.integers(0, 2), st.lists(st.integers(0, 63), max_size=5)), min_size=1, max_size=60))
-@settings(max_examples=40, deadline=None)
-def test_both_ways_to_link_a_bucket(near):
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.lists(st.integers(0, 63), max_size=6)), min_size=1, max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_links_of_buckets(near):
     centre = [0, 0xDEADBEEFCAFEF00D, 0x0123456789ABCDEF]
-    fp = np.unique(np.array([centre[c] ^ sum({1 << b for b in bits}) for c, bits in near], np.uint64))
-    want = brute_components(len(fp), [(i, j) for i, j in combinations(range(len(fp)), 2) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 4])
-    for pairs in (near_pairs(np.zeros(len(fp)), fp), ball_pairs(fp)):
-        assert local_components(len(fp), *pairs).tolist() == want
-
-
-def test_each_near_pair_shares_a_bucket():
+    rows = np.unique(np.array([(k, centre[c] ^ sum({1 << b for b in bits})) for k, c, bits in near], np.uint64), axis=0)
+    key, fp = rows[:, 0].astype(np.int64), rows[:, 1]
+    close = [(i, j) for i, j in combinations(range(len(fp)), 2) if key[i] == key[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 4]
+    a, b = bucket_links(key, fp)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= set(close)
+    assert local_components(len(fp), a, b).tolist() == brute_components(len(fp), close)
+
+
+def test_a_bucket_of_very_many_near_copies():
+    """All within six bits of one text's fingerprint: few rounds, whatever their number."""
+    import time
+
+    rng = np.random.default_rng(1)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(30_000)]
+    fp = np.unique(np.array([0xDEADBEEFCAFEF00D ^ f for f in flips], np.uint64))
+    began = time.process_time()
+    a, b = bucket_links(np.zeros(len(fp), np.int64), fp)
+    assert time.process_time() - began < 30 and (np.bitwise_count(fp[a] ^ fp[b]) <= 4).all()
+    near_centre = np.flatnonzero(np.bitwise_count(fp ^ np.uint64(0xDEADBEEFCAFEF00D)) <= 4)
+    assert len(np.unique(local_components(len(fp), a, b)[near_centre])) == 1
+
+
+@pytest.mark.parametrize("rows", [1, 10**9, 10**11])
+def test_each_near_pair_shares_a_bucket(rows):
     rng = np.random.default_rng(3)
+    masks = tables(rows)
+    assert all(int(m).bit_count() >= 20 for m in masks) and rows >> min(int(m).bit_count() for m in masks) <= 128
     for _ in range(300):
         flips = np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)))
-        assert any(flips & m == 0 for m in simhash.TABLES)
+        assert any(flips & m == 0 for m in masks)
+
+
+def test_very_long_texts_in_steps(monkeypatch):
+    texts = [b" ".join(b"w%d" % (i * i % 977) for i in range(n)) for n in (3, 99, 100, 101, 500, 7)] + [b""]
+    whole = fingerprints(texts)
+    monkeypatch.setattr(simhash, "STEP", 50)
+    assert (fingerprints(texts) == whole).all()
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
