@@ -1,15 +1,18 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary made of learning documents. A text is compressed in
-blocks with every dictionary, and the smallest sum of sizes names its language; on a tie the one with
-more learning documents. Where the runner-up is nearly as small, the verdict is marked as rejected.
+blocks with every dictionary, and the smallest sum of sizes names its language; on a tie the first by name. Where the
+runner-up is nearly as small, the verdict is marked as rejected.
 
 The dictionaries hold a bounded sample: of each language the first `docs_per_language` learning documents by
-a hash of their id, `bytes_per_doc` of each, `dict_bytes` together. Predictions read whole texts.
-
-Rows: one per document row. A text that is null or has no letter is `und` with score 0; so is
-every text where nothing could be learned. Documents with a null id, text or language teach nothing. The
-language, source and id of a document are no inputs of its prediction. Other columns don't matter.
+a hash of their id, each whole; of one that has more than `bytes_per_doc` bytes, as many bytes in SPREAD pieces that are
+spread evenly from its start to its end. One pass over the learning documents finds them: a task keeps its first
+few of each language. Predictions read whole texts, very long ones too.
+
+Rows: one per document row; rows that repeat an id or a text get equal results. A text that is null, empty or has no
+letter is `und` with score 0; so is every text where nothing could be learned. Documents with a null id, text or
+language teach nothing. The language, source and id of a document are no inputs of its prediction. An empty table gives
+no rows. Columns are taken by name, the first of those that clash; others don't matter.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes compressed at once.
 BLOCK = 2000
+#: Pieces of a long learning document.
+SPREAD = 16
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
@@ -35,12 +40,21 @@ def normalise(text: bytes) -> bytes:
     return b" ".join(text.translate(LETTERS).split())
 
 
+def excerpt(text: bytes, most: int) -> bytes:
+    """The normalised text, or pieces of it from start to end, of `most` bytes together."""
+    x = normalise(text)
+    if len(x) <= most:
+        return x
+    piece = max(most // SPREAD, 1)
+    return b" ".join(x[(len(x) - piece) * i // (SPREAD - 1) :][:piece] for i in range(SPREAD))
+
+
 class Model:
-    """Dictionaries by language, the language with the most learning documents first."""
+    """Dictionaries by language, in the order of names."""
 
     def __init__(self, dictionaries: list[tuple[str, bytes]]):
         self.langs = [lang for lang, _ in dictionaries]
-        how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=4, target_length=8, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(window_log=22, hash_log=18, chain_log=18, search_log=3, min_match=4, target_length=8, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.with_ = []
         for _, content in dictionaries:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -63,29 +77,48 @@ class Model:
         return self.langs[at], float(p[at] / p.sum()), narrow
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, docs_per_language: int, bytes_per_doc: int, dict_bytes: int) -> list[tuple[str, bytes]]:
+def _sample(docs_per_language: int, bytes_per_doc: int):
+    """The task's first documents of each language by hash, as excerpts."""
+
+    def run(batches):
+        kept: dict[str, list[tuple[int, int, bytes]]] = {}
+        for b in batches:
+            h, k = (b.column(i).to_numpy() for i in (0, 1))
+            langs = b.column(2).to_pylist()
+            for i in np.lexsort((k, h)).tolist():
+                mine = kept.setdefault(langs[i], [])
+                if len(mine) < docs_per_language or (h[i], k[i]) < mine[-1][:2]:
+                    mine.append((int(h[i]), int(k[i]), b.column(3)[i].as_py().encode()))
+            for lang, mine in kept.items():
+                # two texts may share an id; the order of equal rows doesn't matter
+                kept[lang] = sorted((h, k, excerpt(t, bytes_per_doc)) for h, k, t in mine)[:docs_per_language]
+        rows = [(h, k, lang, t) for lang, mine in kept.items() for h, k, t in mine]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["h", "k", "lang", "t"])
+
+    return run
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, docs_per_language: int, bytes_per_doc: int) -> list[tuple[str, bytes]]:
     """The dictionaries; at most languages * docs_per_language excerpts go to the driver."""
     rows = pick(docs, k=(id_col, "long"), t=(text_col, "string"), lang=(lang_col, "string"))
     rows = rows.where(f"k is not null and t is not null and lang is not null and crc32(cast(k as string)) % {int(folds)} <> {int(fold)}")
-    size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    by = Window.partitionBy("lang").orderBy("h", "k")
-    first = rows.select("lang", "k", F.xxhash64("k").alias("h")).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= docs_per_language).select("lang", "k").distinct()
-    got = rows.join(F.broadcast(first), ["lang", "k"]).groupBy("lang", "k").agg(F.min(F.substring("t", 1, bytes_per_doc)).alias("t")).collect()
-    out = []
-    for lang in sorted(size, key=lambda x: (-size[x], x)):
-        texts = [normalise(r.t.encode()) for r in sorted(got, key=lambda r: r.k) if r.lang == lang]
-        content = b" ".join(texts)[:dict_bytes]
-        out.append((lang, content.ljust(8)))  # zstandard takes dictionaries of 8 bytes or more
-    return out
-
-
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, docs_per_language: int = 64, bytes_per_doc: int = 1000, dict_bytes: int = 32 << 10, margin: float = 0.02) -> DataFrame:
+    found = rows.select(F.xxhash64("k").alias("h"), "k", "lang", "t").mapInArrow(_sample(docs_per_language, bytes_per_doc), "h long, k long, lang string, t binary")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k", "t"))  # of a few rows from each task
+    got = found.withColumn("nth", nth).where(F.col("nth") <= docs_per_language).orderBy("lang", "nth").collect()
+    content: dict[str, list[bytes]] = {}
+    for r in got:
+        content.setdefault(r.lang, []).append(bytes(r.t))
+    return [(lang, b" ".join(texts).ljust(8)) for lang, texts in sorted(content.items())]  # zstandard takes 8 bytes or more
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, docs_per_language: int = 64, bytes_per_doc: int = 32 << 10, margin: float = 0.02) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected): held-out documents, those whose crc32(id as text) % folds
     == fold, teach nothing; score is the share of 2^-bytes; rejected says that the margin was narrow."""
-    dictionaries = learn(docs, id_col, text_col, lang_col, folds, fold, docs_per_language, bytes_per_doc, dict_bytes)
+    dictionaries = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, folds, fold, docs_per_language, bytes_per_doc))
 
     def run(batches):
-        model = Model(dictionaries)
+        model = Model(dictionaries.value)
         for chunk in chunks(batches, 8 << 20):
             got = [model.predict(t, margin) for t in chunk.texts()]
             yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(held_out(chunk.ids, folds, fold)), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], schema=_SCHEMA)
