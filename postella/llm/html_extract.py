@@ -7,10 +7,15 @@ sliding windows of lines. A run of windows with text begins at a surge and ends
 empty; it is kept, with short and link-heavy lines inside, if its highest window stands out on its page.
 The main container is the deepest that holds nearly all text of those runs: from its first to its last line of running
 text all is kept; of lines outside it that don't stand out only headings, paragraphs, items and cells are.
-Where the page marks an article that holds most of the running text, its lines are the text.
+Where the page marks an article that holds most of the running text, only its lines have lengths, so the runs lie in it;
+its lines are kept but for what lies beyond a dive before the first run or after the last. Names that
+are only a hint, such as `share` or `related`, take away lines that aren't running text.
 
-Rows: one per page row. A null or empty html has the empty text. Broken markup (open tags, a cut end) is read
-as far as it goes. Nothing is capped. Other columns don't matter.
+Rows: one per page row; rows that repeat a page get equal texts. A null or empty html, or one without text, has the
+empty text. Broken markup is read as browsers do, in time linear in its length: a tag ends at the first > outside
+quoted values, a value without closing quote at the next >, an unclosed script or comment at the end of the page.
+Ties of containers go to the deepest. Nothing is capped, very long pages and blocks are read whole. An empty table
+gives no rows. Columns are taken by name, the first of those that clash; others don't matter.
 """
 
 from __future__ import annotations
@@ -25,19 +30,23 @@ from pyspark.sql import DataFrame
 from .common import chunks, id_array, pick
 
 # Element names of HTML, and words by which pages name their parts.
-RAW = "script style noscript template textarea title svg math iframe object canvas audio video select option datalist xmp noembed noframes".split()
-SKIP = "nav aside footer form button menu dialog head fieldset label input".split()
+RAW = "script style noscript textarea title xmp iframe noembed noframes".split()
+SKIP = "nav aside footer form button menu dialog head template svg math object canvas audio video select datalist".split()
 BLOCK = "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead title tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-NAMES = "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments disqus respond reply replies cookie cookies consent gdpr notice notices notification alert footer header masthead menu menubar nav navbar navigation newsletter pager pagination popup modal overlay promo promotion related recommended recommendations share sharing sidebar sidebars social sponsor sponsored subscribe subscription tags tagcloud toolbar topbar widget widgets login signup search skip".split()
+NAMES = "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments disqus respond reply replies cookie cookies consent gdpr notice notices notification alert footer header masthead menu menubar nav navbar navigation newsletter popup modal overlay promo promotion sidebar sidebars sponsor sponsored subscribe subscription topbar".split()
+HINTS = "login pager pagination recommended recommendations related search share sharing signup skip social tagcloud tags toolbar widget widgets".split()
+HINTED = "fieldset label option input".split()
 ROLES = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
 
-_RAW, _SKIP, _BLOCK, _VOID, _NAMES, _ROLES = map(frozenset, (RAW, SKIP, BLOCK, VOID, NAMES, ROLES))
+_RAW, _SKIP, _BLOCK, _VOID, _NAMES, _HINTS, _HINTED, _ROLES = map(frozenset, (RAW, SKIP, BLOCK, VOID, NAMES, HINTS, HINTED, ROLES))
 _CLOSES = {"p": frozenset(_BLOCK - {"br"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+_KEY = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_ASKED = frozenset(["class", "id", "role", "hidden", "aria-hidden", "style"])
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW + SKIP}
 #: Lines in a window.
 WINDOW = 3
 #: A run of lines stands out if one of its windows has this many characters, or this part of the page's most.
@@ -52,46 +61,107 @@ _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre caption
 
 class Line(NamedTuple):
     """A block's text, characters of it in links, letters and digits outside them, whether it stands in a marked
-    article, the container it is in, and the block's name."""
+    article, whether a name hints that it is no running text, the container it is in, and the block's name."""
 
     text: str
     links: int
     plain: int
     inside: bool
+    hinted: bool
     home: int
     block: str
 
 
-def _named_away(name: str, attrs: str) -> bool:
-    """Whether class, id, role or style take the element out of the article."""
-    if not attrs or name in ("body", "html", "article", "main") and "omment" not in attrs and "dvert" not in attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+class _Page:
+    """A page's text with searches that look at no part of it twice in vain."""
+
+    def __init__(self, html: str):
+        self.html, self.known = html, {}
+
+    def find(self, what, at: int) -> int:
+        """Where the string or pattern is next, or -1."""
+        since, found = self.known.get(what, (0, -2))
+        if found == -2 or at < since or -1 < found < at:
+            if isinstance(what, str):
+                found = self.html.find(what, at)
+            else:
+                m = what.search(self.html, at)
+                found = m.start() if m else -1
+            self.known[what] = at, found
+        return found
+
+    def tag(self, at: int) -> tuple[str, list[tuple[str, str]], bool, int] | None:
+        """Name (with / if it ends one; empty for a comment), attributes asked for, whether it ends with />, and where
+        the text goes on; None if < is text."""
+        html, n = self.html, len(self.html)
+        mark = html[at + 1 : at + 2]
+        if mark in ("!", "?"):
+            comment = html.startswith("<!--", at)
+            end = self.find("-->" if comment else ">", at + 2)
+            return "", [], False, n if end < 0 else end + (3 if comment else 1)
+        m = _NAME.match(html, at + 1)
+        if not m:
+            if mark != "/":
+                return None
+            end = self.find(">", at)
+            return "", [], False, n if end < 0 else end + 1
+        at, found = m.end(), []
+        while at < n and html[at] != ">":
+            k = _KEY.match(html, at)
+            key, at = (k[1] or "").lower(), k.end()
+            value = ""
+            if k[2] is not None:
+                quote = html[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ('"', "'") else -1
+                if end >= 0:
+                    value, at = html[at + 1 : end], end + 1
+                elif quote in ('"', "'"):
+                    end = self.find(">", at)
+                    value, at = html[at + 1 : n if end < 0 else end], n if end < 0 else end
+                else:
+                    v = _BARE.match(html, at)
+                    value, at = v[0], v.end()
+            if key in _ASKED:
+                found.append((key, value.lower()))
+        return m[0].lower(), found, html[at - 1 : at] == "/", min(at + 1, n)
+
+
+def _named_away(name: str, attrs: list[tuple[str, str]]) -> tuple[bool, bool]:
+    """Whether class, id, role or style take the element out of the article, and whether a name hints at that."""
+    whole = name in ("body", "html", "article", "main")
+    hint = name in _HINTED
+    for key, value in attrs:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return not whole, False
         if key == "role":
             if value in _ROLES:
-                return True
-        elif key in ("class", "id") and any(n in _NAMES or _NAMES.issuperset(_SPLIT.split(n)) for n in value.split()):
-            return True
-    return False
+                return not whole, False
+        elif key in ("class", "id"):
+            for n in value.split():
+                parts = _SPLIT.split(n)
+                if (n in _NAMES or _NAMES.issuperset(parts)) and (not whole or "comment" in n or "dvert" in n):
+                    return True, False
+                hint |= not whole and (n in _HINTS or (_NAMES | _HINTS).issuperset(parts))
+    return False, hint
 
 
 def lines_of(html: str) -> tuple[list[Line], list[int], list[int]]:
     """Blocks with text in page order; and of each container, in page order too, its parent and the last one within it.
     Container 0 is the page."""
+    page = _Page(html)
     out: list[Line] = []
     text: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, stripped
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, stripped, hinted
+    open_: dict[str, list[int]] = {}  # where in the stack each name is
+    blocks: list[int] = []  # where blocks and what closes by itself are
     homes, parent, last = [0], [0], [0]
-    state = {"links": 0, "plain": 0, "away": 0, "article": 0, "a": 0}
+    state = {"links": 0, "plain": 0, "away": 0, "hint": 0, "article": 0, "a": 0}
 
     def flush() -> None:
         line = " ".join(unescape("".join(text)).split())
         if line:
-            block = next((name for name, _ in reversed(stack) if name in _BLOCK), "")
-            out.append(Line(line, state["links"], state["plain"], state["article"] > 0, homes[-1], block))
+            block = next((stack[i][0] for i in reversed(blocks) if stack[i][0] in _BLOCK), "")
+            out.append(Line(line, state["links"], state["plain"], state["article"] > 0, state["hint"] > 0, homes[-1], block))
         text.clear()
         state["links"] = state["plain"] = 0
 
@@ -105,8 +175,12 @@ def lines_of(html: str) -> tuple[list[Line], list[int], list[int]]:
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            name, away = stack.pop()
+            name, away, hint = stack.pop()
+            open_[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
             state["away"] -= away
+            state["hint"] -= hint
             if name in _HOLDS:
                 last[homes.pop()] = len(parent) - 1
             if name in ("article", "main"):
@@ -116,41 +190,44 @@ def lines_of(html: str) -> tuple[list[Line], list[int], list[int]]:
 
     at, n = 0, len(html)
     while at < n:
-        m = _TAG.search(html, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
             put(html[at:])
             break
-        put(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        tag = page.tag(start)
+        if tag is None:
+            put(html[at : start + 1])
+            at = start + 1
+            continue
+        put(html[at:start])
+        name, attrs, empty, at = tag
+        if not name:
             continue
-        name = m[2].lower()
-        block = name in _BLOCK
-        if block:
+        bare = name.lstrip("/")
+        if bare in _BLOCK:
             flush()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+        if name[0] == "/":
+            if open_.get(bare):
+                pop(open_[bare][-1])
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _CLOSES:
-                if name in _CLOSES[stack[i][0]]:
-                    pop(i)
-                break
-            if stack[i][0] in _BLOCK:
-                break
+        if blocks and name in _CLOSES.get(stack[blocks[-1]][0], ()):
+            pop(blocks[-1])
         if name in _RAW:
-            end = _END[name].search(html, at)
-            if not m[3].endswith("/") or name not in ("svg", "math"):
-                at = end.end() if end else (n if name in ("script", "style", "textarea", "title", "xmp") else at)
+            end = page.find(_END[name], at)
+            if end >= 0 or name in ("script", "style", "textarea", "title", "xmp"):
+                at = page.find(">", end) + 1 if end >= 0 else n
+                at = at or n
             continue
-        if name in _VOID:
+        if name in _VOID or empty and name in ("svg", "math"):
             continue
-        away = name in _SKIP or name == "header" and not state["article"] or _named_away(name, m[3])
-        stack.append((name, away))
+        away, hint = _named_away(name, attrs)
+        away = away or name == "header" and not state["article"] or name in _SKIP and page.find(_END[name], at) >= 0
+        open_.setdefault(name, []).append(len(stack))
+        if name in _BLOCK or name in _CLOSES:
+            blocks.append(len(stack))
+        stack.append((name, away, hint))
         state["away"] += away
+        state["hint"] += hint
         if name in _HOLDS:
             parent.append(homes[-1])
             last.append(0)
@@ -176,13 +253,25 @@ def _runs(at: list[int], gap: int) -> list[tuple[int, int]]:
     return out
 
 
+def _within_dives(size: list[int], prose: list[bool], runs: list[tuple[int, int]]) -> list[int]:
+    """The lines of a marked article: all, but for those before its first run and after its last that a dive, a whole
+    window of lines without running text, parts from it."""
+    if not runs:
+        return list(range(len(size)))
+    at = [i for i in range(len(size)) if size[i] or prose[i]]
+    lo, hi = at[0], at[-1]
+    return list(range(0 if lo < WINDOW else lo, len(size) if len(size) - 1 - hi < WINDOW else hi + 1))
+
+
 def main_text(html: str) -> str:
     """The page's article, its blocks joined by line breaks."""
     lines, parent, last = lines_of(html)
+    if 2 * sum(x.plain for x in lines if x.hinted) <= sum(x.plain for x in lines):
+        lines = [x for x in lines if not x.hinted or x.plain >= SURGE]
     size = [max(0, len(x.text) - 2 * x.links) for x in lines]
-    marked = [i for i, x in enumerate(lines) if x.inside]
-    if marked and 2 * sum(size[i] for i in marked) >= sum(size):
-        return "\n".join(lines[i].text for i in marked)
+    marked = 2 * sum(n for n, x in zip(size, lines, strict=True) if x.inside) >= sum(size) and any(x.inside for x in lines)
+    if marked:
+        lines, size = [x for x in lines if x.inside], [n for n, x in zip(size, lines, strict=True) if x.inside]
     prose = [x.plain >= PROSE for x in lines]
     if not any(size):  # links everywhere
         size = [x.plain if p else 0 for x, p in zip(lines, prose, strict=True)]
@@ -194,6 +283,10 @@ def main_text(html: str) -> str:
 
     # a dive is a window without text, so at least as many lines
     runs = [r for r in _runs([i for i, n in enumerate(size) if n], WINDOW) if stands_out(*r)]
+    if marked:
+        return "\n".join(lines[i].text for i in _within_dives(size, prose, runs))
+    if not runs:
+        return ""
     weight = [0] * len(parent)
     for lo, hi in runs:
         for i in range(lo, hi + 1):
