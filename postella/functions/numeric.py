@@ -7,20 +7,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# ln(n!) below 10, the coefficients of Abramowitz and Stegun 7.1.26, Winitzki's constant.
-SMALL = [math.lgamma(n + 1) for n in range(10)]
+# ln(n!) below 32, the coefficients of Abramowitz and Stegun 7.1.26, Winitzki's constant.
+SMALL = [math.lgamma(n + 1) for n in range(32)]
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
 WINITZKI = 0.147
 
 
 def log_factorials(*n: str) -> str:
-    """SQL of the sum of ln(n!): Stirling's series from 10 on, where it is exact to doubles; a table below. No
+    """SQL of the sum of ln(n!): Stirling's series from 32 on, where it is exact to doubles; a table below. No
     lookup join is needed, and the series stands in the plan once for all n."""
     small = ", ".join(f"{v!r}D" for v in SMALL)
     d = "cast(n as double)"
     series = f"{d} * ln({d}) - {d} + 0.5D * ln({2 * math.pi!r}D * {d}) + 1 / (12 * {d}) - 1 / (360 * {d} * {d} * {d}) + 1 / (1260 * {d} * {d} * {d} * {d} * {d})"
-    one = f"case when n < 10 then element_at(array({small}), cast(n as int) + 1) else {series} end"
+    one = f"case when n < 32 then element_at(array({small}), cast(n as int) + 1) else {series} end"
     return f"aggregate(array({', '.join(f'cast({x} as bigint)' for x in n)}), 0D, (a, n) -> a + {one})"
 
 

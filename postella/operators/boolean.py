@@ -21,15 +21,15 @@ def find_query(atlas: Atlas, q: Query, datasets: list[str] | None = None) -> Dat
     a query of exclusions alone reads the cells that have none of the genes."""
     key = ["dataset", "cell_type", "cell_id"]
     if not q.genes:
-        return scoped(atlas.cells, datasets).select(*key).limit(0)
-    entries = scoped(atlas.expression, datasets).where(F.col("gene").isin(q.genes))
+        return scoped(atlas, atlas.cells, datasets).select(*key).limit(0)
+    entries = scoped(atlas, atlas.expression, datasets).where(F.col("gene").isin(q.genes))
 
     def n(genes: list[str]):
         return F.count_if(F.col("gene").isin(genes)) if genes else F.lit(0)
 
     found = entries.groupBy(*key).agg(n(q.required).alias("p"), n(q.any_of).alias("o"), n(q.excluded).alias("x"), n(q.excluded_any).alias("xo"))
     if q.only_excludes:
-        found = scoped(atlas.cells, datasets).select(*key).join(found, key, "left").fillna(0, ["p", "o", "x", "xo"])
+        found = scoped(atlas, atlas.cells, datasets).select(*key).join(found, key, "left").fillna(0, ["p", "o", "x", "xo"])
     keep = F.col("p") == len(q.required)
     if q.any_of:
         keep &= F.col("o") >= 1
@@ -40,6 +40,11 @@ def find_query(atlas: Atlas, q: Query, datasets: list[str] | None = None) -> Dat
     return found.where(keep).select(*key)
 
 
+def contingency_table(hits: DataFrame) -> DataFrame:
+    """(cell_type, n_cells): how many hits each type has."""
+    return hits.groupBy("cell_type").agg(F.count("*").alias("n_cells"))
+
+
 def cells_by_type(hits: DataFrame) -> DataFrame:
     """Hits as one sorted array of cell ids for each type."""
     return hits.groupBy("cell_type").agg(F.sort_array(F.collect_list("cell_id")).alias("cell_ids"))

@@ -24,18 +24,34 @@ def dequantise(codes: DataFrame, bits: int) -> DataFrame:
     return codes.withColumn("decoded", log_normal_quantile(middle, F.col("mu"), F.col("sigma")))
 
 
-def cell_type_expression(atlas: Atlas, cell_type: str, quantised: bool = False) -> DataFrame:
-    """(gene, cell_id, value): every gene of the type by every cell of it, zeros included."""
+def _entries(atlas: Atlas, cell_type: str, quantised: bool) -> DataFrame:
+    """(gene, cell_id, value) of the type's entries, values as they are or as their codes decode."""
     e = atlas.expression.where(F.col("cell_type") == cell_type)
     if quantised:
         one = Atlas(e, atlas.cells, atlas.cell_types, atlas.qb)
-        e = dequantise(quantise(one), atlas.qb).select("gene", "cell_id", F.col("decoded").alias("value"))
+        return dequantise(quantise(one), atlas.qb).select("gene", "cell_id", F.col("decoded").alias("value"))
+    return e.select("gene", "cell_id", "value")
+
+
+def cell_type_expression(atlas: Atlas, cell_type: str, quantised: bool = False) -> DataFrame:
+    """(gene, cell_id, value): every gene of the type by every cell of it, zeros included."""
+    e = _entries(atlas, cell_type, quantised)
     # the names of the type's genes, as many as the vocabulary has at most, go to where its cells are
     names = e.select("gene").distinct().agg(F.collect_list("gene").alias("genes"))
     full = atlas.cells.where(F.col("cell_type") == cell_type).select("cell_id").join(F.broadcast(names)).select("cell_id", F.explode("genes").alias("gene"))
     return full.join(e.select("gene", "cell_id", "value"), ["gene", "cell_id"], "left").select("gene", "cell_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def cell_type_vectors(atlas: Atlas, cell_type: str, quantised: bool = False) -> DataFrame:
+    """(gene, values): the same with one array for each gene, in the order of cells; only what isn't zero is shuffled."""
+    e = _entries(atlas, cell_type, quantised)
+    n = atlas.cell_types.where(F.col("cell_type") == cell_type).select("total_cells")
+    of = e.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("cell_id", "value"))).alias("of"))
+    return of.join(F.broadcast(n)).select("gene", F.expr("transform(sequence(1L, total_cells), i -> coalesce(of[i], 0D))").alias("values"))
+
+
 def cell_type_matrix(atlas: Atlas, cell_type: str, quantised: bool = False) -> DataFrame:
-    """The same as a wide frame with a column for each cell."""
-    return cell_type_expression(atlas, cell_type, quantised).groupBy("gene").pivot("cell_id").agg(F.first("value")).fillna(0.0)
+    """The same as a wide frame with a column for each cell; `cell_type_vectors` suits types of very many cells better."""
+    n = atlas.cell_types.where(F.col("cell_type") == cell_type).agg(F.coalesce(F.sum("total_cells"), F.lit(0))).first()[0]
+    vectors = cell_type_vectors(atlas, cell_type, quantised)
+    return vectors.select("gene", *[F.get("values", F.lit(i)).alias(str(i + 1)) for i in range(n)])

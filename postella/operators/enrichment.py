@@ -16,7 +16,7 @@ def enrich(atlas: Atlas, hits: DataFrame, datasets: list[str] | None = None) ->
     are hit, adjusted by Holm for the number of all types in the datasets. Beyond counting the hits, all
     is done on one row for each type."""
     per = hits.groupBy("cell_type").agg(F.count("*").alias("cell_hits"))
-    types = scoped(atlas.cell_types, datasets).select("cell_type", "total_cells")
+    types = scoped(atlas, atlas.cell_types, datasets).select("cell_type", "total_cells")
     n = types.agg(F.count("*").alias("__n"))
     every = Window.partitionBy()
     rows = per.join(types, "cell_type").withColumns({"__k": F.sum("cell_hits").over(every), "__u": F.sum("total_cells").over(every)})

@@ -34,6 +34,8 @@ def peaks_within(peaks: DataFrame, text: str) -> DataFrame:
     frame = spark.createDataFrame(asked, "input string, q_chromosome string, q_start long, q_end long")
     p = parsed(peaks)
     inside = (F.col("chromosome") == F.col("q_chromosome")) & (F.col("p_start") >= F.col("q_start")) & (F.col("p_end") <= F.col("q_end"))
+    guard = peaks.agg(F.coalesce(F.bool_and(F.col("gene").startswith("chr")), F.lit(True)).alias("all_peaks"))
+    p = p.join(F.broadcast(guard)).where("all_peaks")
     return p.join(F.broadcast(frame), inside).select("input", "gene", "chromosome", F.col("q_start").alias("loc_1"), F.col("p_start").alias("loc_2"), F.col("p_end").alias("loc_3"), F.col("q_end").alias("loc_4"))
 
 

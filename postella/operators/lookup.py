@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from ..plans.atlas import Atlas
 
 
-def scoped(df: DataFrame, datasets: list[str] | None) -> DataFrame:
-    """Rows of the datasets; of all where none is named."""
-    return df if datasets is None else df.where(F.col("dataset").isin(list(datasets)))
-
-
 def select_datasets(atlas: Atlas, datasets: list[str] | None) -> list[str]:
     """The named datasets, or all; an unknown one is an error."""
     have = atlas.datasets()
@@ -25,6 +20,11 @@ def select_datasets(atlas: Atlas, datasets: list[str] | None) -> list[str]:
     return list(datasets)
 
 
+def scoped(atlas: Atlas, df: DataFrame, datasets: list[str] | None) -> DataFrame:
+    """Rows of the datasets, of all where none is named; an unknown one is an error."""
+    return df if datasets is None else df.where(F.col("dataset").isin(select_datasets(atlas, datasets)))
+
+
 def gene_names(atlas: Atlas) -> DataFrame:
     return atlas.genes.select("gene").orderBy("gene")
 
@@ -51,12 +51,12 @@ def case_correct(atlas: Atlas, names: list[str]) -> DataFrame:
 
 
 def cell_type_names(atlas: Atlas, datasets: list[str] | None = None) -> DataFrame:
-    return scoped(atlas.cell_types, datasets).select("cell_type", "dataset", "label")
+    return scoped(atlas, atlas.cell_types, datasets).select("cell_type", "dataset", "label")
 
 
 def query_genes(atlas: Atlas, genes: list[str], datasets: list[str] | None = None) -> DataFrame:
     """All entries of any of the genes."""
-    return scoped(atlas.expression, datasets).where(F.col("gene").isin(list(genes)))
+    return scoped(atlas, atlas.expression, datasets).where(F.col("gene").isin(list(genes)))
 
 
 def entry_of(atlas: Atlas, gene: str, cell_type: str) -> DataFrame:
@@ -70,6 +70,12 @@ def posting_lists(atlas: Atlas) -> DataFrame:
     return p.join(atlas.cell_types.select("cell_type", "total_cells"), "cell_type").select("gene", "cell_type", "cell_ids", "n_cells", F.log2(F.col("total_cells") / F.col("n_cells")).alias("idf"))
 
 
+def posting_at(atlas: Atlas, i: int) -> DataFrame:
+    """(gene, cell_type, cell_id, value) of the i-th posting from 0 in the order of genes and types; nothing if there is none."""
+    one = atlas.support.select("gene", "cell_type").orderBy("gene", "cell_type").offset(max(i, 0)).limit(1 if i >= 0 else 0)
+    return atlas.expression.join(F.broadcast(one), ["gene", "cell_type"]).select("gene", "cell_type", "cell_id", "value")
+
+
 def known_types(atlas: Atlas, universe: list[str]) -> DataFrame:
     """(cell_type, known): which of the asked types the index has."""
     asked = atlas.spark.createDataFrame([(t,) for t in dict.fromkeys(universe)], "cell_type string")
@@ -86,21 +92,26 @@ def cell_meta(atlas: Atlas, cell_type: str | None = None, cell_id: int | None =
 def gene_support(atlas: Atlas, genes: list[str], datasets: list[str] | None = None) -> DataFrame:
     """(gene, n_cells) for every asked gene, 0 where it has no cells."""
     asked = atlas.spark.createDataFrame([(g,) for g in dict.fromkeys(genes)], "gene string")
-    n = scoped(atlas.support, datasets).where(F.col("gene").isin(list(genes))).groupBy("gene").agg(F.sum("n_cells").alias("n_cells"))
+    n = scoped(atlas, atlas.support, datasets).where(F.col("gene").isin(list(genes))).groupBy("gene").agg(F.sum("n_cells").alias("n_cells"))
     return asked.join(n, "gene", "left").select("gene", F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
 
 
 def gene_support_by_type(atlas: Atlas, genes: list[str], datasets: list[str] | None = None) -> DataFrame:
-    return scoped(atlas.support, datasets).where(F.col("gene").isin(list(genes))).select("gene", "cell_type", "n_cells")
+    return scoped(atlas, atlas.support, datasets).where(F.col("gene").isin(list(genes))).select("gene", "cell_type", "n_cells")
 
 
 def zero_support_genes(atlas: Atlas, datasets: list[str]) -> DataFrame:
     """Genes that have no cell in the datasets."""
-    return atlas.genes.join(scoped(atlas.support, datasets).select("gene"), "gene", "left_anti").select("gene")
+    return atlas.genes.join(scoped(atlas, atlas.support, datasets).select("gene"), "gene", "left_anti").select("gene")
+
+
+def zero_support_count(atlas: Atlas, datasets: list[str]) -> DataFrame:
+    """(n_genes): how many genes have no cell in the datasets."""
+    return zero_support_genes(atlas, datasets).agg(F.count("*").alias("n_genes"))
 
 
 def total_cells(atlas: Atlas, datasets: list[str] | None = None) -> DataFrame:
-    return scoped(atlas.cell_types, datasets).agg(F.coalesce(F.sum("total_cells"), F.lit(0)).alias("total_cells"), F.count("*").alias("n_cell_types"))
+    return scoped(atlas, atlas.cell_types, datasets).agg(F.coalesce(F.sum("total_cells"), F.lit(0)).alias("total_cells"), F.count("*").alias("n_cell_types"))
 
 
 def cell_type_support(atlas: Atlas, cell_types: list[str]) -> DataFrame:

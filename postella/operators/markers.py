@@ -43,16 +43,20 @@ def _sort_field(field: str) -> str:
     return field
 
 
+def _asked(cell_types: list[str]) -> Column:
+    """Where a row's type stands among those asked."""
+    return F.array_position(F.array(*[F.lit(t) for t in cell_types]), F.col("cell_type"))
+
+
 def top_markers(atlas: Atlas, cell_types: list[str], background: list[str] | None = None, top_k: int = 5, sort_field: str = "f1") -> DataFrame:
     """The best genes over all requested types together, ties in the order of types asked, then genes."""
-    order = F.array_position(F.array(*[F.lit(t) for t in cell_types]), F.col("cell_type"))
-    return score(atlas, cell_types, background).orderBy(F.col(_sort_field(sort_field)).desc(), order, "gene").limit(top_k)
+    return score(atlas, cell_types, background).orderBy(F.col(_sort_field(sort_field)).desc(), _asked(cell_types), "gene").limit(top_k)
 
 
 def evaluate(atlas: Atlas, genes: list[str], cell_types: list[str], background: list[str] | None = None, sort_field: str = "f1") -> DataFrame:
-    """Scores of the given genes, ascending."""
+    """Scores of the given genes, ascending, ties in the order of types asked, then genes."""
     known = list(dict.fromkeys(resolve_genes(atlas, genes).values()))
-    return score(atlas, cell_types, background, known).orderBy(_sort_field(sort_field), "cell_type", "gene")
+    return score(atlas, cell_types, background, known).orderBy(_sort_field(sort_field), _asked(cell_types), "gene")
 
 
 def evaluate_all(atlas: Atlas, genes: list[str], cell_types: list[str], background: list[str] | None = None) -> DataFrame:

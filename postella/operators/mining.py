@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.atlas import Atlas
+from .display import signif
 from .lookup import query_genes, resolve_genes, scoped
 
 KEY = ["dataset", "cell_type", "cell_id"]
-#: Genes up to which all sets are enumerated by bit masks.
-MASK_GENES = 20
+#: Genes of which all sets are enumerated at most, as they are bits of a number.
+MASK_GENES = 32
 
 
 def tfidf(atlas: Atlas, genes: list[str], datasets: list[str] | None = None) -> DataFrame:
     """(gene, tfidf): a gene's share of reads summed over its cells, times (cells in the datasets) / (its cells anywhere)."""
-    total = scoped(atlas.cell_types, datasets).agg(F.sum("total_cells").alias("__total"))
+    total = scoped(atlas, atlas.cell_types, datasets).agg(F.sum("total_cells").alias("__total"))
     e = query_genes(atlas, genes, datasets).join(atlas.cells.select(*KEY, "reads"), KEY)
     per = e.groupBy("gene").agg(F.sum(F.col("value") / F.col("reads")).alias("tf"))
     reads = atlas.genes.where(F.col("gene").isin(list(genes)))
@@ -42,18 +43,38 @@ def transactions(atlas: Atlas, genes: list[str], datasets: list[str] | None = No
     return query_genes(atlas, genes, datasets).groupBy(*KEY).agg(F.array_sort(F.collect_set("gene")).alias("items"))
 
 
+def _all_sets(entries: DataFrame, genes: list[str], cutoff: int) -> DataFrame:
+    """(s, n_cells): bit sets of two or more genes, size by size. Cells with the same genes count as one row; a row has only
+    those sets of a size that are frequent and grow by a later gene, so no set is made that could be ruled out before."""
+    bit = F.element_at(F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(1 << i).cast("long"))]), F.col("gene"))
+    masks = entries.groupBy(*KEY).agg(F.bit_or(bit).alias("mask")).groupBy("mask").agg(F.count("*").alias("n")).where("bit_count(mask) > 1")
+    bits = ", ".join(f"{1 << i}L" for i in range(len(genes)))
+    later = f"filter(array({bits}), b -> mask & b <> 0 and b > s)"
+    now, found = masks.withColumn("s", F.lit(0).cast("long")), None
+    for size in range(1, len(genes) + 1):
+        now = now.selectExpr("mask", "n", "s", f"explode({later}) b").selectExpr("mask", "n", "s | b s").persist()
+        level = now.groupBy("s").agg(F.sum("n").alias("n_cells")).where(F.col("n_cells") >= cutoff).persist()
+        if level.isEmpty():
+            break
+        if size > 1:
+            found = level if found is None else found.union(level)
+        now = now.join(level.select("s"), "s", "left_semi").select("mask", "n", "s")
+    return found if found is not None else masks.selectExpr("mask s", "n n_cells").limit(0)
+
+
 def frequent_sets(atlas: Atlas, genes: list[str], datasets: list[str] | None = None, cutoff: int = 1, exhaustive: bool = False) -> DataFrame:
-    """(query, items, n_cells): sets of two or more genes that at least `cutoff` cells have together."""
+    """(query, items, n_cells): sets of two or more genes that at least `cutoff` cells have together. With a cutoff of 0
+    the exhaustive way gives every set, those of no cell too."""
+    every = exhaustive and int(cutoff) <= 0
     cutoff = max(int(cutoff), 1)
     genes = sorted(dict.fromkeys(genes))
     if exhaustive:
         if len(genes) > MASK_GENES:
             raise ValueError(f"all sets are enumerated for up to {MASK_GENES} genes")
-        bit = F.element_at(F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(1 << i))]), F.col("gene"))
-        masks = query_genes(atlas, genes, datasets).groupBy(*KEY).agg(F.bit_or(bit).alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
-        # few distinct masks are left; each one counts for all of its subsets
-        sets = masks.select("mask", "n", F.explode(F.sequence(F.lit(1), F.lit((1 << len(genes)) - 1))).alias("s")).where(F.expr("mask & s = s and bit_count(s) > 1"))
-        found = sets.groupBy("s").agg(F.sum("n").alias("n_cells")).where(F.col("n_cells") >= cutoff)
+        found = _all_sets(query_genes(atlas, genes, datasets), genes, cutoff)
+        if every:
+            whole = atlas.spark.range(1, 1 << len(genes)).where("bit_count(id) > 1").withColumnRenamed("id", "s")
+            found = whole.join(found, "s", "left").select("s", F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
         found = found.withColumn("__g", F.array(*[F.lit(g) for g in genes])).selectExpr("filter(__g, (g, i) -> shiftright(s, i) & 1 = 1) items", "n_cells")
     else:
         from pyspark.ml.fpm import FPGrowth
@@ -76,6 +97,14 @@ def marker_genes(atlas: Atlas, terms: list[str], datasets: list[str] | None = No
     return scored.groupBy("query", "n_cells").agg(F.count("*").alias("n_genes"), (F.sum("tfidf") * F.min("tfidf")).alias("tfidf")).select("n_genes", "query", "tfidf", "n_cells")
 
 
+def recommended_queries(atlas: Atlas, terms: list[str], datasets: list[str] | None) -> DataFrame:
+    """What a front end offers: the sub-queries of more than one gene, some of them known, in one dataset or more, their scores to
+    five digits; else nothing."""
+    some = len(terms) > 1 and datasets and resolve_genes(atlas, terms)
+    found = marker_genes(atlas, terms, datasets) if some else atlas.spark.createDataFrame([], "n_genes long, query string, tfidf double, n_cells long")
+    return found.withColumn("tfidf", signif(F.col("tfidf"), 5))
+
+
 def best_subquery(found: DataFrame) -> DataFrame:
     """(position, gene): the genes of the sub-query with the highest score."""
     best = found.orderBy(F.col("tfidf").desc(), "query").limit(1)

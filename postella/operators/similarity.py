@@ -12,13 +12,15 @@ from .lookup import resolve_genes, scoped
 
 def similar_genes(atlas: Atlas, terms: list[str], datasets: list[str] | None = None, top_k: int = 5) -> DataFrame:
     """(gene, jaccard, overlap, n), the top_k most similar in ascending order; genes asked by their bare
-    names are left out. All genes are counted in one pass."""
+    names are left out. Supports tell n; of the entries only those of the hits are counted."""
     key = ["dataset", "cell_type", "cell_id"]
     hits = find(atlas, terms, datasets)
     size = hits.agg(F.count("*").alias("size"))
     asked = list(resolve_genes(atlas, [t for t in terms if not t.startswith(("*", "-"))]).values())
-    entries = scoped(atlas.expression, datasets).select(*key, "gene").where(~F.col("gene").isin(asked)) if asked else scoped(atlas.expression, datasets).select(*key, "gene")
-    marked = entries.join(hits.withColumn("hit", F.lit(1)), key, "left")
-    per = marked.groupBy("gene").agg(F.count("hit").alias("overlap"), F.count("*").alias("n")).join(F.broadcast(size))
+    others = ~F.col("gene").isin(asked) if asked else F.lit(True)
+    entries = scoped(atlas, atlas.expression, datasets).select(*key, "gene").where(others)
+    met = entries.join(hits, key).groupBy("gene").agg(F.count("*").alias("overlap"))
+    n = scoped(atlas, atlas.support, datasets).where(others).groupBy("gene").agg(F.sum("n_cells").alias("n"))
+    per = n.join(met, "gene", "left").select("gene", F.coalesce("overlap", F.lit(0)).alias("overlap"), "n").join(F.broadcast(size))
     rows = per.select("gene", (F.col("overlap") / (F.col("size") + F.col("n") - F.col("overlap"))).alias("jaccard"), "overlap", "n")
     return rows.orderBy(F.col("jaccard").desc(), F.col("gene").desc()).limit(top_k).orderBy("jaccard", "gene")

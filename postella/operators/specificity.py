@@ -27,7 +27,7 @@ def cell_type_specificity(atlas: Atlas, genes: list[str] | None = None, datasets
     """(gene, n_types): types where the gene is in more than min_cells cells and more than the fraction."""
     if not 0 < min_fraction < 1:
         raise ValueError("min_fraction must be between 0 and 1")
-    s = scoped(atlas.support, datasets).join(atlas.cell_types.select("cell_type", "total_cells"), "cell_type")
+    s = scoped(atlas, atlas.support, datasets).join(atlas.cell_types.select("cell_type", "total_cells"), "cell_type")
     wide = s.where(F.col("n_cells") > F.greatest(F.lit(float(min_cells)), F.col("total_cells") * min_fraction))
     return _counted(_asked(atlas, genes), wide, "n_types")
 
@@ -41,29 +41,52 @@ def tissue_specificity(atlas: Atlas, genes: list[str] | None = None, min_cells:
 
 
 def housekeeping(atlas: Atlas, cell_types: list[str], min_recall: float = 0.5, max_genes: int = 1000) -> DataFrame:
-    """Genes that are among the max_genes of highest recall in every type, and above min_recall there."""
+    """Genes that are among the max_genes of highest recall in every type, and above min_recall there. More genes than
+    there are, or no such gene, is an error."""
     if not 0 < min_recall < 1:
         raise ValueError("min_recall must be between 0 and 1")
+    if max_genes > (n := atlas.genes.count()):
+        raise ValueError(f"max_genes must be at most {n}, the number of genes")
     types = list(dict.fromkeys(cell_types))
     best = Window.partitionBy("cell_type").orderBy(F.col("recall").desc(), "gene")
     top = score(atlas, types).withColumn("nth", F.row_number().over(best)).where((F.col("nth") <= max_genes) & (F.col("recall") > min_recall))
-    return top.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") == len(types)).select("gene")
+    found = top.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") == len(types)).select("gene")
+    if found.isEmpty():
+        raise ValueError("no housekeeping gene is found")
+    return found
+
+
+#: Positions that a first pass over signatures looks at; each further one looks at four times as many.
+FIRST = 16
+#: Rows of ranked genes up to which they are sent to where the entries are.
+SENT = 100_000
 
 
 def signature(atlas: Atlas, cell_types: list[str], max_genes: int = 1000, min_cells: int = 10, max_pval: float = 0.0) -> DataFrame:
     """(target, position, gene): for each type its genes by recall, as long as the cells that have all of them
     so far hold the type, enriched enough, in as many cells as it has (or min_cells if that is more). A list
-    that no cell at all satisfies goes on. Every list is a prefix, so one aggregation finds the length of
-    each cell's unbroken prefix, and all prefixes' hits are sums over lengths."""
+    that no cell at all satisfies goes on. Lists mostly end early, so a pass looks at the first positions only, and those
+    that haven't ended by then at more; the driver sees one number for each type."""
     best = Window.partitionBy("cell_type").orderBy(F.col("recall").desc(), "gene")
     lower = [t.lower() for t in cell_types]
     names = [r.cell_type for r in atlas.cell_types.where(F.lower("cell_type").isin(lower)).select("cell_type").collect()]
     ranked = score(atlas, names).withColumn("position", F.row_number().over(best)).where(F.col("position") <= max_genes).select(F.col("cell_type").alias("target"), "position", "gene")
-    met = atlas.expression.select("cell_type", "cell_id", "gene").join(ranked, "gene")
-    # a cell's sorted positions equal 1, 2, ... as long as the prefix is unbroken
-    steps = F.array_sort(F.collect_list("position"))
-    unbroken = F.size(F.filter(F.transform("steps", lambda x, i: x - i - 1), lambda d: d == 0))
-    lengths = met.groupBy("target", "cell_type", "cell_id").agg(steps.alias("steps")).select("target", "cell_type", unbroken.alias("length")).where("length > 0")
+    width = FIRST
+    while True:
+        judged = _judged(atlas, ranked.where(F.col("position") <= width), len(names) * width, min_cells, max_pval)
+        longest = judged.agg(F.max("position")).first()[0] or 0
+        if longest < width or width >= max_genes:
+            return judged
+        width *= 4
+
+
+def _judged(atlas: Atlas, ranked: DataFrame, rows: int, min_cells: int, max_pval: float) -> DataFrame:
+    """The ranked genes before the first at which each list ends. Every list is a prefix, so the length of each cell's unbroken
+    prefix, of which there is one for each target, tells its hits: all prefixes' are sums over lengths."""
+    met = atlas.expression.select("cell_type", "cell_id", "gene").join(F.broadcast(ranked) if rows <= SENT else ranked, "gene")
+    # a cell's n-th position is n as long as the prefix is unbroken
+    nth = F.row_number().over(Window.partitionBy("target", "cell_type", "cell_id").orderBy("position"))
+    lengths = met.withColumn("nth", nth).where("nth = position").groupBy("target", "cell_type", "cell_id").agg(F.max("position").alias("length"))
     per = lengths.groupBy("target", "cell_type", "length").agg(F.count("*").alias("n"))
     hits = per.select("target", "cell_type", "n", F.explode(F.sequence(F.lit(1), F.col("length"))).alias("position")).groupBy("target", "cell_type", "position").agg(F.sum("n").alias("x"))
     rows = hits.join(atlas.cell_types.select("cell_type", F.col("total_cells").alias("m")), "cell_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,7 @@ class Atlas:
     def __post_init__(self) -> None:
         check_bits(self.qb)
         self._support: DataFrame | None = None
+        self._datasets: list[str] | None = None
 
     @property
     def spark(self):
@@ -56,7 +58,10 @@ class Atlas:
                 t.unpersist()
 
     def datasets(self) -> list[str]:
-        return [r.dataset for r in self.cell_types.select("dataset").distinct().orderBy("dataset").collect()]
+        """Names of the datasets, looked up once."""
+        if self._datasets is None:
+            self._datasets = [r.dataset for r in self.cell_types.select("dataset").distinct().orderBy("dataset").collect()]
+        return list(self._datasets)
 
 
 def check_bits(qb: int) -> int:
@@ -76,12 +81,28 @@ def check_dataset_name(name: str) -> str:
 BLOCK_BITS = 20
 
 
+def key_block(annotation: DataFrame, key: str) -> Column:
+    """A number that ascends with the key, and of which there is about one for every 2^BLOCK_BITS keys if they are spread
+    evenly. Strings count by the seven bytes that follow what all of them begin with; so they are read once before."""
+    kind = dict(annotation.dtypes)[key]
+    if kind in ("int", "bigint", "smallint", "tinyint"):
+        return F.shiftright(F.col(key).cast("long"), BLOCK_BITS)
+    if kind != "string":
+        return F.lit(0)
+    low, high, n = annotation.agg(F.min(key), F.max(key), F.count(key)).first()
+    if not n:
+        return F.lit(0)
+    same = len(os.path.commonprefix([low.encode(), high.encode()]))
+    number = F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("binary"), same + 1, 7)), 14, "0"), 16, 10).cast("long")
+    first, last = (int.from_bytes(x.encode()[same : same + 7].ljust(7, b"\0"), "big") for x in (low, high))
+    return F.shiftright(number - first, max(0, (last - first).bit_length() - (n >> BLOCK_BITS).bit_length()))
+
+
 def number_cells(annotation: DataFrame, key: str, block: Column | None = None) -> DataFrame:
-    """cell_id: a cell's position from 1 in its type, in the order of the key. A numeric key is cut into
+    """cell_id: a cell's position from 1 in its type, in the order of the key. Keys are cut into
     blocks, so that a type with a great part of all cells is numbered by many tasks."""
     if block is None:
-        numeric = dict(annotation.dtypes)[key] in ("int", "bigint", "smallint", "tinyint")
-        block = F.shiftright(F.col(key).cast("long"), BLOCK_BITS) if numeric else F.lit(0)
+        block = key_block(annotation, key)
     cut = annotation.withColumn("__b", block)
     before = Window.partitionBy("cell_type").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     shift = cut.groupBy("cell_type", "__b").agg(F.count("*").alias("__n")).select("cell_type", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
@@ -92,6 +113,8 @@ def number_cells(annotation: DataFrame, key: str, block: Column | None = None) -
 def build(annotation: DataFrame, entries: DataFrame, qb: int = 2, least_cells: int = 2) -> Atlas:
     """annotation(dataset, label, cell, ...) has a row for each cell; entries(cell, gene, value) one for each
     measured value, whose repeats are summed. Types of fewer than `least_cells` cells are left out."""
+    if bad := annotation.where("dataset is null or dataset = '' or contains(dataset, '.')").select("dataset").limit(1).collect():
+        check_dataset_name(bad[0].dataset)
     named = annotation.select("dataset", "label", "cell", F.concat_ws(".", "dataset", "label").alias("cell_type"))
     types = named.groupBy("cell_type").agg(F.first("dataset").alias("dataset"), F.first("label").alias("label"), F.count("*").alias("total_cells")).where(F.col("total_cells") >= least_cells)
     kept = number_cells(named.join(types.select("cell_type"), "cell_type", "left_semi"), "cell")

@@ -60,12 +60,14 @@ def _tables(kind: str) -> str:
     if kind == "orders":
         ann = head.format(k="o_orderkey") + "orders JOIN customer ON o_custkey = c_custkey " + place.format(n="c_nationkey")
         val = "SELECT l_orderkey AS k, p_brand AS gene, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
-    elif kind == "customer":
+    elif kind in ("customer", "classes"):
         ann = head.format(k="c_custkey") + "customer " + place.format(n="c_nationkey")
-        val = "SELECT o_custkey AS k, p_brand AS gene, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
+        gene = "p_brand" if kind == "customer" else "'class' || p_size % 8"
+        val = f"SELECT o_custkey AS k, {gene} AS gene, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
     else:
         ann = head.format(k="s_suppkey") + "supplier " + place.format(n="s_nationkey")
-        val = "SELECT l_suppkey AS k, p_type AS gene, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
+        gene = "p_type" if kind == "supplier" else "'P' || p_partkey"
+        val = f"SELECT l_suppkey AS k, {gene} AS gene, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
     return f"""WITH ann AS ({ann}),
 types AS (SELECT cell_type, any_value(dataset) AS dataset, any_value(label) AS label, count(*) AS total_cells FROM ann GROUP BY 1 HAVING count(*) >= 2),
 numbered AS (SELECT a.dataset, a.cell_type, a.k, row_number() OVER (PARTITION BY a.cell_type ORDER BY a.k) AS cell_id FROM ann a JOIN types USING (cell_type)),
@@ -147,9 +149,24 @@ def gene_support_ct(a):
     return lookup.gene_support_by_type(a, B[1:4])
 
 
-@query("SELECT DISTINCT gene FROM e WHERE gene NOT IN (SELECT gene FROM e WHERE dataset = 'ASIA')", "supplier")
+@query("SELECT DISTINCT gene FROM e WHERE gene NOT IN (SELECT gene FROM e WHERE dataset = (SELECT min(dataset) FROM types))", "supplier")
 def zero_support_genes(a):
-    return lookup.zero_support_genes(a, ["ASIA"])
+    return lookup.zero_support_genes(a, a.datasets()[:1])
+
+
+@query("SELECT count(DISTINCT gene) AS n_genes FROM e WHERE gene NOT IN (SELECT gene FROM e WHERE dataset = (SELECT min(dataset) FROM types))", "parts")
+def zero_support_count(a):
+    return lookup.zero_support_count(a, a.datasets()[:1])
+
+
+@query("SELECT DISTINCT gene FROM e WHERE gene NOT IN (SELECT gene FROM e WHERE dataset = (SELECT min(dataset) FROM types))", "parts")
+def zero_support_parts(a):
+    return lookup.zero_support_genes(a, a.datasets()[:1])
+
+
+@query("SELECT gene, cell_type, cell_id, value FROM e JOIN (SELECT gene, cell_type FROM sup ORDER BY gene, cell_type LIMIT 1 OFFSET 7) USING (gene, cell_type)")
+def decode_posting(a):
+    return lookup.posting_at(a, 7)
 
 
 @query("SELECT sum(total_cells)::BIGINT AS total_cells, count(*) AS n_cell_types FROM types WHERE dataset IN ('ASIA', 'EUROPE')")
@@ -226,6 +243,11 @@ def query_cells_by_type(a):
     return boolean.cells_by_type(boolean.find(a, B[1:3])).select("cell_type", F.array_join("cell_ids", ",").alias("cell_ids"))
 
 
+@query(f"SELECT cell_type, count(*) AS n_cells FROM {_AND} GROUP BY 1")
+def contingency_table(a):
+    return boolean.contingency_table(boolean.find(a, B[1:3]))
+
+
 # enrichment
 
 
@@ -241,6 +263,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, ROUND) for c in columns})
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """The rows of a short result with their places in it, from 1."""
+    return df.limit(1000).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 @query(_hyper(_AND))
 def hyper_query(a):
     return _rounded(enrichment.hyper_query(a, B[1:3]), "pval")
@@ -287,6 +314,16 @@ def markers_by_recall(a):
     return _rounded(markers.top_markers(a, TYPES, top_k=10, sort_field="recall"), *_METRICS)
 
 
+@query(f"SELECT row_number() OVER (ORDER BY f1 DESC, list_position([{_in(TYPES)}], cell_type), gene) AS position, cell_type, gene FROM ({_scores(TYPES)}) ORDER BY 1 LIMIT 12")
+def markers_topk_in_order(a):
+    return _in_order(markers.top_markers(a, TYPES, top_k=12)).select("position", "cell_type", "gene")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY fn, list_position([{_in(TYPES)}], cell_type), gene) AS position, cell_type, gene FROM ({_scores(TYPES, where=f's.gene IN ({_in(B[1:9])})')})")
+def evaluate_markers_in_order(a):
+    return _in_order(markers.evaluate(a, B[1:9], TYPES, sort_field="fn")).select("position", "cell_type", "gene")
+
+
 @query(_scores(TYPES, where=f"s.gene IN ({_in(B[1:4])})"))
 def evaluate_markers(a):
     return _rounded(markers.evaluate(a, ["brand#1", *B[2:4]], TYPES), *_METRICS)
@@ -322,9 +359,28 @@ def housekeeping(a):
     return specificity.housekeeping(a, TYPES, max_genes=20)
 
 
-@query(kind="supplier")
-def signature(a):
-    return specificity.signature(a, TYPES, max_genes=200, min_cells=1, max_pval=1.0)
+def _signature(types: str, max_genes: int, min_cells: int, max_pval: float) -> str:
+    """Each prefix of a type's list as a conjunction of its own: the cells that have as many of its genes as it has, their
+    types' tails over lgamma, Holm's adjustment among them, and the lists up to the first prefix that fails."""
+    lc = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+    return f"""SELECT target, position, gene FROM (SELECT *, max(bad::INT) OVER (PARTITION BY target ORDER BY position) AS stop FROM (
+SELECT r.target, r.position, r.gene, EXISTS (SELECT 1 FROM judged j WHERE j.target = r.target AND j.position = r.position) AND coalesce((SELECT j.pval > {max_pval} OR j.x < greatest({min_cells}, j.m) FROM judged j WHERE j.target = r.target AND j.position = r.position AND j.cell_type = r.target), true) AS bad
+FROM ranked r)) WHERE stop = 0""", f""", ranked AS (SELECT cell_type AS target, gene, row_number() OVER (PARTITION BY cell_type ORDER BY n_cells / total_cells DESC, gene)::INT AS position FROM sup JOIN types USING (cell_type) WHERE {types} QUALIFY position <= {max_genes}),
+prefix_hits AS (SELECT target, position, cell_type, count(*) AS x FROM (SELECT p.target, p.position, e.cell_type, e.cell_id FROM ranked p JOIN ranked r ON r.target = p.target AND r.position <= p.position JOIN e ON e.gene = r.gene GROUP BY 1, 2, 3, 4 HAVING count(*) = p.position) GROUP BY 1, 2, 3),
+tails AS (SELECT *, 1 - (1 - coalesce(list_sum(list_transform(CASE WHEN x + 1 <= least(k, m) THEN range(x + 1, least(k, m) + 1) ELSE [] END, lambda j: CASE WHEN k - j <= u - m THEN exp({lc('m', 'j')} + {lc('(u - m)', '(k - j)')} - {lc('u', 'k')}) ELSE 0 END)), 0)) AS p FROM (
+SELECT target, position, h.cell_type, x, total_cells AS m, (sum(x) OVER (PARTITION BY target, position))::BIGINT AS k, (sum(total_cells) OVER (PARTITION BY target, position))::BIGINT AS u FROM prefix_hits h JOIN types t ON h.cell_type = t.cell_type)),
+judged AS (SELECT target, position, cell_type, x, m, least(1.0, max(((SELECT count(*) FROM types) - i + 1) * p) OVER (PARTITION BY target, position ORDER BY i ROWS UNBOUNDED PRECEDING)) AS pval FROM (SELECT *, row_number() OVER (PARTITION BY target, position ORDER BY p) AS i FROM tails))"""
+
+
+def _signature_query(name: str, kind: str, types: list[str] | None, *how) -> None:
+    sql, tables_ = _signature(f"cell_type IN ({_in(types)})" if types else "true", *how)
+    _queries[name] = lambda spark, sf_dir: (lambda a: specificity.signature(a, types or [r.cell_type for r in a.cell_types.collect()], *how))(atlas(spark, sf_dir, kind))
+    _oracle[name] = f"{_tables(kind)}{tables_} {sql}"
+
+
+_signature_query("signature", "supplier", TYPES, 200, 1, 1.0)
+_signature_query("signature_default", "classes", None, 1000, 10, 0.0)
+_signature_query("signature_pval", "customer", TYPES, 30, 1, 0.05)
 
 
 # similarity and mining
@@ -345,6 +401,11 @@ def similar_genes_ops(a):
     return _rounded(similarity.similar_genes(a, MIXED), "jaccard")
 
 
+@query(f"SELECT row_number() OVER (ORDER BY jaccard, gene) AS position, gene FROM ({_similar(_AND, B[1:3])})")
+def similar_genes_in_order(a):
+    return _in_order(similarity.similar_genes(a, B[1:3])).select("position", "gene")
+
+
 def _tfidf(genes: list[str], where: str = "true") -> str:
     return f"""SELECT gene, sum(value / reads) * (SELECT sum(total_cells) FROM types WHERE {where}) / any_value(g.n) AS tfidf FROM e JOIN cells USING (dataset, cell_type, cell_id) JOIN (SELECT gene, count(*) AS n FROM e GROUP BY 1) g USING (gene) WHERE gene IN ({_in(genes)}) AND {where} GROUP BY 1"""
 
@@ -380,6 +441,16 @@ def _ranked(genes: list[str], cutoff: int) -> str:
     return f"SELECT n_genes::BIGINT AS n_genes, query, round(score, {ROUND}) AS tfidf, n_cells FROM (SELECT s.query, any_value(n_genes) AS n_genes, any_value(n_cells) AS n_cells, sum(t.tfidf) * min(t.tfidf) AS score FROM ({_sets(genes, cutoff)}) s JOIN ({_tfidf(genes)}) t ON list_contains(string_split(s.query, ','), t.gene) GROUP BY s.query)"
 
 
+@query(f"SELECT query, n_cells FROM ({_sets(B[1:11], 2)})")
+def frequent_sets_exhaustive(a):
+    return mining.frequent_sets(a, B[1:11], cutoff=2, exhaustive=True).select("query", "n_cells")
+
+
+@query(f"SELECT n_genes, query, CASE WHEN tfidf = 0 THEN 0.0 ELSE round(tfidf * power(10.0, 4 - floor(log10(abs(tfidf))))) / power(10.0, 4 - floor(log10(abs(tfidf)))) END AS tfidf, n_cells FROM ({_ranked(_FIVE, 1)})".replace(f"round(score, {ROUND})", "score"))
+def recommended_queries(a):
+    return mining.recommended_queries(a, _FIVE, a.datasets())
+
+
 @query(_ranked(_FIVE, 1))
 def marker_genes(a):
     return _rounded(mining.marker_genes(a, _FIVE), "tfidf")
@@ -399,7 +470,7 @@ def best_subquery(a):
 
 
 def _of(a: Atlas, datasets: list[str]) -> Atlas:
-    return Atlas(*[lookup.scoped(t, datasets) for t in (a.expression, a.cells, a.cell_types)], a.qb)
+    return Atlas(*[lookup.scoped(a, t, datasets) for t in (a.expression, a.cells, a.cell_types)], a.qb)
 
 
 @query("SELECT gene, sum(n_cells)::BIGINT AS total_reads FROM sup GROUP BY 1")

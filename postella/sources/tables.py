@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.atlas import VERSION, Atlas, build, check_dataset_name
+from ..plans.atlas import VERSION, Atlas, build, check_dataset_name, merge
 
 TABLES = ("expression", "cells", "cell_types")
 
@@ -21,14 +21,20 @@ def from_wide(wide: DataFrame, dataset: str, cell_col: str = "cell", label_col:
     return build(annotation, entries, qb)
 
 
+def merge_wide(atlas: Atlas, wide: DataFrame, dataset: str, **kw) -> Atlas:
+    """The index with one more dataset, built from a cells-by-genes frame with the index's quantisation."""
+    return merge(atlas, from_wide(wide, dataset, qb=atlas.qb, **kw))
+
+
 def from_long(long: DataFrame, qb: int = 2) -> Atlas:
     """(dataset, label, cell, gene, value), where a cell without values stands once with a null gene."""
     return build(long.select("dataset", "label", "cell").distinct(), long.where("gene is not null").select("cell", "gene", "value"), qb)
 
 
 def save(atlas: Atlas, path: str) -> None:
-    """Entries are laid out by dataset and in the order of genes: a query reads the datasets and genes that it names."""
-    atlas.expression.repartition("dataset", "gene").sortWithinPartitions("gene", "cell_type", "cell_id").write.mode("overwrite").partitionBy("dataset").parquet(f"{path}/expression")
+    """Entries are laid out by dataset and in the order of genes: a query reads the datasets and genes that it names. They are
+    dealt by range, so a gene of very many cells is more than one task's."""
+    atlas.expression.repartitionByRange("dataset", "gene", "cell_type", "cell_id").sortWithinPartitions("gene", "cell_type", "cell_id").write.mode("overwrite").partitionBy("dataset").parquet(f"{path}/expression")
     for name in TABLES[1:]:
         getattr(atlas, name).write.mode("overwrite").parquet(f"{path}/{name}")
     # the stamp comes last: an index without it isn't whole
@@ -52,24 +58,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def driver_atlas(spark: SparkSession, sf_dir: str, kind: str = "orders") -> Atlas:
-    """`orders`: sparse, cells are orders and genes brands. `customer`: dense, cells are customers.
-    `supplier`: cells are suppliers and genes part types, most of which every supplier has."""
+    """`orders`: sparse, cells are orders and genes brands. `customer`: dense, cells are customers. `classes`: the same with genes
+    of eight classes of parts, so that most cells have most genes. `supplier`: cells are suppliers and genes part types,
+    most of which every supplier has. `parts`: the same with genes of single parts, which few suppliers have."""
     nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
     place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("dataset"), F.col("n_name").alias("label"))
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     sold = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
     if kind == "orders":
         cells = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("cell"), F.col("c_nationkey").alias("at"))
         entries = sold.select(F.col("l_orderkey").alias("cell"), F.col("p_brand").alias("gene"), F.col("l_quantity").alias("value"))
-    elif kind == "customer":
+    elif kind in ("customer", "classes"):
+        gene = F.col("p_brand") if kind == "customer" else F.concat(F.lit("class"), (F.col("p_size") % 8).cast("string"))
         cells = customer.select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").alias("at"))
-        entries = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("cell"), F.col("p_brand").alias("gene"), F.col("l_quantity").alias("value"))
-    elif kind == "supplier":
+        entries = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("cell"), gene.alias("gene"), F.col("l_quantity").alias("value"))
+    elif kind in ("supplier", "parts"):
+        gene = F.col("p_type") if kind == "supplier" else F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
         cells = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("at"))
-        entries = sold.select(F.col("l_suppkey").alias("cell"), F.col("p_type").alias("gene"), F.col("l_quantity").alias("value"))
+        entries = sold.select(F.col("l_suppkey").alias("cell"), gene.alias("gene"), F.col("l_quantity").alias("value"))
     else:
         raise ValueError(f"no atlas {kind!r}")
     return build(cells.join(place, F.col("at") == F.col("n_nationkey")).select("dataset", "label", "cell"), entries)

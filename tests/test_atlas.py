@@ -73,6 +73,32 @@ def test_boolean_in_datasets(a):
     assert {r.cell_type: r.cell_ids for r in boolean.cells_by_type(boolean.find(a, ["A"])).collect()} == {"D1.T": [1, 2, 3], "D2.X": [1]}
 
 
+@pytest.mark.parametrize(
+    "ask",
+    [
+        lambda a, d: boolean.find(a, ["A"], d),
+        lambda a, d: boolean.find(a, ["-A"], d),
+        lambda a, d: boolean.find(a, ["nothing"], d),
+        lambda a, d: enrichment.hyper_query(a, ["A"], d),
+        lambda a, d: lookup.cell_type_names(a, d),
+        lambda a, d: lookup.query_genes(a, ["A"], d),
+        lambda a, d: lookup.gene_support(a, ["A"], d),
+        lambda a, d: lookup.gene_support_by_type(a, ["A"], d),
+        lambda a, d: lookup.zero_support_count(a, d),
+        lambda a, d: lookup.total_cells(a, d),
+        lambda a, d: specificity.cell_type_specificity(a, datasets=d),
+        lambda a, d: similarity.similar_genes(a, ["A"], d),
+        lambda a, d: mining.tfidf(a, ["A"], d),
+        lambda a, d: mining.marker_genes(a, ["A", "B"], d),
+        lambda a, d: mining.frequent_sets(a, ["A", "B"], d),
+    ],
+)
+def test_unknown_datasets_are_errors(a, ask):
+    with pytest.raises(ValueError, match="unknown datasets"):
+        ask(a, ["D1", "D9"])
+    ask(a, ["D1"])
+
+
 def test_complements_add_up(a):
     total = a.cells.count()
     for g in "ABCd":
@@ -134,7 +160,11 @@ def test_markers(a):
 def test_specificity(a):
     assert dict(rows(specificity.cell_type_specificity(a, min_cells=1, min_fraction=0.3), "gene", "n_types")) == {"A": 1, "B": 3, "C": 2, "d": 0, "chr1_10_20": 0}
     assert dict(rows(specificity.tissue_specificity(a, min_cells=1), "gene", "n_datasets"))["A"] == 1
-    assert rows(specificity.housekeeping(a, ["D1.T", "D1.U"], 0.4), "gene") == [("B",), ("C",)]
+    assert rows(specificity.housekeeping(a, ["D1.T", "D1.U"], 0.4, 5), "gene") == [("B",), ("C",)]
+    with pytest.raises(ValueError, match="max_genes"):
+        specificity.housekeeping(a, ["D1.T", "D1.U"], 0.4)
+    with pytest.raises(ValueError, match="no housekeeping"):
+        specificity.housekeeping(a, ["D1.T", "D1.U"], 0.99, 5)
     with pytest.raises(ValueError, match="min_recall"):
         specificity.housekeeping(a, ["D1.T"], 1.0)
     with pytest.raises(ValueError, match="one dataset"):
@@ -146,6 +176,14 @@ def test_signature_is_the_greedy_prefix(a):
     assert got == [("D1.T", 1, "A"), ("D1.U", 1, "B")]
 
 
+def test_signature_in_passes(a, monkeypatch):
+    every = ["D1.T", "D1.U", "D2.X"]
+    want = rows(specificity.signature(a, every, min_cells=1, max_pval=1.0), "target", "position", "gene")
+    monkeypatch.setattr(specificity, "FIRST", 1)
+    monkeypatch.setattr(specificity, "SENT", 0)
+    assert rows(specificity.signature(a, every, min_cells=1, max_pval=1.0), "target", "position", "gene") == want
+
+
 def test_similarity(a):
     got = {r.gene: (r.jaccard, r.overlap, r.n) for r in similarity.similar_genes(a, ["A"]).collect()}
     assert got["B"] == (pytest.approx(3 / 7), 3, 6) and "A" not in got
@@ -161,6 +199,21 @@ def test_mining_both_ways(a, cutoff):
         assert dict(grown) == {"A,B": 3, "A,C": 2, "B,C": 3, "A,B,C": 1, "B,d": 1, "C,d": 1}
 
 
+def test_all_sets(a):
+    got = dict(rows(mining.frequent_sets(a, list("ABCd"), cutoff=0, exhaustive=True), "query", "n_cells"))
+    assert len(got) == 11 and got["A,B"] == 3 and got["A,d"] == 0 and got["A,B,C,d"] == 0
+    with pytest.raises(ValueError, match="32"):
+        mining.frequent_sets(a, [f"g{i}" for i in range(33)], exhaustive=True)
+    many = [f"g{i}" for i in range(28)] + list("ABCd")
+    assert dict(rows(mining.frequent_sets(a, many, exhaustive=True), "query", "n_cells")) == {k: n for k, n in got.items() if n}
+
+
+def test_recommended_queries(a):
+    assert mining.recommended_queries(a, ["A"], ["D1"]).count() == mining.recommended_queries(a, ["A", "B"], []).count() == 0
+    assert mining.recommended_queries(a, ["none", "no"], ["D1"]).count() == 0
+    assert rows(mining.recommended_queries(a, ["a", "B"], ["D1"]), "query", "n_cells") == [("A,B", 2)]
+
+
 def test_tfidf_and_ranking(a):
     w = {r.gene: r.tfidf for r in mining.tfidf(a, ["A", "B"]).collect()}
     assert w["A"] == pytest.approx((3 / 5 + 2 / 6 + 1 / 4 + 1 / 2) * 9 / 4)
@@ -194,6 +247,37 @@ def test_wide_source(spark):
         tables.from_wide(w, "D.1")
 
 
+def test_dots_in_datasets_are_errors(spark):
+    for name in ("D.1", "", None):
+        with pytest.raises(ValueError, match="dataset"):
+            build(spark.createDataFrame([(name, "T", "c1"), ("D", "T", "c2")], "dataset string, label string, cell string"), spark.createDataFrame([("c1", "A", 1.0)], "cell string, gene string, value double"))
+
+
+def test_merge_of_a_wide_frame(spark, a):
+    w = spark.createDataFrame([("c1", "T", 1.0), ("c2", "T", 2.0)], "cell string, cell_type1 string, A double")
+    both = tables.merge_wide(a, w, "D3")
+    assert both.datasets() == ["D1", "D2", "D3"] and boolean.find(both, ["A"]).count() == 6 and both.qb == a.qb
+
+
+def test_numbering_of_string_keys_over_blocks(spark, monkeypatch):
+    from postella.plans import atlas as module
+
+    monkeypatch.setattr(module, "BLOCK_BITS", 2)
+    keys = sorted({f"AAAC{chr(65 + i * 7 % 26)}{chr(65 + i * 5 % 26)}{'x' * (i % 3)}é{i % 2}" for i in range(90)} | {"AAAC", "AAACA"})
+    df = spark.createDataFrame([("ab"[i % 2], k) for i, k in enumerate(keys)], "cell_type string, k string")
+    blocks = [r.b for r in df.orderBy("k").select(module.key_block(df, "k").alias("b")).collect()]
+    assert blocks == sorted(blocks) and len(set(blocks)) > 5
+    got = rows(module.number_cells(df, "k"), "cell_type", "cell_id", "k")
+    assert got == sorted((t, i + 1, k) for t in "ab" for i, k in enumerate(x for j, x in enumerate(keys) if "ab"[j % 2] == t))
+
+
+def test_posting_by_number(a):
+    every = sorted({(r.gene, r.cell_type) for r in a.expression.collect()})
+    for i in (0, len(every) - 1):
+        assert {(r.gene, r.cell_type) for r in lookup.posting_at(a, i).collect()} == {every[i]}
+    assert lookup.posting_at(a, len(every)).count() == lookup.posting_at(a, -1).count() == 0
+
+
 def test_numbering_over_blocks(spark):
     from postella.plans.atlas import number_cells
 
@@ -209,11 +293,13 @@ def test_codec(a):
     assert m["C"] == {"gene": "C", "1": 0.0, "2": 2.0, "3": 2.0, "4": 0.0} and set(m) == {"A", "B", "C", "d"}
     with pytest.raises(ValueError, match="bits"):
         codec.quantise(a, 40)
+    assert {r.gene: r["values"] for r in codec.cell_type_vectors(a, "D2.X").collect()}["C"] == [0.0, 2.0, 2.0, 0.0]
 
 
 def test_intervals(spark):
     peaks = spark.createDataFrame([("chr1_10_20",), ("chr1_15_400",), ("chr2_10_20",)], "gene string")
     assert intervals.all_peaks(peaks)
+    assert intervals.loci(peaks.union(spark.createDataFrame([("Gata4",)], "gene string")), "chr1:5-100").count() == 0
     got = intervals.loci(peaks, "CHR1:5-100, chr1_5_100 chr2:9-3").collect()
     assert [(r.input, r.gene, r.gap_before, r.width, r.gap_after) for r in got] == [("chr1:5-100", "chr1_10_20", 5, 10, 80)]
     assert peaks.select(locus_name(F.col("gene")).alias("x")).first().x == "chr1:10-20"

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from postella import queries as index
+from postella.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,6 +45,30 @@ def test_query(spark, duck, name):
             assert p == q or (isinstance(p, float) and math.isclose(p, q, abs_tol=2e-5))
 
 
+@pytest.fixture(scope="module")
+def reloaded(spark, tmp_path_factory):
+    """The indexes as they are after being saved and loaded, not kept in memory."""
+    from postella import load, save
+
+    path = tmp_path_factory.mktemp("saved")
+    known = {}
+
+    def get(session, sf_dir, kind="orders"):
+        if kind not in known:
+            save(tables.driver_atlas(session, sf_dir, kind), str(path / kind))
+            known[kind] = load(session, str(path / kind))
+        return known[kind]
+
+    return get
+
+
+@pytest.mark.parametrize("name", ["gene_support_ct", "mixed_query", "hyper_query", "markers_topk", "ct_specificity", "signature_pval", "similar_genes", "marker_genes", "quantized_expression", "cell_type_expression", "umap_hits", "decode_posting"])
+@pytest.mark.filterwarnings("ignore::UserWarning")
+def test_query_of_a_reloaded_index(spark, duck, reloaded, monkeypatch, name):
+    monkeypatch.setattr(index, "atlas", reloaded)
+    test_query(spark, duck, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["cell_type", "cell_hits", "total_cells", "pval"]
 
