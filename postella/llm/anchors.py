@@ -6,7 +6,12 @@ Consecutive windows with the same anchor make a *run*. A map task sends each run
 once, to the partition of its anchor; whatever a task can decide itself (a run that it has
 already met earlier) is never sent, so a passage with millions of copies costs one row a task.
 In its partition a run that equals an earlier run is repeated as a whole; only runs that share an
-anchor and differ are opened, window by window, by the resolver of the operator.
+anchor and differ are opened, window by window, by the resolver of the operator. A partition is read in passes
+over parts of its anchors, so what a task holds open doesn't follow the partition's size.
+
+Anchors that very many different runs share, as at the end of boilerplate, are found in a sample of documents. Their
+windows don't meet at the anchor: each is sent as a hash of its own content to that hash's partition, those that the task
+has met earlier excepted. Which anchors these are changes where windows meet, never the result.
 
 The cost is linear in the text: about (L + w/2) / (w/2) times its tokens are sent, w = L - k + 1,
 less the copies, zstd-compressed; each text is shuffled once more to meet its ranges.
@@ -21,19 +26,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import Chunk, chunks, in_part, mix, pack, partitions, pick, pick_with_rest, to_part, unpack
 
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PARTS_SQL = "part int, kind int, blob binary"
-RUNS, RANGES, TEXTS = 0, 1, 2
+RUNS, RANGES, TEXTS, HASHES = 0, 1, 2, 3
 #: Tokens handled at once by the numpy passes.
 STEP = 1 << 20
 #: Windows of a resolver's slice.
 WINDOWS = 1 << 20
 #: Bytes of run content that a task gathers before it sends.
 FLUSH = 28 << 20
+#: Bytes of input for a partition, the parts of its anchors, and bytes of packed runs that are opened in one pass.
+PARTITION, SUBS, OPENED = 24 << 20, 8, 12 << 20
+#: One document of so many is sampled for hot anchors; an anchor is hot with so many sampled runs; so many are told apart.
+SAMPLE, HOT, TOLD = 64, 400, 100_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 
@@ -188,7 +198,7 @@ def _joined(planes: list[bytes]) -> np.ndarray:
 
 
 def _packed(doc, tag, first, n, off, size, content: bytes, spec: Spec) -> tuple:
-    """Runs in the order of (document, position), each document once; a run of bytes has its size from its windows."""
+    """Runs, neighbours of one document with its id once; a run of bytes has its size from its windows."""
     new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
     at = np.flatnonzero(new)
     return doc[at], tag[at], _planes(new[1:]), _planes(first), _planes(n), _planes(off), _planes(size) if spec.words else None, content
@@ -204,7 +214,62 @@ def _unpacked(got: tuple, spec: Spec) -> tuple:
     return doc[i], tag[i], first, n, _joined(off), _joined(size) if spec.words else n + spec.length - 1, content
 
 
-def run_mapper(spec: Spec, parts: int):
+def _runs_in(chunk: Chunk, spec: Spec) -> tuple | None:
+    """The chunk's runs: document, first window, windows, bounds of content and of anchor in the buffer; and buffer, offsets."""
+    if spec.words:
+        buf, starts, h, offs = words_of(chunk)
+    else:
+        buf, h, offs = chunk.data.tobytes(), _BYTE[chunk.data], chunk.offs
+    d, first, n, at = runs_of(h, offs, spec)
+    if not len(d):
+        return None
+    last = first + n + spec.length - 1
+    if spec.words:
+        return d, first, n, starts[first], starts[last] - 1, starts[at], starts[at + spec.k] - 1, buf, offs
+    return d, first, n, first, last, at, at + spec.k, buf, offs
+
+
+def anchor_counter(spec: Spec):
+    """(anchor, n): the runs of each anchor in the documents."""
+
+    def run(batches):
+        for chunk in chunks(batches, 3 << 20):
+            if got := _runs_in(chunk, spec):
+                *_, alo, ahi, buf, _ = got
+                anchor, n = np.unique(_hashes(buf, alo, ahi), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(rows: DataFrame, spec: Spec) -> np.ndarray:
+    """Anchors of very many runs in a sample, at most TOLD, sorted."""
+    found = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(SAMPLE)) == 0).mapInArrow(anchor_counter(spec), "anchor long, n long")
+    hot = found.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "anchor").limit(TOLD).toArrow()
+    return np.sort(hot.column(0).to_numpy().view(np.uint64))
+
+
+def window_hashes(content: list[bytes], n: np.ndarray, spec: Spec) -> np.ndarray:
+    """A hash of each window of runs with this content and so many windows."""
+    if spec.words:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, b" ".join(content).split(b" ")), np.uint64)
+    else:
+        h = _BYTE[np.frombuffer(b"".join(content), np.uint8)]
+    size = n + spec.length - 1
+    before = np.cumsum(n) - n
+    start = np.repeat(np.cumsum(size) - size - before, n) + np.arange(int(n.sum()))
+    return mix(grams(h, spec.length)[start])
+
+
+def _repeated(key, doc, pos, across: bool) -> np.ndarray:
+    """Whether each window has an earlier equal one."""
+    order = np.lexsort((pos, doc))
+    f = np.empty(len(doc), np.int64)
+    f[order] = order[firsts(key[order])]
+    return later(doc, pos, doc[f], pos[f], across)
+
+
+def run_mapper(spec: Spec, parts: int, hot):
     """From documents (id, text): their runs, less those that the task has met earlier; of those the ranges."""
 
     def send(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -216,28 +281,45 @@ def run_mapper(spec: Spec, parts: int):
         gone = later(doc, first, doc[f], first[f], spec.across)
         yield from range_rows(doc[gone], tag[gone], first[gone], n[gone], parts)
         rest = order[~gone[order]]
-        yield from rows_of((mix(anchor[rest]) % np.uint64(parts)).astype(np.int64), RUNS, lambda i: _packed(doc[rest[i]], tag[rest[i]], first[rest[i]], n[rest[i]], off[rest[i]], size[rest[i]], b"".join([content[j] for j in rest[i]]), spec))
+        if len(hot.value):
+            many = np.isin(anchor[rest], hot.value)
+            mine = rest[many]
+            steps = np.searchsorted(np.cumsum(n[mine]), np.arange(WINDOWS, int(n[mine].sum()), WINDOWS))
+            for some in np.split(mine, steps):
+                yield from send_windows(*(x[some] for x in (doc, tag, first, n)), [content[j] for j in some])
+            rest = rest[~many]
+        m = mix(anchor[rest])
+        sub = (m // np.uint64(parts) % np.uint64(SUBS)).astype(np.int64)
+
+        def make(i: np.ndarray) -> tuple:
+            i = i[np.argsort(sub[i], kind="stable")]
+            bounds = np.searchsorted(sub[i], np.arange(SUBS + 1))
+            j = rest[i]
+            return bounds, *_packed(doc[j], tag[j], first[j], n[j], off[j], size[j], b"".join([content[x] for x in j]), spec)
+
+        yield from rows_of((m % np.uint64(parts)).astype(np.int64), RUNS, make)
+
+    def send_windows(doc, tag, first, n, content) -> Iterator[pa.RecordBatch]:
+        if not len(doc):
+            return
+        key = window_hashes(content, n, spec)
+        pos = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(key))
+        doc, tag = np.repeat(doc, n), np.repeat(tag, n)
+        gone = _repeated(key, doc, pos, spec.across)
+        yield from range_rows(doc[gone], tag[gone], pos[gone], np.ones(int(gone.sum()), np.int64), parts)
+        i = np.flatnonzero(~gone)
+        yield from rows_of((key[i] % np.uint64(parts)).astype(np.int64), HASHES, lambda j: (key[i[j]], doc[i[j]], tag[i[j]], pos[i[j]]))
 
     def run(batches):
         gathered, held = [], 0
         for chunk in chunks(batches, 3 << 20):
             tags = tags_of(chunk)
-            if spec.words:
-                buf, starts, h, offs = words_of(chunk)
-            else:
-                buf, h, offs = chunk.data.tobytes(), _BYTE[chunk.data], chunk.offs
-            d, first, n, at = runs_of(h, offs, spec)
-            if not len(d):
+            if not (got := _runs_in(chunk, spec)):
                 continue
-            last = first + n + spec.length - 1
-            if spec.words:
-                lo, hi, alo, ahi = starts[first], starts[last] - 1, starts[at], starts[at + spec.k] - 1
-            else:
-                lo, hi, alo, ahi = first, last, at, at + spec.k
+            d, first, n, lo, hi, alo, ahi, buf, offs = got
             content = [buf[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
             code = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(content))
-            anchor = np.fromiter((xxhash.xxh3_64_intdigest(buf[i:j]) for i, j in zip(alo.tolist(), ahi.tolist(), strict=True)), np.uint64, len(content))
-            gathered.append((chunk.ids[d], tags[d], first - offs[d], n, alo - lo, hi - lo, code, anchor, content))
+            gathered.append((chunk.ids[d], tags[d], first - offs[d], n, alo - lo, hi - lo, code, _hashes(buf, alo, ahi), content))
             held += int((hi - lo).sum()) + 120 * len(content)
             if held > FLUSH:
                 yield from send(gathered)
@@ -249,15 +331,17 @@ def run_mapper(spec: Spec, parts: int):
 
 
 class Runs:
-    """All runs of one partition."""
+    """The runs of one partition whose anchors are in its parts from `lo` to before `hi`."""
 
-    def __init__(self, blobs: list[bytes], spec: Spec):
+    def __init__(self, blobs: list[bytes], spec: Spec, lo: int = 0, hi: int = SUBS):
         got, contents = [], []
         for b in blobs:
-            *numbers, content = _unpacked(unpack(b), spec)
-            got.append(numbers)
-            contents.append(content)
-        blobs.clear()
+            bounds, *packed = unpack(b)
+            *numbers, content = _unpacked(tuple(packed), spec)
+            i, j = bounds[lo], bounds[hi]
+            ends = np.r_[0, np.cumsum(numbers[5])]
+            got.append([x[i:j] for x in numbers])
+            contents.append(content[ends[i] : ends[j]])
         self.buf = b"".join(contents)
         contents.clear()
         self.doc, self.tag, self.first, self.n, self.off, size = (np.concatenate([g[i] for g in got]) for i in range(6))
@@ -274,14 +358,25 @@ def resolver(spec: Spec, parts: int, windows: Callable[[Runs, np.ndarray], np.nd
 
     def run(batches):
         blobs: list[bytes] = []
+        hashed: list[tuple] = []
         for b in batches:
             kinds = b.column(1).to_numpy()
             if (kinds == RANGES).any():
                 yield b.filter(pa.array(kinds == RANGES))
             blobs += [b.column(2)[int(i)].as_py() for i in np.flatnonzero(kinds == RUNS)]
-        if not blobs:
+            hashed += [unpack(b.column(2)[int(i)].as_py()) for i in np.flatnonzero(kinds == HASHES)]
+        if hashed:
+            key, doc, tag, pos = (np.concatenate(x) for x in zip(*hashed, strict=True))
+            gone = _repeated(key, doc, pos, spec.across)
+            yield from range_rows(doc[gone], tag[gone], pos[gone], np.ones(int(gone.sum()), np.int64), parts)
+            del hashed, key, doc, tag, pos, gone
+        passes = min(SUBS, sum(map(len, blobs)) // OPENED + 1)
+        for i in range(passes if blobs else 0):
+            yield from resolve(Runs(blobs, spec, SUBS * i // passes, SUBS * (i + 1) // passes))
+
+    def resolve(r: Runs) -> Iterator[pa.RecordBatch]:
+        if not len(r.doc):
             return
-        r = Runs(blobs, spec)
         order = np.lexsort((r.first, r.doc))
         code = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in r.content(order)), np.uint64, len(order))
         doc, first = r.doc[order], r.first[order]
@@ -409,8 +504,9 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, spec: Spec, windows
     out = StructType.fromDDL(schema_sql)
     for f in whole.schema.fields[2:]:
         out.add(f.name, f.dataType)
-    n = partitions(rows, 6 << 20)
-    runs = to_part(n, rows.mapInArrow(run_mapper(spec, n), PARTS_SQL), "part")
+    n = partitions(rows, PARTITION)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(rows, spec))
+    runs = to_part(n, rows.mapInArrow(run_mapper(spec, n, hot), PARTS_SQL), "part")
     ranges = runs.mapInArrow(resolver(spec, n, windows), PARTS_SQL)
     texts = whole.mapInArrow(text_mapper(n), PARTS_SQL)
     return to_part(n, ranges.union(texts), "part").mapInArrow(with_ranges(out.names, make), out)

@@ -6,12 +6,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from postella.llm import queries
+from postella.llm import anchors, queries
 from postella.llm.anchors import STEP, Spec, grams, runs_of, sliding_min
 from postella.llm.substring_dedup import substring_dedup
 from postella.llm.suffix_dedup import SuffixLevels, cut_repeats, distinct, suffix_dedup
@@ -76,6 +77,55 @@ def test_tricky_bytes(tricky):
     assert bytes_result(tricky) == brute_bytes(texts_of(tricky))
 
 
+@pytest.fixture
+def split(monkeypatch):
+    """All anchors hot or, with many passes, none."""
+
+    def put(**how):
+        for k, v in how.items():
+            monkeypatch.setattr(anchors, k, v)
+
+    return put
+
+
+@pytest.mark.parametrize("how", [dict(SAMPLE=1, HOT=1), dict(SAMPLE=1, HOT=3, WINDOWS=50), dict(OPENED=1, PARTITION=1 << 30)])
+def test_hot_anchors_and_passes(tricky, split, how):
+    split(**how)
+    rows = texts_of(tricky)
+    assert words_result(tricky) == brute_words(rows) and bytes_result(tricky) == brute_bytes(rows)
+
+
+@pytest.mark.parametrize("how", [dict(SAMPLE=1, HOT=50), dict(SAMPLE=1, HOT=10**9)])
+def test_one_anchor_in_most_documents(spark, split, how):
+    """A line that stands in most documents, between other words in each, so its runs all differ; hot or not."""
+    split(**how)
+    rng = random.Random(3)
+    line = "this line of words stands in most of the documents that there are here"
+    own = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    rows = [(i, f"{own(12)} {line} {own(12)}" if i % 4 else own(30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if how["HOT"] == 50:
+        for spec in (Spec(20, 6, True, False), Spec(50, 12, False, True)):
+            assert len(anchors.hot_anchors(df.selectExpr("doc_id k", "text t"), spec))
+    assert words_result(df) == brute_words(rows) and bytes_result(df) == brute_bytes(rows)
+
+
+def test_windows_of_a_hot_anchor_are_sent_once_a_task(split):
+    """What moves for an anchor in all documents is its windows that the task hasn't met."""
+    spec = Spec(50, 12, False, True)
+    line = "this line of words stands in most of the documents that there are here, whole and unchanged. "
+    texts = [f"{i:08d}{line * 2}{i:08d}" for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], names=["k", "t"])
+    every = np.sort(np.concatenate([b.column(0).to_numpy().view(np.uint64) for b in anchors.anchor_counter(spec)([batch])]))
+    sent = []
+    for hot in (np.zeros(0, np.uint64), np.unique(every)):
+        rows = [(k, anchors.unpack(x)) for b in anchors.run_mapper(spec, 4, type("B", (), {"value": hot}))([batch]) for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        sent.append({kind: sum(len(x[0]) for k, x in rows if k == kind) for kind in (anchors.RUNS, anchors.HASHES)})
+    # in 2000 documents the line's own windows are the same; only those that reach into the numbers differ
+    own = len({t[s : s + 50] for t in texts for s in range(len(t) - 49)})
+    assert sent[1][anchors.HASHES] <= own + 200 and sent[1][anchors.RUNS] == 0 and sent[0][anchors.HASHES] == 0
+
+
 def test_empty(empty):
     assert substring_dedup(empty).count() == 0 and suffix_dedup(empty).count() == 0 and cut_repeats(empty).count() == 0
 
