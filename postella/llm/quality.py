@@ -1,13 +1,16 @@
 """Quality rules: hard limits on document statistics, and gradient-boosted trees over more of them.
 
-The trees learn from labelled documents, at most `max_labelled` of them, the first in the order
+The trees learn from at most `max_labelled` labelled rows, the first in the order
 of a hash of their id; statistics and verdicts cover all documents. Trees are flattened into node
 arrays and score whole batches at once. More symbols, repeats, capitals and exclamation marks may only lower
 a document's score (monotonic constraints).
 
-Rows: one per document row. A null text has no words, and so fails. Without labels of both kinds there
-is no model and the limits alone decide (score null). A label row without id or quality is left out; repeated
-rows count as often as they stand. Other columns don't matter.
+Rows: one per document row; rows that repeat an id or a text get equal results. A null or empty text has no words, and
+so fails; a very long one is counted whole. Without labels of both kinds there is no model and the limits alone decide
+(score null). A label row without id or quality is left out; an id that stands in several rows of labels or of documents
+teaches once for each pair. Ties: a score of just `least` is kept, values equal to a node's threshold go left. An
+empty table gives no rows. Columns are taken by name, the first of those that clash; `assess` reads no others,
+`keep_good` returns all as they are.
 """
 
 from __future__ import annotations
@@ -117,14 +120,15 @@ def statistics(chunk: Chunk) -> tuple[dict[str, np.ndarray], np.ndarray]:
 def _features(batches):
     for chunk in chunks(batches, 4 << 20):
         _, x = statistics(chunk)
-        yield pa.RecordBatch.from_arrays([chunk.column(2).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+        yield pa.RecordBatch.from_arrays([id_array(chunk.ids), chunk.column(2).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["k", "quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, max_labelled: int) -> Trees | None:
     """Trees from a bounded sample of labelled documents; the sample's statistics go to the driver, its texts don't."""
     sample = pick(labels, k=(label_id, "long"), quality=(label_col, "int")).where("k is not null and quality in (0, 1)").orderBy(F.xxhash64("k"), "k", "quality").limit(max_labelled)
     rows = pick(docs, k=(id_col, "long"), t=(text_col, "string")).join(F.broadcast(sample), "k").select("k", "t", "quality")
-    got = rows.mapInArrow(_features, "quality int, x array<double>").collect()
+    # repeated ids can make more rows than the sample has
+    got = rows.mapInArrow(_features, "k long, quality int, x array<double>").orderBy(F.xxhash64("k"), "k", "quality", "x").limit(max_labelled).collect()
     y = np.array([r.quality for r in got], float)
     if len(np.unique(y)) < 2:
         return None

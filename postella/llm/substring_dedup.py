@@ -5,8 +5,10 @@ shared seed the occurrences are extended both ways, to every split of the thresh
 before and after it; equal extensions are found by their hash, so a group of m occurrences is
 sorted rather than compared in pairs. Neighbouring repeated windows join to maximal repeats.
 
-Rows: one per document row. A null text has no words; a null id sorts before all others. Rows that
-repeat an id and its text get the same result, as neither is earlier. Other columns don't matter.
+Rows: one per document row. A null or empty text has no words; a null id sorts before all others. Rows that
+repeat an id and its text get the same result, as neither is earlier. Of ties, equal windows, the one that starts first in
+the order of ids stays. Very long texts are read whole. An empty table gives no rows. Columns are taken by name, the
+first of those that clash; others don't matter.
 """
 
 from __future__ import annotations

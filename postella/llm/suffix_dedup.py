@@ -8,8 +8,13 @@ prefixes of `length` bytes in byte order), is merge-scanned against the levels t
 becomes a level itself; levels of equal size merge, so that n suffixes make at most log2(n) levels
 and each is moved log2(n) times.
 
+The index isn't kept between calls: a family of levels lives as long as its partition's pass. Windows that are equal
+as whole runs, and windows of anchors that very many runs share, are settled by hash before.
+
 Rows: one per document row. A null text is empty; a null id sorts before all others. Rows that
-repeat an id never match each other, as neither id is smaller.
+repeat an id never match each other, as neither id is smaller. Of ties, equal strings, those of the smallest id stay.
+Very long texts are read whole. An empty table gives no rows. Columns are taken by name, the first of those that clash;
+`suffix_dedup` reads no others, `cut_repeats` returns all.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ from postella.llm.lang_id import identify
 from postella.llm.quality import FEATURES, assess, keep_good
 from postella.llm.token_counts import Ledger, changes, count_tokens, tokenizer
 
-from .conftest import SF, by_id, texts_of
+from .conftest import SF, by_id, passage, texts_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +49,18 @@ def test_quality_of_tricky(tricky, labels):
     assert rows.columns == tricky.columns and sorted(map(str, (r[0] for r in rows.collect()))) == sorted(str(r.doc_id) for r in kept)
 
 
+def test_quality_samples_at_most_so_many_rows(spark, tricky, monkeypatch):
+    from postella.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, m: seen.append(len(y)))
+    docs = spark.createDataFrame([(i % 5, f"{passage(30, i)}") for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id long, quality int")
+    quality.train(docs, marks, "doc_id", "text", "doc_id", "quality", 150)
+    quality.train(docs, marks, "doc_id", "text", "doc_id", "quality", 1000)
+    assert seen == [150, 180]
+
+
 def test_quality_without_labels(tricky, empty, labels):
     out = assess(tricky, labels.limit(0)).collect()
     assert {r.score for r in out} == {None} and all(r.kept != r.base_failed for r in out)

@@ -15,7 +15,8 @@ from postella.llm.sentencepiece_codec import MODEL, encode_texts
 from .conftest import SF, texts_of
 from .test_dedup import brute_bytes, order
 from .test_decontaminate import brute as brute_hits
-from .test_simhash import brute as brute_components
+from .test_decontaminate import whole_windows
+from .test_set_dedup import brute_kept
 
 
 def cut(rows):
@@ -43,12 +44,13 @@ def test_stages(spark, documents):
     rows = documents.select("doc_id", "text")
     good = {r.doc_id for r in assess(rows, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()}
     kept = [(d, t) for d, t in texts_of(rows) if d in good]
-    names = brute_components(kept)
-    kept = [(d, t) for d, t in kept if names[d][0][1] == d]
+    names = set(brute_kept(kept))
+    kept = [(d, t) for d, t in kept if d in names]
     left = cut(kept)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     hits = brute_hits(list(left.items()), items)
-    clean = {d: t for d, t in left.items() if not hits[d][0][-1]}
+    whole = whole_windows(list(left.items()), items)
+    clean = {d: t for d, t in left.items() if not hits[d][0][-1] and d not in whole}
     assert set(got) == set(clean)
     ids = list(clean)
     pieces, counts = encode_texts(load(MODEL), np.array(ids), [clean[d].encode() for d in ids], 0, 0.5)
