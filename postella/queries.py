@@ -485,6 +485,31 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, path).expression
 
 
+def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index built anew, nothing kept in memory."""
+    a = tables.driver_atlas(spark, sf_dir)
+    counts = [a.expression.agg(F.count("*").alias("entries"), F.sum("value").alias("reads")), a.cells.agg(F.count("*").alias("cells"), F.sum("features").alias("features")), a.cell_types.agg(F.count("*").alias("types"))]
+    return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))  # one row each
+
+
+def _reloaded(spark: SparkSession, sf_dir: str) -> Atlas:
+    """The index as it is saved, read from its files; saved once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "reloaded")
+    if key not in _atlases:
+        path = f"{shared_folder(spark)}/atlas/{uuid.uuid4().hex}"
+        tables.save(atlas(spark, sf_dir), path)
+        _atlases[key] = tables.load(spark, path)
+    return _atlases[key]
+
+
+_queries["build_index"] = _build
+_oracle["build_index"] = f"{_tables('orders')} SELECT (SELECT count(*) FROM e) AS entries, (SELECT sum(value) FROM e) AS reads, (SELECT count(*) FROM cells) AS cells, (SELECT sum(features) FROM cells)::BIGINT AS features, (SELECT count(*) FROM types) AS types"
+_queries["reloaded_hyper_query"] = lambda spark, sf_dir: _rounded(enrichment.hyper_query(_reloaded(spark, sf_dir), B[1:3]), "pval")
+_oracle["reloaded_hyper_query"] = _oracle["hyper_query"]
+_queries["reloaded_markers_topk"] = lambda spark, sf_dir: _rounded(markers.top_markers(_reloaded(spark, sf_dir), TYPES), *_METRICS)
+_oracle["reloaded_markers_topk"] = _oracle["markers_topk"]
+_queries["reloaded_marker_genes"] = lambda spark, sf_dir: _rounded(mining.marker_genes(_reloaded(spark, sf_dir), _FIVE), "tfidf")
+_oracle["reloaded_marker_genes"] = _oracle["marker_genes"]
 _queries["save_load_roundtrip"] = _round_trip
 _oracle["save_load_roundtrip"] = f"{_tables('orders')} SELECT dataset, cell_type, cell_id, gene, value FROM e"
 
