@@ -85,13 +85,14 @@ def _sample(docs_per_language: int, bytes_per_doc: int):
         for b in batches:
             h, k = (b.column(i).to_numpy() for i in (0, 1))
             langs = b.column(2).to_pylist()
-            for i in np.lexsort((k, h)).tolist():
-                mine = kept.setdefault(langs[i], [])
-                if len(mine) < docs_per_language or (h[i], k[i]) < mine[-1][:2]:
-                    mine.append((int(h[i]), int(k[i]), b.column(3)[i].as_py().encode()))
+            worst = {lang: mine[-1][:2] for lang, mine in kept.items() if len(mine) == docs_per_language}
+            for i in range(len(langs)):
+                at = (int(h[i]), int(k[i]))
+                # two texts may share an id, and are then told apart by their excerpts
+                if langs[i] not in worst or at <= worst[langs[i]]:
+                    kept.setdefault(langs[i], []).append((*at, excerpt(b.column(3)[i].as_py().encode(), bytes_per_doc)))
             for lang, mine in kept.items():
-                # two texts may share an id; the order of equal rows doesn't matter
-                kept[lang] = sorted((h, k, excerpt(t, bytes_per_doc)) for h, k, t in mine)[:docs_per_language]
+                kept[lang] = sorted(mine)[:docs_per_language]
         rows = [(h, k, lang, t) for lang, mine in kept.items() for h, k, t in mine]
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["h", "k", "lang", "t"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from postella.llm.lang_id import SPREAD, Model, excerpt, identify, learn, normalise
+from postella.llm.lang_id import SPREAD, Model, _sample, excerpt, identify, learn, normalise
 
 from .conftest import by_id
 
@@ -26,6 +27,19 @@ def test_excerpts_are_whole_or_spread_over_the_text():
     assert len(got) == 1600 + SPREAD - 1 and got.startswith(text[:100]) and got.endswith(text[-100:])
 
 
+def test_sample_does_not_depend_on_batches():
+    rng = np.random.default_rng(2)
+    rows = [(int(h), i, "ab"[i % 2], f"text {i} " * (i % 50)) for i, h in enumerate(rng.integers(0, 10**6, 500))]
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("t", pa.string())])
+
+    def sample(step):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + step]], schema=schema) for i in range(0, len(rows), step)]
+        return sorted(map(repr, (r for b in _sample(20, 100)(batches) for r in b.to_pylist())))
+
+    want = sorted(repr({"h": h, "k": k, "lang": lang, "t": excerpt(t.encode(), 100)}) for x in "ab" for h, k, lang, t in sorted(r for r in rows if r[2] == x)[:20])
+    assert sample(500) == sample(7) == sample(1) == want
+
+
 def test_ties_go_to_the_first_name(spark):
     train = [(i, EN, lang) for lang, i in zip(["zz", "aa"], [i for i in range(20) if not held(i)], strict=False)]
     rows = [*train, *[(i, EN, None) for i in range(100, 140)]]
