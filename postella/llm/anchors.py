@@ -6,8 +6,8 @@ Consecutive windows with the same anchor make a *run*. A map task sends each run
 once, to the partition of its anchor; whatever a task can decide itself (a run that it has
 already met earlier) is never sent, so a passage with millions of copies costs one row a task.
 In its partition a run that equals an earlier run is repeated as a whole; only runs that share an
-anchor and differ are opened, window by window, by the resolver of the operator. A partition is read in passes
-over parts of its anchors, so what a task holds open doesn't follow the partition's size.
+anchor and differ are opened, window by window, by the resolver of the operator. A partition with more than usual is read
+in passes over parts of its anchors, so what a task holds open doesn't follow the partition's size.
 
 Anchors that very many different runs share, as at the end of boilerplate, are found in a sample of documents. Their
 windows don't meet at the anchor: each is sent as a hash of its own content to that hash's partition, those that the task
@@ -40,8 +40,8 @@ STEP = 1 << 20
 WINDOWS = 1 << 20
 #: Bytes of run content that a task gathers before it sends.
 FLUSH = 28 << 20
-#: Bytes of input for a partition, the parts of its anchors, and bytes of packed runs that are opened in one pass.
-PARTITION, SUBS, OPENED = 24 << 20, 8, 12 << 20
+#: Bytes of input for a partition, and bytes of packed runs that are opened in one pass.
+PARTITION, OPENED = 6 << 20, 24 << 20
 #: One document of so many is sampled for hot anchors; an anchor is hot with so many sampled runs; so many are told apart.
 SAMPLE, HOT, TOLD = 64, 400, 100_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -198,7 +198,7 @@ def _joined(planes: list[bytes]) -> np.ndarray:
 
 
 def _packed(doc, tag, first, n, off, size, content: bytes, spec: Spec) -> tuple:
-    """Runs, neighbours of one document with its id once; a run of bytes has its size from its windows."""
+    """Runs in the order of (document, position), each document once; a run of bytes has its size from its windows."""
     new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
     at = np.flatnonzero(new)
     return doc[at], tag[at], _planes(new[1:]), _planes(first), _planes(n), _planes(off), _planes(size) if spec.words else None, content
@@ -288,16 +288,7 @@ def run_mapper(spec: Spec, parts: int, hot):
             for some in np.split(mine, steps):
                 yield from send_windows(*(x[some] for x in (doc, tag, first, n)), [content[j] for j in some])
             rest = rest[~many]
-        m = mix(anchor[rest])
-        sub = (m // np.uint64(parts) % np.uint64(SUBS)).astype(np.int64)
-
-        def make(i: np.ndarray) -> tuple:
-            i = i[np.argsort(sub[i], kind="stable")]
-            bounds = np.searchsorted(sub[i], np.arange(SUBS + 1))
-            j = rest[i]
-            return bounds, *_packed(doc[j], tag[j], first[j], n[j], off[j], size[j], b"".join([content[x] for x in j]), spec)
-
-        yield from rows_of((m % np.uint64(parts)).astype(np.int64), RUNS, make)
+        yield from rows_of((mix(anchor[rest]) % np.uint64(parts)).astype(np.int64), RUNS, lambda i: _packed(doc[rest[i]], tag[rest[i]], first[rest[i]], n[rest[i]], off[rest[i]], size[rest[i]], b"".join([content[j] for j in rest[i]]), spec))
 
     def send_windows(doc, tag, first, n, content) -> Iterator[pa.RecordBatch]:
         if not len(doc):
@@ -331,17 +322,19 @@ def run_mapper(spec: Spec, parts: int, hot):
 
 
 class Runs:
-    """The runs of one partition whose anchors are in its parts from `lo` to before `hi`."""
+    """The runs of one partition, or those that the masks, one for each blob, choose."""
 
-    def __init__(self, blobs: list[bytes], spec: Spec, lo: int = 0, hi: int = SUBS):
+    def __init__(self, blobs: list[bytes], spec: Spec, masks: list[np.ndarray] | None = None):
         got, contents = [], []
-        for b in blobs:
-            bounds, *packed = unpack(b)
-            *numbers, content = _unpacked(tuple(packed), spec)
-            i, j = bounds[lo], bounds[hi]
-            ends = np.r_[0, np.cumsum(numbers[5])]
-            got.append([x[i:j] for x in numbers])
-            contents.append(content[ends[i] : ends[j]])
+        for k, b in enumerate(blobs):
+            *numbers, content = _unpacked(unpack(b), spec)
+            if masks:
+                i = np.flatnonzero(masks[k])
+                ends = np.r_[0, np.cumsum(numbers[5])]
+                content = b"".join([content[x:y] for x, y in zip(ends[i].tolist(), ends[i + 1].tolist(), strict=True)])
+                numbers = [x[i] for x in numbers]
+            got.append(numbers)
+            contents.append(content)
         self.buf = b"".join(contents)
         contents.clear()
         self.doc, self.tag, self.first, self.n, self.off, size = (np.concatenate([g[i] for g in got]) for i in range(6))
@@ -370,9 +363,19 @@ def resolver(spec: Spec, parts: int, windows: Callable[[Runs, np.ndarray], np.nd
             gone = _repeated(key, doc, pos, spec.across)
             yield from range_rows(doc[gone], tag[gone], pos[gone], np.ones(int(gone.sum()), np.int64), parts)
             del hashed, key, doc, tag, pos, gone
-        passes = min(SUBS, sum(map(len, blobs)) // OPENED + 1)
-        for i in range(passes if blobs else 0):
-            yield from resolve(Runs(blobs, spec, SUBS * i // passes, SUBS * (i + 1) // passes))
+        passes = min(64, sum(map(len, blobs)) // OPENED + 1)
+        if passes == 1 and blobs:
+            every = Runs(blobs, spec)
+            blobs.clear()
+            yield from resolve(every)
+        elif blobs:
+            nth = []
+            for b in blobs:
+                r = Runs([b], spec)
+                lo = r.lo[:-1] + r.off
+                nth.append((mix(_hashes(r.buf, lo, lo + _anchor_size(r, spec))) >> np.uint64(32)) % np.uint64(passes))
+            for i in range(passes):
+                yield from resolve(Runs(blobs, spec, [x == i for x in nth]))
 
     def resolve(r: Runs) -> Iterator[pa.RecordBatch]:
         if not len(r.doc):
