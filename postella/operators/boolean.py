@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.atlas import Atlas
 from ..plans.query import Query, parse
-from .lookup import resolve_genes, scoped
+from .lookup import in_blocks, resolve_genes, scoped
 
 
 def find(atlas: Atlas, terms: list[str], datasets: list[str] | None = None) -> DataFrame:
@@ -46,5 +46,5 @@ def contingency_table(hits: DataFrame) -> DataFrame:
 
 
 def cells_by_type(hits: DataFrame) -> DataFrame:
-    """Hits as one sorted array of cell ids for each type."""
-    return hits.groupBy("cell_type").agg(F.sort_array(F.collect_list("cell_id")).alias("cell_ids"))
+    """Hits as sorted arrays of cell ids for each type, in blocks."""
+    return in_blocks(hits, "cell_type")

@@ -64,10 +64,21 @@ def entry_of(atlas: Atlas, gene: str, cell_type: str) -> DataFrame:
     return atlas.expression.where((F.col("gene") == gene) & (F.col("cell_type") == cell_type)).select("cell_id", "value")
 
 
+#: An array holds the cell ids of one block, at most 2^LIST_BITS; smaller types are one block.
+LIST_BITS = 20
+
+
+def in_blocks(cells: DataFrame, *by: str) -> DataFrame:
+    """(by, block, cell_ids): sorted arrays of cell ids, of which none grows with its group beyond a block."""
+    return cells.groupBy(*by, F.shiftright("cell_id", LIST_BITS).alias("block")).agg(F.sort_array(F.collect_list("cell_id")).alias("cell_ids"))
+
+
 def posting_lists(atlas: Atlas) -> DataFrame:
-    """Postings with sorted cell ids and log2(total / n) as idf; arrays are made on demand, queries don't need them."""
-    p = atlas.expression.groupBy("gene", "cell_type").agg(F.sort_array(F.collect_list("cell_id")).alias("cell_ids"), F.count("*").alias("n_cells"))
-    return p.join(atlas.cell_types.select("cell_type", "total_cells"), "cell_type").select("gene", "cell_type", "cell_ids", "n_cells", F.log2(F.col("total_cells") / F.col("n_cells")).alias("idf"))
+    """Postings with sorted cell ids, in blocks, their number and log2(total / n) as idf; arrays are made on demand,
+    queries don't need them."""
+    n = atlas.support.select("gene", "cell_type", "n_cells").join(atlas.cell_types.select("cell_type", "total_cells"), "cell_type")
+    p = in_blocks(atlas.expression, "gene", "cell_type").join(n, ["gene", "cell_type"])
+    return p.select("gene", "cell_type", "block", "cell_ids", "n_cells", F.log2(F.col("total_cells") / F.col("n_cells")).alias("idf"))
 
 
 def posting_at(atlas: Atlas, i: int) -> DataFrame:

@@ -271,6 +271,12 @@ def test_numbering_of_string_keys_over_blocks(spark, monkeypatch):
     assert got == sorted((t, i + 1, k) for t in "ab" for i, k in enumerate(x for j, x in enumerate(keys) if "ab"[j % 2] == t))
 
 
+def test_lists_in_blocks(a, monkeypatch):
+    monkeypatch.setattr(lookup, "LIST_BITS", 1)
+    assert rows(boolean.cells_by_type(boolean.find(a, ["A"])), "cell_type", "block", "cell_ids") == [("D1.T", 0, [1]), ("D1.T", 1, [2, 3]), ("D2.X", 0, [1])]
+    assert rows(lookup.posting_lists(a).where("gene = 'C' and cell_type = 'D2.X'"), "n_cells", "cell_ids") == [(2, [2, 3])]
+
+
 def test_posting_by_number(a):
     every = sorted({(r.gene, r.cell_type) for r in a.expression.collect()})
     for i in (0, len(every) - 1):
