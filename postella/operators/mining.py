@@ -50,18 +50,17 @@ def _all_sets(entries: DataFrame, genes: list[str], cutoff: int) -> DataFrame:
     masks = entries.groupBy(*KEY).agg(F.bit_or(bit).alias("mask")).groupBy("mask").agg(F.count("*").alias("n")).where("bit_count(mask) > 1")
     bits = ", ".join(f"{1 << i}L" for i in range(len(genes)))
     later = f"filter(array({bits}), b -> mask & b <> 0 and b > s)"
-    now, found, before = masks.withColumn("s", F.lit(0).cast("long")), None, masks
+    now, found = masks.withColumn("s", F.lit(0).cast("long")), None
+    together = Window.partitionBy("s")
     for size in range(1, len(genes) + 1):
-        grown = now.selectExpr("mask", "n", "s", f"explode({later}) b").selectExpr("mask", "n", "s | b s").persist()
-        level = grown.groupBy("s").agg(F.sum("n").alias("n_cells")).where(F.col("n_cells") >= cutoff).persist()
-        none = level.count() == 0  # makes all of it
-        before.unpersist()
-        if none:
-            grown.unpersist()
+        grown = now.selectExpr("mask", "n", "s", f"explode({later}) b").selectExpr("mask", "n", "s | b s")
+        frequent = grown.withColumn("n_cells", F.sum("n").over(together)).where(F.col("n_cells") >= cutoff).persist()
+        if not frequent.count():  # makes all of it
             break
         if size > 1:
+            level = frequent.select("s", "n_cells").distinct()
             found = level if found is None else found.union(level)
-        now, before = grown.join(level.select("s"), "s", "left_semi").select("mask", "n", "s"), grown
+        now = frequent.select("mask", "n", "s")
     return found if found is not None else masks.selectExpr("mask s", "n n_cells").limit(0)
 
 
