@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Chunk, chunks, in_part, mix, pack, partitions, pick, pick_with_rest, to_part, unpack
+from .common import Chunk, chunks, in_part, mix, pack, partitions, pick, pick_with_rest, released, to_part, unpack
 
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PARTS_SQL = "part int, kind int, blob binary"
@@ -232,6 +232,7 @@ def _runs_in(chunk: Chunk, spec: Spec) -> tuple | None:
 def anchor_counter(spec: Spec):
     """(anchor, n): the runs of each anchor in the documents."""
 
+    @released
     def run(batches):
         for chunk in chunks(batches, 3 << 20):
             if got := _runs_in(chunk, spec):
@@ -301,6 +302,7 @@ def run_mapper(spec: Spec, parts: int, hot):
         i = np.flatnonzero(~gone)
         yield from rows_of((key[i] % np.uint64(parts)).astype(np.int64), HASHES, lambda j: (key[i[j]], doc[i[j]], tag[i[j]], pos[i[j]]))
 
+    @released
     def run(batches):
         gathered, held = [], 0
         for chunk in chunks(batches, 3 << 20):
@@ -349,6 +351,7 @@ def resolver(spec: Spec, parts: int, windows: Callable[[Runs, np.ndarray], np.nd
     """Ranges of the repeated windows of a partition. windows gets runs that share anchors and differ,
     ordered by (document, position), and says of each of their windows whether it is repeated."""
 
+    @released
     def run(batches):
         blobs: list[bytes] = []
         hashed: list[tuple] = []
@@ -454,6 +457,7 @@ def _anchor_size(r: Runs, spec: Spec) -> np.ndarray:
 def text_mapper(parts: int):
     """Packs whole texts for their partition."""
 
+    @released
     def run(batches):
         for chunk in chunks(batches, 8 << 20):
             tags, texts = tags_of(chunk), chunk.texts()
@@ -467,6 +471,7 @@ def with_ranges(names: list[str], make: Callable[[np.ndarray, np.ndarray, list[b
     """Texts meet their ranges. make gets ids, null flags, texts and for each an (m, 2) array of window ranges;
     its arrays are followed by the columns that came along."""
 
+    @released
     def run(batches):
         texts, found = [], []
         for b in batches:

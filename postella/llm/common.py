@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import pickle
@@ -99,6 +100,20 @@ def unpack(blob: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def released(run):
+    """A task's function that gives freed memory back to the system when it ends, as its worker serves the next stage too."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def to_part(n: int, df: DataFrame, column: str) -> DataFrame:
     """Deal rows to the partition whose number stands in the column."""
     return df.repartitionById(n, F.col(column))

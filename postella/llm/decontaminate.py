@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Chunk, chunks, id_array, pick, pick_with_rest
+from .common import Chunk, chunks, id_array, pick, pick_with_rest, released
 
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -107,6 +107,7 @@ def _spans(lists: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def _scanner(items, at: str, window: int, names: list[str]):
+    @released
     def run(batches):
         if at not in _built:
             _built.clear()
@@ -126,6 +127,7 @@ def _slot(words: list[bytes]) -> int:
 def _item_windows(window: int):
     """(item, size, words, slot) of the windows of each item, each once an item."""
 
+    @released
     def run(batches):
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -140,6 +142,7 @@ def _item_windows(window: int):
 def _maybe(bits, sizes: list[int]):
     """Windows of the texts that may be an item's: (doc_id, code, size, first, words)."""
 
+    @released
     def run(batches):
         names = [x.split()[0] for x in _HITS.split(", ")]
         for chunk in chunks(batches, 4 << 20):
@@ -158,6 +161,7 @@ def _maybe(bits, sizes: list[int]):
 def _gathered(window: int, names: list[str]):
     """Results of texts (doc_id, text, found, items, more)."""
 
+    @released
     def run(batches):
         for chunk in chunks(batches, 8 << 20):
             found = [[(x["first"], x["size"]) for x in f or ()] for f in chunk.column(2).to_pylist()]

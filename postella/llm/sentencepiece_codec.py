@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, id_array, mix, pick, position
+from .common import chunks, flat, id_array, mix, pick, position, released
 from .lattice import UNIT, Lattice, Pieces, load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,6 +60,7 @@ def decode_pieces(table: Pieces, pieces: list[int]) -> bytes:
 
 
 def _encoder(model: str, seed: int, alpha: float):
+    @released
     def run(batches):
         table = load(model)
         for chunk in chunks(batches, CHUNK):

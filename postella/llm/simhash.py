@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import PARTS_SQL, rows_of
-from .common import checkpoint, chunks, flat, id_array, mix, partitions, pick, position, to_part, unpack
+from .common import checkpoint, chunks, flat, id_array, mix, partitions, pick, position, released, to_part, unpack
 from .components import components, local_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -110,6 +110,7 @@ def _fingerprint(batches):
 
 
 def _to_buckets(masks: list[np.uint64], parts: int):
+    @released
     def run(batches):
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
@@ -178,6 +179,7 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.nda
 def _link(masks: list[np.uint64], forest: bool):
     """Of the buckets of one partition a spanning forest of the links, or pairs that are linked themselves."""
 
+    @released
     def run(batches):
         got = [unpack(x.as_py()) for b in batches for x in b.column(2)]
         if not got:
