@@ -133,7 +133,7 @@ class Plain:
     def __init__(self, table):
         single = set(table.byte.tolist())
         self.ids = {r: i for i, r in enumerate(table.raw) if r and i not in single}
-        self.byte, self.longest = table.byte.tolist(), max(map(len, self.ids))
+        self.byte, self.longest, self.known = table.byte.tolist(), max(map(len, self.ids)), {}
 
     def edges(self, unit):
         for p in range(len(unit)):
@@ -147,7 +147,7 @@ class Plain:
 
     def walk(self, unit, weight):
         """Probability of the unit, and the expected uses of its pieces."""
-        edges = sorted(self.edges(unit))
+        edges = self.known.get(unit) or self.known.setdefault(unit, sorted(self.edges(unit)))
         a, b = [1.0] + [0.0] * len(unit), [0.0] * len(unit) + [1.0]
         for p, q, i in edges:
             a[q] += a[p] * weight[i]
