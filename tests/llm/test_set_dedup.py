@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline as pipeline
+from postella.llm import set_dedup
 from postella.llm.set_dedup import bitmap, candidates, differ, keep_one_similar, prefix
 
 from .conftest import SF, texts_of
@@ -100,3 +101,67 @@ def test_candidates_between_components():
         need = lambda x, y: -(-(x + y) * 4 // 9)
         want = {(i, j) for i, j in combinations(range(n), 2) if key[i] == key[j] and comp[i] != comp[j] and 10 * min(size[i], size[j]) >= 8 * max(size[i], size[j]) and min(size[i] - pos[i], size[j] - pos[j]) >= need(size[i], size[j])}
         assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def near_copies(n, seed=8):
+    """Copies of one text with 1 to 6 of 150 words replaced: some similar to most others, some to few or none."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 7)):
+            w[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    verified, made = set_dedup._verified, []
+
+    def counted(rows, least, pairs, words, limit):
+        made.append(pairs.count())
+        return verified(rows, least, pairs, words, limit)
+
+    monkeypatch.setattr(set_dedup, "_verified", counted)
+    rows = near_copies(150)
+    assert ids(keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_kept(rows)
+    assert 0 < sum(made) <= 10 * len(rows)
+
+
+def test_rounds_make_all_pairs():
+    """Rounds over what is left of the buckets give the pairs of one round over all, in whatever order rows come."""
+    rng = np.random.default_rng(9)
+    limit = Fraction("0.8")
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        key, size, pos = rng.integers(0, 4, n).astype(np.uint32), rng.integers(5, 30, n), rng.integers(0, 3, n)
+        sid, comp = rng.integers(0, 50, n), rng.integers(0, 50, 50)
+        size, comp = size[sid % n], comp[sid]
+        want = set(zip(*(x.tolist() for x in candidates(key, sid, size, pos, comp, limit, every=True)), strict=True))
+        got, after, until = set(), 0, 1
+        while len(key):
+            at = rng.permutation(len(key))
+            key, sid, size, pos, comp = (x[at] for x in (key, sid, size, pos, comp))
+            got |= set(zip(*(x.tolist() for x in candidates(key, sid, size, pos, comp, limit, True, after, until)), strict=True))
+            on = np.isin(sid, set_dedup.left(key, sid, size, comp, limit, until))
+            key, sid, size, pos, comp = (x[on] for x in (key, sid, size, pos, comp))
+            after, until = until, 2 * until
+        assert got == want
+
+
+def test_sketches_discard_no_similar_sets():
+    rng = np.random.default_rng(10)
+    limit, met, gone = Fraction("0.8"), 0, 0
+    for n in (5, 30, 150, set_dedup.SKETCHED, set_dedup.SKETCHED + 60):
+        base = np.unique(rng.integers(0, 1 << 62, n + n // 3).astype(np.uint64))
+        for _ in range(60):
+            a, b = (np.sort(rng.choice(base, n - int(rng.integers(0, 1 + n // 9)), replace=False)) if rng.random() < 0.5 else base[: n - int(rng.integers(0, 1 + n // 9))] for _ in "ab")
+            size, bits = np.array([len(a), len(b)]), np.stack([np.frombuffer(set_dedup.sketch(s), np.uint64) for s in (a, b)])
+            made = len(candidates(np.zeros(2, np.uint32), np.arange(2), size, np.zeros(2, np.int64), np.arange(2), limit, True, 0, None, bits)[0])
+            both = len(np.intersect1d(a, b))
+            if 10 * both >= 8 * (len(a) + len(b) - both):
+                assert made
+                met += 1
+            gone += not made
+    assert met and gone
