@@ -1,12 +1,18 @@
-"""Connected components over links by alternating large-star and small-star steps."""
+"""Connected components over links: each task makes stars of its own, large-star and small-star steps tie those of many."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, released
+
+#: Links that one task makes stars of at once.
+LINKS = 1 << 20
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,15 +48,37 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _stars(whole: bool):
+    """Links (u, v) of one task's nodes to the least of those that its links connect; if they are all links there
+    are, that one's own row too."""
+
+    @released
+    def run(batches):
+        got = [[b.column(i).to_numpy() for i in (0, 1)] for b in batches]
+        if not got:
+            return
+        u, v = (np.concatenate(x) for x in zip(*got, strict=True))
+        nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+        root = local_components(len(nodes), at[: len(u)], at[len(u) :])
+        shown = whole | (root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[shown]), pa.array(nodes[root][shown])], names=["u", "v"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has a link, from links (u, v) of longs. Links stay in the
-    cluster; each round ends in a reliable checkpoint, and the driver sees two numbers of it."""
+    """(node, root) of every node that has a link, from links (u, v) of longs. Links stay in the cluster, in tasks
+    of LINKS at most as long as they are dealt evenly; where one task holds them all, its stars are the components.
+    Each round ends in a reliable checkpoint, and the driver sees two numbers of it."""
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
+        tasks = max(1, math.ceil(state[0] / LINKS))
+        if tasks == 1:
+            return checkpoint(now.coalesce(1).mapInArrow(_stars(True), "u long, v long")).toDF("node", "root")
+        if state == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
-        now = checkpoint(_star(_star(now, large=True), large=False))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        stars = checkpoint(now.coalesce(tasks).mapInArrow(_stars(False), "u long, v long"))
+        now = checkpoint(_star(_star(stars, large=True), large=False))

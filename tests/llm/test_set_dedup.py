@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline as pipeline
-from postella.llm import set_dedup
+from postella.llm import components, set_dedup
 from postella.llm.set_dedup import bitmap, candidates, differ, keep_one_similar, prefix
 
 from .conftest import SF, texts_of
@@ -129,6 +129,53 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert 0 < sum(made) <= 10 * len(rows)
 
 
+def tasks_of(spark, run):
+    """What run returns, and how many tasks were done for it."""
+    sc, group = spark.sparkContext, f"tasks_{random.random()}"
+    sc.setJobGroup(group, "counted")
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    seen = sc.statusTracker()
+    stages = {x for job in seen.getJobIdsForGroup(group) for x in seen.getJobInfo(job).stageIds}
+    return out, sum(info.numCompletedTasks for x in stages if (info := seen.getStageInfo(x)))
+
+
+def test_rounds_take_few_tasks(spark):
+    """What each round makes is small; with many shuffle partitions it is their tasks that fill disks, by files and logs."""
+    rows = near_copies(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got, tasks = tasks_of(spark, lambda: ids(keep_one_similar(docs)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_kept(rows)
+    assert 0 < tasks <= 85 * 40, tasks
+
+
+def test_components_of_links_in_one_task_and_in_many(spark, monkeypatch):
+    rng = random.Random(12)
+    chain = [(i, i + 1) for i in range(-40, 60)]
+    links = [*chain, *((y, x) for x, y in chain[::3]), *((rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)), (300, 300), (2**62, -(2**62))]
+    names = sorted({x for link in links for x in link})
+    comp = brute_components(len(names), [(names.index(a), names.index(b)) for a, b in links])
+    least = {}
+    for x, c in zip(names, comp, strict=True):
+        least[c] = min(least.get(c, x), x)
+    want = sorted((x, least[c]) for x, c in zip(names, comp, strict=True) if any(x in link and link[0] != link[1] for link in links))
+    df = spark.createDataFrame(links, "u long, v long").repartition(5)
+    for most in (components.LINKS, 150, 7):
+        monkeypatch.setattr(components, "LINKS", most)
+        assert sorted(map(tuple, components.components(df).collect())) == want
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_rounds_make_all_pairs():
     """Rounds over what is left of the buckets give the pairs of one round over all, in whatever order rows come."""
     rng = np.random.default_rng(9)
