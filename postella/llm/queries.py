@@ -12,15 +12,18 @@ from ..sources.shared import shared_folder
 from .common import ship_package
 from .decontaminate import decontaminate
 from .html_extract import extract
+from .importance import resample
 from .lang_id import identify
 from .lm_score import lm_score
 from .oracle import SQL
+from .piecewise_hash import piecewise_hashes
 from .quality import assess
 from .sentencepiece_codec import encode
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import Ledger, changes, count_tokens
+from .whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,8 +94,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of squares as a long; null where a long can't hold it."""
+    return whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piecewise_hashes(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_html_extraction, op7_quality_rules, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_html_extraction, op7_quality_rules, op8_token_counts, op9_language_id, op10_simhash_near_dedup, op11_embedding_whitening, op12_importance_resampling, op13_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
