@@ -12,17 +12,16 @@ from .boolean import find_query
 from .lookup import resolve_genes
 from ..plans.query import Query
 
-SORT = ("tp", "fp", "fn", "precision", "recall", "f1")
+SORT = ("cell_type", "gene", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 def _metrics(df: DataFrame) -> DataFrame:
-    """precision, recall and f1 of tp, fp, fn; null where they aren't defined."""
-    out = df.withColumns({"precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
-    return out.withColumn("f1", 2 / (1 / F.nullif(F.col("precision"), F.lit(0.0)) + 1 / F.nullif(F.col("recall"), F.lit(0.0))))
-
-
-def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
+    """precision, recall and f1 of tp, fp, fn, by way of their inverses: where a background that doesn't hold the target has
+    nothing of a gene, tp + fp is 0 and precision infinite, as there is nothing false, and f1 is twice the recall. Without a
+    true positive precision is 0, or null if there is no false one either; recall and f1 are null."""
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    precision = F.when((tp > 0) & (tp + fp == 0), F.lit(float("inf"))).otherwise(F.try_divide(tp, tp + fp))
+    return df.withColumns({"precision": precision, "recall": F.try_divide(tp, tp + fn), "f1": F.when(tp > 0, 2 / (F.try_divide(tp + fp, tp) + F.try_divide(fn + tp, tp)))})
 
 
 def score(atlas: Atlas, cell_types: list[str], background: list[str] | None = None, genes: list[str] | None = None) -> DataFrame:
@@ -49,23 +48,26 @@ def _asked(cell_types: list[str]) -> Column:
 
 
 def top_markers(atlas: Atlas, cell_types: list[str], background: list[str] | None = None, top_k: int = 5, sort_field: str = "f1") -> DataFrame:
-    """The best genes over all requested types together, ties in the order of types asked, then genes."""
-    return score(atlas, cell_types, background).orderBy(F.col(_sort_field(sort_field)).desc(), _asked(cell_types), "gene").limit(top_k)
+    """The best genes over all requested types together, ties in the order of types asked, then genes; what isn't defined comes last."""
+    return score(atlas, cell_types, background).orderBy(F.col(_sort_field(sort_field)).desc_nulls_last(), _asked(cell_types), "gene").limit(top_k)
 
 
 def evaluate(atlas: Atlas, genes: list[str], cell_types: list[str], background: list[str] | None = None, sort_field: str = "f1") -> DataFrame:
-    """Scores of the given genes, ascending, ties in the order of types asked, then genes."""
+    """Scores of the given genes, ascending, ties in the order of types asked, then genes; what isn't defined comes last."""
     known = list(dict.fromkeys(resolve_genes(atlas, genes).values()))
-    return score(atlas, cell_types, background, known).orderBy(_sort_field(sort_field), _asked(cell_types), "gene")
+    return score(atlas, cell_types, background, known).orderBy(F.col(_sort_field(sort_field)).asc_nulls_last(), _asked(cell_types), "gene")
 
 
 def evaluate_all(atlas: Atlas, genes: list[str], cell_types: list[str], background: list[str] | None = None) -> DataFrame:
-    """The genes together as one marker: a cell has it if it has all of them. Only types with such cells count."""
+    """The genes together as one marker: a cell has it if it has all of them. Only types of the background with such cells count."""
     known = list(dict.fromkeys(resolve_genes(atlas, genes).values()))
-    hits = find_query(atlas, Query(required=known)).groupBy("cell_type").agg(F.count("*").alias("n"))
-    around = (hits if background is None else hits.where(F.col("cell_type").isin(background))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("around"))
+    hits = find_query(atlas, Query(required=known))
+    if background is not None:
+        hits = hits.where(F.col("cell_type").isin(background))
+    hits = hits.groupBy("cell_type").agg(F.count("*").alias("n"))
+    around = hits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("around"))
     types = atlas.cell_types.where(F.col("cell_type").isin(cell_types)).select("cell_type", "total_cells")
     rows = types.join(hits, "cell_type", "left").join(F.broadcast(around))
     tp = F.coalesce("n", F.lit(0))
-    rows = rows.select("cell_type", F.lit(",".join(sorted(known)) + ",").alias("gene"), tp.alias("tp"), (F.col("around") - tp).alias("fp"), F.when(F.col("n").isNotNull(), F.col("total_cells") - tp).otherwise(F.lit(0)).alias("fn"))
+    rows = rows.select("cell_type", F.lit(",".join(known) + ",").alias("gene"), tp.alias("tp"), (F.col("around") - tp).alias("fp"), F.when(F.col("n").isNotNull(), F.col("total_cells") - tp).otherwise(F.lit(0)).alias("fn"))
     return _metrics(rows)

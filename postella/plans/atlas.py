@@ -4,27 +4,33 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
 class Atlas:
     """expression(dataset, cell_type, cell_id, gene, value), positive values only; cells(dataset, cell_type,
     cell_id, reads, features), cells without any value included; cell_types(cell_type, dataset, label,
-    total_cells). What can be answered from counts reads `support`, which is as small as genes times types."""
+    total_cells). Beside them stand what is derived from the entries and only ever added to, so that a saved index needn't
+    read them again: supports(gene, cell_type, dataset, n_cells), names(gene, lc, total_reads) with the lower-case key that
+    names are looked up by, and bitmaps(gene, cell_type, dataset, block, bits, n) of the cells that have a gene. An index that
+    has none of these makes them from its entries."""
 
     expression: DataFrame
     cells: DataFrame
     cell_types: DataFrame
     qb: int = 2
+    supports: DataFrame | None = None
+    names: DataFrame | None = None
+    bitmaps: DataFrame | None = None
 
     def __post_init__(self) -> None:
         check_bits(self.qb)
-        self._support: DataFrame | None = None
         self._datasets: list[str] | None = None
 
     @property
@@ -33,27 +39,31 @@ class Atlas:
 
     @property
     def support(self) -> DataFrame:
-        """(gene, cell_type, dataset, n_cells)."""
-        if self._support is None:
-            self._support = self.expression.groupBy("gene", "cell_type", "dataset").agg(F.count("*").alias("n_cells"))
-        return self._support
+        """(gene, cell_type, dataset, n_cells), as small as genes times types: what counts can answer reads this."""
+        if self.supports is None:
+            self.supports = self.expression.groupBy("gene", "cell_type", "dataset").agg(F.count("*").alias("n_cells"))
+        return self.supports
 
     @property
     def genes(self) -> DataFrame:
-        """(gene, total_reads): genes with the number of their expressing cells."""
-        return self.support.groupBy("gene").agg(F.sum("n_cells").alias("total_reads"))
+        """(gene, lc, total_reads): genes, their names in lower case, and the number of their expressing cells."""
+        if self.names is None:
+            self.names = self.support.groupBy("gene").agg(F.sum("n_cells").alias("total_reads")).select("gene", F.lower("gene").alias("lc"), "total_reads")
+        return self.names
 
     def persist(self) -> Atlas:
         """Keep the tables for many queries; the entries stand in order of genes, so filters skip batches."""
         self.cell_types = self.cell_types.persist()
         self.cells = self.cells.persist()
         self.expression = self.expression.sortWithinPartitions("gene").persist()
-        self._support = None
-        self._support = self.support.persist()
+        if self.bitmaps is None:  # an index from files keeps what is stored there
+            self.supports = self.names = None
+        self.supports = self.support.persist()
+        self.names = self.genes.persist()
         return self
 
     def unpersist(self) -> None:
-        for t in (self._support, self.expression, self.cells, self.cell_types):
+        for t in (self.names, self.supports, self.expression, self.cells, self.cell_types):
             if t is not None:
                 t.unpersist()
 
@@ -110,36 +120,55 @@ def number_cells(annotation: DataFrame, key: str, block: Column | None = None) -
     return cut.withColumn("__nth", nth).join(shift, ["cell_type", "__b"]).withColumn("cell_id", (F.col("__nth") + F.col("__shift")).cast("long")).drop("__b", "__nth", "__shift")
 
 
-def build(annotation: DataFrame, entries: DataFrame, qb: int = 2, least_cells: int = 2) -> Atlas:
-    """annotation(dataset, label, cell, ...) has a row for each cell; entries(cell, gene, value) one for each
-    measured value, whose repeats are summed. Types of fewer than `least_cells` cells are left out."""
+def _check_annotation(annotation: DataFrame, by: list[str]) -> None:
+    """Datasets need plain names, and a cell's key must stand once."""
     if bad := annotation.where("dataset is null or dataset = '' or contains(dataset, '.')").select("dataset").limit(1).collect():
         check_dataset_name(bad[0].dataset)
+    if twice := annotation.groupBy(*by).count().where("count > 1").limit(1).collect():
+        of = ", ".join(str(twice[0][c]) for c in by)
+        raise ValueError(f"cell {of} stands more than once" + ("" if "dataset" in by else "; entries need a column `dataset` where cells of several datasets share names"))
+
+
+def build(annotation: DataFrame, entries: DataFrame, qb: int = 2, least_cells: int = 2) -> Atlas:
+    """annotation(dataset, label, cell, ...) has a row for each cell; entries(dataset, cell, gene, value) one for each
+    measured value, whose repeats are summed. Datasets name their cells apart: a cell is known by dataset and name. Entries
+    without a column `dataset` are those of the cell's only dataset. A cell that stands twice is an error. Types of fewer than
+    `least_cells` cells are left out."""
+    by = ["dataset", "cell"] if "dataset" in entries.columns else ["cell"]
+    _check_annotation(annotation, by)
     named = annotation.select("dataset", "label", "cell", F.concat_ws(".", "dataset", "label").alias("cell_type"))
     types = named.groupBy("cell_type").agg(F.first("dataset").alias("dataset"), F.first("label").alias("label"), F.count("*").alias("total_cells")).where(F.col("total_cells") >= least_cells)
     kept = number_cells(named.join(types.select("cell_type"), "cell_type", "left_semi"), "cell")
-    summed = entries.where("value is not null").groupBy("cell", "gene").agg(F.sum("value").cast("double").alias("value")).where("value > 0")
-    expression = summed.join(kept, "cell").select("dataset", "cell_type", "cell_id", "gene", "value")
-    per_cell = summed.groupBy("cell").agg(F.sum("value").alias("reads"), F.count("*").alias("features"))
-    cells = kept.join(per_cell, "cell", "left").select("dataset", "cell_type", "cell_id", F.coalesce("reads", F.lit(0.0)).alias("reads"), F.coalesce("features", F.lit(0)).cast("long").alias("features"))
+    summed = entries.where("value is not null").groupBy(*by, "gene").agg(F.sum("value").cast("double").alias("value")).where("value > 0")
+    expression = summed.join(kept, by).select("dataset", "cell_type", "cell_id", "gene", "value")
+    per_cell = summed.groupBy(*by).agg(F.sum("value").alias("reads"), F.count("*").alias("features"))
+    cells = kept.join(per_cell, by, "left").select("dataset", "cell_type", "cell_id", F.coalesce("reads", F.lit(0.0)).alias("reads"), F.coalesce("features", F.lit(0)).cast("long").alias("features"))
     return Atlas(expression, cells, types, qb)
 
 
+def added_genes(names: DataFrame) -> DataFrame:
+    """Genes of several indexes as those of one: their counts are added."""
+    return names.groupBy("gene", "lc").agg(F.sum("total_reads").alias("total_reads")).select("gene", "lc", "total_reads")
+
+
+def check_types_apart(types: DataFrame) -> None:
+    """No type may come from more than one index; found by a count over the small tables."""
+    if clash := types.groupBy("cell_type").count().where("count > 1").select("cell_type").orderBy("cell_type").limit(5).collect():
+        raise ValueError(f"cell types in more than one index: {', '.join(r.cell_type for r in clash)}")
+
+
 def merge(*atlases: Atlas) -> Atlas:
-    """One index of several. Equal type names or different quantisation are errors; they are found by a
-    count over the small tables."""
+    """One index of several. Equal type names or different quantisation are errors. What is derived from the entries is
+    put together from what each index has, not made again."""
     first = atlases[0]
     if any(a.qb != first.qb for a in atlases):
         raise ValueError("indexes with different quantisation bits can't be merged")
 
-    def together(name: str) -> DataFrame:
-        out = getattr(first, name)
-        for a in atlases[1:]:
-            out = out.unionByName(getattr(a, name))
-        return out
+    def together(name: str) -> DataFrame | None:
+        tables = [getattr(a, name) for a in atlases]
+        return None if any(t is None for t in tables) else reduce(DataFrame.unionByName, tables)
 
     types = together("cell_types")
-    clash = types.groupBy("cell_type").count().where("count > 1").select("cell_type").limit(5).collect()
-    if clash:
-        raise ValueError(f"cell types in more than one index: {', '.join(r.cell_type for r in clash)}")
-    return Atlas(together("expression"), together("cells"), types, first.qb)
+    check_types_apart(types)
+    bitmaps = together("bitmaps")
+    return Atlas(together("expression"), together("cells"), types, first.qb, together("support"), added_genes(together("genes")), bitmaps)

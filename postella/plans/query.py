@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass, field
+from itertools import combinations
 
 
 @dataclass
@@ -43,7 +44,7 @@ def parse(terms: list[str], resolve) -> Query:
         by.setdefault(role, []).append(name)
     known = resolve([n for names in by.values() for n in names])
     out = Query(**{role: list(dict.fromkeys(known[n] for n in names if n in known)) for role, names in by.items()})
-    kept = set(out.required) | set(out.any_of)
-    if clash := sorted(kept & (set(out.excluded) | set(out.excluded_any))):
-        warnings.warn(f"genes both wanted and excluded: {', '.join(clash)}", stacklevel=3)
+    roles = {role: set(getattr(out, role)) for role in by}
+    if clash := sorted({g for a, b in combinations(roles, 2) for g in roles[a] & roles[b]}):
+        warnings.warn(f"genes with more than one operator: {', '.join(clash)}; first those required count, then the alternatives, then both kinds of exclusions", stacklevel=3)
     return out
