@@ -1,4 +1,4 @@
-"""Boolean queries over cells, in one aggregation."""
+"""Boolean queries over cells, in one aggregation: of bitmaps where the index has them, else of entries."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.atlas import Atlas
 from ..plans.query import Query, parse
+from .bitmaps import find_blocks, unpack
 from .lookup import in_blocks, resolve_genes, scoped
 
 
@@ -18,10 +19,13 @@ def find(atlas: Atlas, terms: list[str], datasets: list[str] | None = None) -> D
 def find_query(atlas: Atlas, q: Query, datasets: list[str] | None = None) -> DataFrame:
     """All set algebra is counting a cell's genes by role: it needs all that are required and one of the
     alternatives, and must not have all excluded ones (and one of the excluded alternatives). Only
-    a query of exclusions alone reads the cells that have none of the genes."""
+    a query of exclusions alone reads the cells that have none of the genes. Bitmaps, where the index has them, are
+    read instead of entries, and tell those cells too."""
     key = ["dataset", "cell_type", "cell_id"]
     if not q.genes:
         return scoped(atlas, atlas.cells, datasets).select(*key).limit(0)
+    if atlas.bitmaps is not None:
+        return unpack(find_blocks(scoped(atlas, atlas.bitmaps, datasets), scoped(atlas, atlas.cell_types, datasets), q))
     entries = scoped(atlas, atlas.expression, datasets).where(F.col("gene").isin(q.genes))
 
     def n(genes: list[str]):

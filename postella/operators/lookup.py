@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import warnings
 
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ def resolve_genes(atlas: Atlas, names: list[str]) -> dict[str, str]:
     if not names:
         return {}
     asked = sorted({n.lower() for n in names})
-    found = {r.lc: r.gene for r in atlas.genes.where(F.lower("gene").isin(asked)).groupBy(F.lower("gene").alias("lc")).agg(F.min("gene").alias("gene")).collect()}
+    found = {r.lc: r.gene for r in atlas.genes.where(F.col("lc").isin(asked)).groupBy("lc").agg(F.min("gene").alias("gene")).collect()}
     if unknown := sorted({n for n in names if n.lower() not in found}):
         warnings.warn(f"ignoring unknown genes: {', '.join(unknown)}", stacklevel=3)
     return {n: found[n.lower()] for n in names if n.lower() in found}
@@ -45,7 +46,7 @@ def case_correct(atlas: Atlas, names: list[str]) -> DataFrame:
     """(position, gene): resolved names in the order asked, each once. The asked list is a local relation, small by nature."""
     spark = atlas.spark
     asked = spark.createDataFrame([(i, n.lower()) for i, n in enumerate(names)], "i long, lc string")
-    by = atlas.genes.groupBy(F.lower("gene").alias("lc")).agg(F.min("gene").alias("gene"))
+    by = atlas.genes.where(F.col("lc").isin([n.lower() for n in names])).groupBy("lc").agg(F.min("gene").alias("gene"))
     first = by.join(F.broadcast(asked), "lc").groupBy("gene").agg(F.min("i").alias("i"))
     return first.selectExpr("i + 1 as position", "gene")
 
@@ -81,9 +82,34 @@ def posting_lists(atlas: Atlas) -> DataFrame:
     return p.select("gene", "cell_type", "block", "cell_ids", "n_cells", F.log2(F.col("total_cells") / F.col("n_cells")).alias("idf"))
 
 
+#: Postings of which the i-th is found by sorting them.
+SORTED = 1 << 14
+
+
+def posting_key(atlas: Atlas, i: int, most: int = SORTED) -> DataFrame:
+    """(gene, cell_type): the i-th posting from 0 in the order of genes and types, none if there is none. Names are
+    counted by the two bytes that follow what all of them begin with, which tells the part of them that has the i-th, and so on in
+    that part until it is small: no task holds or sorts the postings before it, and the driver sees a count for each two bytes."""
+    keys = atlas.support.select("gene", "cell_type", F.hex(F.concat_ws("\0", "gene", "cell_type").cast("binary")).alias("k"))
+    while i >= 0:
+        low, high, n = keys.agg(F.min("k"), F.max("k"), F.count("*")).first()
+        if i >= n:
+            break
+        if n <= most:
+            return keys.orderBy("gene", "cell_type").offset(i).limit(1).select("gene", "cell_type")
+        same = len(os.path.commonprefix([low, high])) // 2 * 2
+        part = F.substring("k", same + 1, 4)
+        for r in keys.groupBy(part.alias("d")).count().orderBy("d").collect():
+            if i < r["count"]:
+                keys = keys.where(part == r.d)
+                break
+            i -= r["count"]
+    return keys.select("gene", "cell_type").limit(0)
+
+
 def posting_at(atlas: Atlas, i: int) -> DataFrame:
     """(gene, cell_type, cell_id, value) of the i-th posting from 0 in the order of genes and types; nothing if there is none."""
-    one = atlas.support.select("gene", "cell_type").orderBy("gene", "cell_type").offset(max(i, 0)).limit(1 if i >= 0 else 0)
+    one = posting_key(atlas, i)
     return atlas.expression.join(F.broadcast(one), ["gene", "cell_type"]).select("gene", "cell_type", "cell_id", "value")
 
 
@@ -131,6 +157,14 @@ def cell_type_support(atlas: Atlas, cell_types: list[str]) -> DataFrame:
     return asked.join(atlas.cell_types.select("cell_type", "total_cells"), "cell_type", "left").select("position", "cell_type", F.coalesce("total_cells", F.lit(0)).alias("total_cells"))
 
 
+def cells_in_index(atlas: Atlas) -> DataFrame:
+    """(n_cells, n_genes, n_postings): how much the index holds."""
+    cells = atlas.cell_types.agg(F.coalesce(F.sum("total_cells"), F.lit(0)).alias("n_cells"))
+    genes = atlas.genes.agg(F.count("*").alias("n_genes"))
+    postings = atlas.support.agg(F.count("*").alias("n_postings"))
+    return cells.join(F.broadcast(genes)).join(F.broadcast(postings))  # one row each
+
+
 def memory_footprint(atlas: Atlas) -> DataFrame:
     """(postings, bytes): what a bit-packed index of the same content would take: low and unary high bits,
     quantised values, and a fixed overhead for each posting."""

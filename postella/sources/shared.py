@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,3 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir isn't set: a folder that all machines share is needed")
         folder = "/tmp/checkpoints"
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: its lineage ends there, and lost executors don't lose it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

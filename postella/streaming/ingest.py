@@ -1,26 +1,18 @@
-"""Growing an index from a stream of new datasets, with an exactly-once sink."""
+"""Growing a saved index from a stream of new datasets, exactly once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..sources.tables import from_long
+from ..sources.tables import append, from_long
 
 
 def grow(stream: DataFrame, path: str, checkpoint: str, qb: int = 2):
-    """A stream of (dataset, label, cell, gene, value) where each micro-batch brings whole datasets. A batch becomes
-    an index of its own under its number, which a retry overwrites; `merge` of the parts is the index."""
+    """A stream of (dataset, label, cell, gene, value) where each micro-batch brings whole types. A batch is appended to the index
+    under its number, so a retry changes nothing; readers see whole batches."""
 
     def add(batch: DataFrame, number: int) -> None:
-        from ..sources.tables import save
-
         if not batch.isEmpty():
-            save(from_long(batch, qb), f"{path}/part={number:010d}")
+            append(from_long(batch, qb), path, f"batch-{number:010d}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
-
-
-def support_by_window(stream: DataFrame, time: str, width: str, late: str) -> DataFrame:
-    """Running counts of (window, cell_type, gene) over a timed stream of entries, up to `late` behind."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), "cell_type", "gene").agg(F.count("*").alias("n_cells"))
