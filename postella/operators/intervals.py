@@ -26,17 +26,37 @@ def parsed(peaks: DataFrame) -> DataFrame:
     return peaks.select("gene", F.regexp_extract("gene", r"^(.*?)_", 1).alias("chromosome"), F.regexp_extract("gene", r"_(\d+)_\d+$", 1).cast("long").alias("p_start"), F.regexp_extract("gene", r"_(\d+)$", 1).cast("long").alias("p_end"))
 
 
+#: Bits of the narrowest bin; each further level's are eight times as wide. A region takes the level that cuts it into at most BINS or so.
+BIN_BITS, LEVEL_BITS, BINS, LEVELS = 14, 3, 64, 16
+
+
+def _binned(asked: DataFrame) -> DataFrame:
+    """Regions with their level and one row for each bin of it that they reach."""
+    width = F.col("q_end") - F.col("q_start")
+    level = F.lit(LEVELS - 1)
+    for i in reversed(range(LEVELS - 1)):
+        level = F.when(F.shiftright(width, BIN_BITS + LEVEL_BITS * i) < BINS, F.lit(i)).otherwise(level)
+    at = lambda c: F.call_function("shiftright", F.col(c), (F.lit(BIN_BITS) + LEVEL_BITS * F.col("level")).cast("int"))
+    return asked.withColumn("level", level).withColumn("bin", F.explode(F.sequence(at("q_start"), at("q_end"))))
+
+
+def peaks_in(peaks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(input, gene, chromosome, loc_1..loc_4): peaks inside regions (input, q_chromosome, q_start, q_end), of which there may
+    be very many. A peak lies in the bin of its start at each level that regions have, a region reaches a few bins of its own level, and
+    they meet by chromosome, level and bin: an equal join, which Spark sends or shuffles as sizes ask."""
+    binned = _binned(asked.where("q_start is not null and q_end is not null"))
+    levels = sorted(r.level for r in binned.select("level").distinct().collect())
+    p = parsed(peaks).withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels]).cast("array<int>")))
+    p = p.withColumn("bin", F.call_function("shiftright", F.col("p_start"), (F.lit(BIN_BITS) + LEVEL_BITS * F.col("level")).cast("int")))
+    inside = (F.col("chromosome") == F.col("q_chromosome")) & (p["level"] == binned["level"]) & (p["bin"] == binned["bin"]) & (F.col("p_start") >= F.col("q_start")) & (F.col("p_end") <= F.col("q_end"))
+    return p.join(binned, inside).select("input", "gene", "chromosome", F.col("q_start").alias("loc_1"), F.col("p_start").alias("loc_2"), F.col("p_end").alias("loc_3"), F.col("q_end").alias("loc_4"))
+
+
 def peaks_within(peaks: DataFrame, text: str) -> DataFrame:
-    """(input, gene, loc_1..loc_4, chromosome): peaks inside a region; regions are few, peaks are scanned once.
-    Nothing unless all names are peaks, as then the terms are plain genes."""
-    spark = peaks.sparkSession
-    asked = regions(text)
-    frame = spark.createDataFrame(asked, "input string, q_chromosome string, q_start long, q_end long")
-    p = parsed(peaks)
-    inside = (F.col("chromosome") == F.col("q_chromosome")) & (F.col("p_start") >= F.col("q_start")) & (F.col("p_end") <= F.col("q_end"))
-    guard = peaks.agg(F.coalesce(F.bool_and(F.col("gene").startswith("chr")), F.lit(True)).alias("all_peaks"))
-    p = p.join(F.broadcast(guard)).where("all_peaks")
-    return p.join(F.broadcast(frame), inside).select("input", "gene", "chromosome", F.col("q_start").alias("loc_1"), F.col("p_start").alias("loc_2"), F.col("p_end").alias("loc_3"), F.col("q_end").alias("loc_4"))
+    """(input, gene, chromosome, loc_1..loc_4): peaks inside the regions of a query box. Nothing unless all names are peaks, as
+    then the terms are plain genes."""
+    asked = peaks.sparkSession.createDataFrame(regions(text), "input string, q_chromosome string, q_start long, q_end long")
+    return peaks_in(peaks, asked) if all_peaks(peaks) else peaks_in(peaks.limit(0), asked)
 
 
 def all_peaks(peaks: DataFrame) -> bool:
@@ -46,4 +66,8 @@ def all_peaks(peaks: DataFrame) -> bool:
 
 def loci(peaks: DataFrame, text: str) -> DataFrame:
     """Peaks within regions with the gaps before, in and after them."""
-    return peaks_within(peaks, text).withColumns({"gap_before": F.col("loc_2") - F.col("loc_1"), "width": F.col("loc_3") - F.col("loc_2"), "gap_after": F.col("loc_4") - F.col("loc_3")})
+    return with_gaps(peaks_within(peaks, text))
+
+
+def with_gaps(found: DataFrame) -> DataFrame:
+    return found.withColumns({"gap_before": F.col("loc_2") - F.col("loc_1"), "width": F.col("loc_3") - F.col("loc_2"), "gap_after": F.col("loc_4") - F.col("loc_3")})

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.atlas import Atlas
+from ..sources.shared import written
+from .bitmaps import KEY as BLOCK
+from .bitmaps import SLICE, bitmaps_of
 from .display import signif
 from .lookup import query_genes, resolve_genes, scoped
 
@@ -43,25 +48,40 @@ def transactions(atlas: Atlas, genes: list[str], datasets: list[str] | None = No
     return query_genes(atlas, genes, datasets).groupBy(*KEY).agg(F.array_sort(F.collect_set("gene")).alias("items"))
 
 
-def _all_sets(entries: DataFrame, genes: list[str], cutoff: int) -> DataFrame:
-    """(s, n_cells): bit sets of two or more genes, size by size. Cells with the same genes count as one row; a row has only
-    those sets of a size that are frequent and grow by a later gene, so no set is made that could be ruled out before."""
-    bit = F.element_at(F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(1 << i).cast("long"))]), F.col("gene"))
-    masks = entries.groupBy(*KEY).agg(F.bit_or(bit).alias("mask")).groupBy("mask").agg(F.count("*").alias("n")).where("bit_count(mask) > 1")
-    bits = ", ".join(f"{1 << i}L" for i in range(len(genes)))
-    later = f"filter(array({bits}), b -> mask & b <> 0 and b > s)"
-    now, found = masks.withColumn("s", F.lit(0).cast("long")), None
-    together = Window.partitionBy("s")
-    for size in range(1, len(genes) + 1):
-        grown = now.selectExpr("mask", "n", "s", f"explode({later}) b").selectExpr("mask", "n", "s | b s")
-        frequent = grown.withColumn("n_cells", F.sum("n").over(together)).where(F.col("n_cells") >= cutoff).persist()
-        if not frequent.count():  # makes all of it
+def _all_sets(atlas: Atlas, genes: list[str], datasets: list[str] | None, cutoff: int) -> DataFrame:
+    """(s, n_cells): sets of two or more genes, as bits of a number, that at least `cutoff` cells have together. A set's
+    cells are bitmaps; those of a set and one more gene are their intersection, block by block, and their number the sum of its
+    counts. Only frequent sets grow, each by later frequent genes, so every set is made once and none that a part of it rules out.
+    A level is written to the shared folder, and goes when the next one is there."""
+    number = F.element_at(F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(1 << i).cast("long"))]), F.col("gene"))
+    single = scoped(atlas, bitmaps_of(atlas), datasets).where(F.col("gene").isin(genes)).select(number.alias("s"), *BLOCK, "bits", "n")
+
+    def frequent(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        counts = rows.groupBy("s").agg(F.sum("n").alias("n_cells")).where(F.col("n_cells") >= cutoff)
+        return counts, rows.join(counts.select("s"), "s", "left_semi")
+
+    def grown(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8) & np.frombuffer(b"".join(part.column("more").to_pylist()), np.uint8)
+                n = np.bitwise_count(bits.reshape(part.num_rows, -1)).sum(axis=1, dtype=np.int64)
+                keep = n > 0
+                kept = [r.tobytes() for r in bits.reshape(part.num_rows, -1)[keep]]
+                yield pa.RecordBatch.from_arrays([*[part.column(c).filter(pa.array(keep)) for c in ("s", *BLOCK)], pa.array(kept, pa.binary()), pa.array(n[keep])], names=["s", *BLOCK, "bits", "n"])
+
+    now = written(frequent(single)[1], "sets")
+    one = now.select(F.col("s").alias("g"), *BLOCK, F.col("bits").alias("more"))
+    found = None
+    for _ in range(1, len(genes)):
+        pairs = now.join(one, BLOCK).where(F.col("g") > F.col("s")).select((F.col("s").bitwiseOR(F.col("g"))).alias("s"), *BLOCK, "bits", "more")
+        level = written(pairs.mapInArrow(grown, single.schema), "sets")
+        counts, now = frequent(level)
+        counts = written(counts, "sets")
+        if counts.isEmpty():
             break
-        if size > 1:
-            level = frequent.select("s", "n_cells").distinct()
-            found = level if found is None else found.union(level)
-        now = frequent.select("mask", "n", "s")
-    return found if found is not None else masks.selectExpr("mask s", "n n_cells").limit(0)
+        found = counts if found is None else found.union(counts)
+    return found if found is not None else atlas.spark.createDataFrame([], "s long, n_cells long")
 
 
 def frequent_sets(atlas: Atlas, genes: list[str], datasets: list[str] | None = None, cutoff: int = 1, exhaustive: bool = False) -> DataFrame:
@@ -73,7 +93,7 @@ def frequent_sets(atlas: Atlas, genes: list[str], datasets: list[str] | None = N
     if exhaustive:
         if len(genes) > MASK_GENES:
             raise ValueError(f"all sets are enumerated for up to {MASK_GENES} genes")
-        found = _all_sets(query_genes(atlas, genes, datasets), genes, cutoff)
+        found = _all_sets(atlas, genes, datasets, cutoff)
         if every:
             whole = atlas.spark.range(1, 1 << len(genes)).where("bit_count(id) > 1").withColumnRenamed("id", "s")
             found = whole.join(found, "s", "left").select("s", F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
