@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,7 @@ TYPE, TYPES = "ASIA.NATION_2", ["ASIA.NATION_2", "EUROPE.NATION_3", "AFRICA.NATI
 ROUND = 6
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_functions: dict[str, tuple[Callable[[Atlas], DataFrame], str]] = {}
 _oracle: dict[str, str] = {}
 
 
@@ -45,6 +47,7 @@ def query(sql: str | None = None, kind: str = "orders"):
     """Register a query over an atlas; sql may name the tables ann, types, cells, e and sup."""
 
     def add(f):
+        _functions[f.__name__] = f, kind
         _queries[f.__name__] = lambda spark, sf_dir: f(atlas(spark, sf_dir, kind))
         if sql:
             _oracle[f.__name__] = f"{_tables(kind)} {sql}"
@@ -60,6 +63,12 @@ def _tables(kind: str) -> str:
     if kind == "orders":
         ann = head.format(k="o_orderkey") + "orders JOIN customer ON o_custkey = c_custkey " + place.format(n="c_nationkey")
         val = "SELECT l_orderkey AS k, p_brand AS gene, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
+    elif kind == "barcodes":
+        # cells of several datasets share names, so a key is both
+        bought = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey " + place.format(n="c_nationkey") + " JOIN part ON l_partkey = p_partkey"
+        key = "r_name || ':' || lpad(l_partkey::VARCHAR, 12, '0') AS k"
+        ann = f"SELECT DISTINCT r_name AS dataset, p_brand AS label, r_name || '.' || p_brand AS cell_type, {key} FROM {bought}"
+        val = f"SELECT {key}, s.n_name AS gene, sum(l_quantity) AS value FROM {bought} JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey GROUP BY 1, 2"
     elif kind in ("customer", "classes"):
         ann = head.format(k="c_custkey") + "customer " + place.format(n="c_nationkey")
         gene = "p_brand" if kind == "customer" else "'class' || p_size % 8"
@@ -169,6 +178,34 @@ def decode_posting(a):
     return lookup.posting_at(a, 7)
 
 
+def _nth_postings(a: Atlas, at: list[int]) -> DataFrame:
+    """Postings by their place, with the place that was asked."""
+    found = [lookup.posting_at(a, i).withColumn("i", F.lit(i)) for i in at]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""SELECT i, gene, cell_type, cell_id, value FROM e JOIN (SELECT gene, cell_type, (row_number() OVER (ORDER BY gene, cell_type) - 1)::INT AS i FROM sup) USING (gene, cell_type) WHERE i IN (0, 312, 624, 625, 9000)""")
+def decode_postings(a):
+    return _nth_postings(a, [0, 312, 624, 625, 9000, -1])
+
+
+@query("SELECT i, gene, cell_type FROM (SELECT gene, cell_type, (row_number() OVER (ORDER BY gene, cell_type) - 1)::INT AS i FROM sup) WHERE i IN (0, 7, 100, 801, 999999999)", "parts")
+def decode_posting_names(a):
+    """Of an index of very many postings, which are told by their names in parts."""
+    found = [lookup.posting_key(a, i, most=100).withColumn("i", F.lit(i)) for i in (0, 7, 100, 801, 999999999)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT (SELECT sum(total_cells) FROM types)::BIGINT AS n_cells, (SELECT count(DISTINCT gene) FROM e) AS n_genes, (SELECT count(*) FROM sup) AS n_postings")
+def index_size(a):
+    return lookup.cells_in_index(a)
+
+
+@query("SELECT dataset, count(*) AS n_cell_types, sum(total_cells)::BIGINT AS total_cells FROM types WHERE dataset IN ('ASIA', 'EUROPE') GROUP BY 1")
+def selected_datasets(a):
+    return a.cell_types.where(F.col("dataset").isin(lookup.select_datasets(a, ["ASIA", "EUROPE"]))).groupBy("dataset").agg(F.count("*").alias("n_cell_types"), F.sum("total_cells").alias("total_cells"))
+
+
 @query("SELECT sum(total_cells)::BIGINT AS total_cells, count(*) AS n_cell_types FROM types WHERE dataset IN ('ASIA', 'EUROPE')")
 def total_cells(a):
     return lookup.total_cells(a, ["ASIA", "EUROPE"])
@@ -291,8 +328,15 @@ def neg_log10_pval(a):
 # markers
 
 
+def _metrics(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> str:
+    """By way of the inverses, as doubles divide: what is over 0 is infinite, 0 over 0 isn't a number and stands as null."""
+    inverse = lambda x: f"CASE WHEN {tp} <> 0 THEN ({tp} + {x}) / {tp} WHEN {x} <> 0 THEN 'inf'::DOUBLE END"
+    over = lambda x, y: f"CASE WHEN {x} = 0 THEN 'inf'::DOUBLE WHEN isinf({x}) THEN 0.0 ELSE {y} / {x} END"
+    return f"round({over(f'({inverse(fp)})', '1.0')}, {ROUND}) AS precision, round({over(f'({inverse(fn)})', '1.0')}, {ROUND}) AS recall, round({over(f'(({inverse(fp)}) + ({inverse(fn)}))', '2.0')}, {ROUND}) AS f1"
+
+
 def _scores(targets: list[str], background: str = "true", where: str = "true") -> str:
-    return f"""SELECT cell_type, gene, tp, fp, fn, round(tp / nullif(tp + fp, 0), {ROUND}) AS precision, round(tp / nullif(tp + fn, 0), {ROUND}) AS recall, round(2.0 / (1.0 / nullif(tp / nullif(tp + fp, 0), 0) + 1.0 / nullif(tp / nullif(tp + fn, 0), 0)), {ROUND}) AS f1 FROM (
+    return f"""SELECT cell_type, gene, tp, fp, fn, {_metrics()} FROM (
 SELECT s.cell_type, s.gene, s.n_cells AS tp, (coalesce(b.n, 0) - s.n_cells)::BIGINT AS fp, total_cells - s.n_cells AS fn FROM sup s JOIN types t USING (cell_type) LEFT JOIN (SELECT gene, sum(n_cells) AS n FROM sup WHERE {background} GROUP BY 1) b USING (gene) WHERE s.cell_type IN ({_in(targets)}) AND {where})"""
 
 
@@ -324,12 +368,28 @@ def evaluate_markers_in_order(a):
     return _in_order(markers.evaluate(a, B[1:9], TYPES, sort_field="fn")).select("position", "cell_type", "gene")
 
 
+#: Single parts come from few suppliers, so most of a type's aren't in its neighbour's.
+_EXCLUSIVE = _scores([TYPE], "cell_type = 'ASIA.NATION_7'")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY f1 DESC NULLS LAST, gene) AS position, gene, tp, fp, fn, isinf(precision) AS nothing_false, f1 FROM ({_EXCLUSIVE}) ORDER BY 1 LIMIT 50", "parts")
+def markers_exclusive(a):
+    top = markers.top_markers(a, [TYPE], ["ASIA.NATION_7"], top_k=50)
+    return _rounded(_in_order(top), "f1").select("position", "gene", "tp", "fp", "fn", (F.col("precision") == float("inf")).alias("nothing_false"), "f1")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY precision NULLS LAST, gene) AS position, gene FROM ({_EXCLUSIVE}) WHERE gene < 'P12'", "parts")
+def evaluate_exclusive_in_order(a):
+    genes = [r.gene for r in a.genes.where("gene < 'P12'").collect()]
+    return _in_order(markers.evaluate(a, genes, [TYPE], ["ASIA.NATION_7"], "precision")).select("position", "gene")
+
+
 @query(_scores(TYPES, where=f"s.gene IN ({_in(B[1:4])})"))
 def evaluate_markers(a):
     return _rounded(markers.evaluate(a, ["brand#1", *B[2:4]], TYPES), *_METRICS)
 
 
-@query(f"""SELECT cell_type, gene, tp, fp, fn, round(tp / nullif(tp + fp, 0), {ROUND}) AS precision, round(tp / nullif(tp + fn, 0), {ROUND}) AS recall, round(2.0 / (1.0 / nullif(tp / nullif(tp + fp, 0), 0) + 1.0 / nullif(tp / nullif(tp + fn, 0), 0)), {ROUND}) AS f1 FROM (
+@query(f"""SELECT cell_type, gene, tp, fp, fn, {_metrics()} FROM (
 SELECT t.cell_type, 'Brand#1,Brand#2,' AS gene, coalesce(n, 0) AS tp, ((SELECT count(*) FROM {_AND}) - coalesce(n, 0))::BIGINT AS fp, CASE WHEN n IS NULL THEN 0 ELSE total_cells - n END AS fn FROM types t LEFT JOIN (SELECT cell_type, count(*) AS n FROM {_AND} GROUP BY 1) h USING (cell_type) WHERE t.cell_type IN ({_in(TYPES)}))""")
 def evaluate_markers_and(a):
     return _rounded(markers.evaluate_all(a, B[1:3], TYPES), *_METRICS)
@@ -374,7 +434,9 @@ judged AS (SELECT target, position, cell_type, x, m, least(1.0, max(((SELECT cou
 
 def _signature_query(name: str, kind: str, types: list[str] | None, *how) -> None:
     sql, tables_ = _signature(f"cell_type IN ({_in(types)})" if types else "true", *how)
-    _queries[name] = lambda spark, sf_dir: (lambda a: specificity.signature(a, types or [r.cell_type for r in a.cell_types.collect()], *how))(atlas(spark, sf_dir, kind))
+    f = lambda a: specificity.signature(a, types or [r.cell_type for r in a.cell_types.collect()], *how)
+    _functions[name] = f, kind
+    _queries[name] = lambda spark, sf_dir: f(atlas(spark, sf_dir, kind))
     _oracle[name] = f"{_tables(kind)}{tables_} {sql}"
 
 
@@ -476,7 +538,39 @@ def _of(a: Atlas, datasets: list[str]) -> Atlas:
 @query("SELECT gene, sum(n_cells)::BIGINT AS total_reads FROM sup GROUP BY 1")
 def merge_datasets(a):
     names = a.datasets()
-    return merge(_of(a, names[:2]), _of(a, names[2:])).genes
+    return merge(_of(a, names[:2]), _of(a, names[2:])).genes.select("gene", "total_reads")
+
+
+@query("SELECT dataset, cell_type, cell_id, gene, value FROM e", "barcodes")
+def repeated_cells(a):
+    """Entries of an index whose datasets have cells of the same names."""
+    return a.expression
+
+
+@query("SELECT dataset, cell_type, cell_id, reads, features FROM cells", "barcodes")
+def repeated_cells_meta(a):
+    return a.cells
+
+
+@query("SELECT gene, sum(n_cells)::BIGINT AS total_reads FROM sup GROUP BY 1", "customer")
+def merge_wide_dataset(a):
+    """The datasets but one, and that one from a frame with a column for each gene."""
+    *names, last = a.datasets()
+    cells = _of(a, [last])
+    key = ["label", "cell_id"]
+    wide = cells.cells.join(cells.cell_types.select("cell_type", "label"), "cell_type").select(*key, "cell_type")
+    values = cells.expression.groupBy("cell_type", "cell_id").pivot("gene", [r.gene for r in a.genes.select("gene").collect()]).agg(F.first("value"))
+    wide = wide.join(values, ["cell_type", "cell_id"], "left").withColumn("cell", F.concat_ws("/", "label", F.lpad(F.col("cell_id").cast("string"), 12, "0"))).withColumnRenamed("label", "cell_type1").drop("cell_type", "cell_id").fillna(0.0)
+    return tables.merge_wide(_of(a, names), wide, last).genes.select("gene", "total_reads")
+
+
+@query(f"SELECT gene, cell_type, n_cells FROM sup WHERE gene IN ({_in(B[1:4])})")
+def exported_csv(a):
+    """What is exported, as it is read again."""
+    path = f"{shared_folder(a.spark)}/export/{uuid.uuid4().hex}"
+    out = lookup.gene_support_by_type(a, B[1:4])
+    tables.to_csv(out, path)
+    return a.spark.read.schema(out.schema).option("header", True).csv(path)
 
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,24 +586,48 @@ def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))  # one row each
 
 
-def _reloaded(spark: SparkSession, sf_dir: str) -> Atlas:
-    """The index as it is saved, read from its files; saved once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, "reloaded")
+def _kept(spark: SparkSession, sf_dir: str, kind: str, how: str, make: Callable[[str], None]) -> Atlas:
+    """An index read from files, which are made once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"{how} {kind}")
     if key not in _atlases:
         path = f"{shared_folder(spark)}/atlas/{uuid.uuid4().hex}"
-        tables.save(atlas(spark, sf_dir), path)
+        make(path)
         _atlases[key] = tables.load(spark, path)
     return _atlases[key]
 
 
+def _reloaded(spark: SparkSession, sf_dir: str, kind: str = "orders") -> Atlas:
+    """The index as it is saved, read from its files."""
+    return _kept(spark, sf_dir, kind, "reloaded", lambda path: tables.save(atlas(spark, sf_dir, kind), path))
+
+
+def _grown(spark: SparkSession, sf_dir: str, kind: str = "orders") -> Atlas:
+    """The index grown in three appends, of some datasets each; the second is repeated, which changes nothing."""
+
+    def make(path: str) -> None:
+        a = atlas(spark, sf_dir, kind)
+        names = a.datasets()
+        for name, some in (("first", names[:2]), ("second", names[2:4]), ("second", names[2:4]), ("third", names[4:])):
+            tables.append(_of(a, some), path, name)
+
+    return _kept(spark, sf_dir, kind, "grown", make)
+
+
 _queries["build_index"] = _build
 _oracle["build_index"] = f"{_tables('orders')} SELECT (SELECT count(*) FROM e) AS entries, (SELECT sum(value) FROM e) AS reads, (SELECT count(*) FROM cells) AS cells, (SELECT sum(features) FROM cells)::BIGINT AS features, (SELECT count(*) FROM types) AS types"
-_queries["reloaded_hyper_query"] = lambda spark, sf_dir: _rounded(enrichment.hyper_query(_reloaded(spark, sf_dir), B[1:3]), "pval")
-_oracle["reloaded_hyper_query"] = _oracle["hyper_query"]
-_queries["reloaded_markers_topk"] = lambda spark, sf_dir: _rounded(markers.top_markers(_reloaded(spark, sf_dir), TYPES), *_METRICS)
-_oracle["reloaded_markers_topk"] = _oracle["markers_topk"]
-_queries["reloaded_marker_genes"] = lambda spark, sf_dir: _rounded(mining.marker_genes(_reloaded(spark, sf_dir), _FIVE), "tfidf")
-_oracle["reloaded_marker_genes"] = _oracle["marker_genes"]
+#: Queries that are also put to an index that is read from its files, some of each family; and to one grown by appends.
+RELOADED = ["genes_list", "case_correct", "gene_support", "gene_support_ct", "zero_support_parts", "decode_postings", "query_genes_or", "and_query", "or_query", "not_query", "not_or_query", "mixed_query", "complement_query", "dataset_scoped_query", "query_cells_by_type", "contingency_table", "hyper_query", "markers_topk", "evaluate_markers_and", "ct_specificity", "tissue_specificity", "housekeeping", "signature", "similar_genes", "similar_genes_ops", "gene_tfidf", "frequent_sets_exhaustive", "marker_genes", "quantized_expression", "cell_type_expression"]
+GROWN = ["genes_list", "case_correct", "gene_support", "mixed_query", "complement_query", "hyper_query", "markers_topk", "similar_genes"]
+
+
+def _put_to_files() -> None:
+    for names, how, at in ((RELOADED, "reloaded", _reloaded), (GROWN, "grown", _grown)):
+        for name in names:
+            f, kind = _functions[name]
+            _queries[f"{how}_{name}"] = lambda spark, sf_dir, f=f, kind=kind, at=at: f(at(spark, sf_dir, kind))
+            _oracle[f"{how}_{name}"] = _oracle[name]
+
+
 _queries["save_load_roundtrip"] = _round_trip
 _oracle["save_load_roundtrip"] = f"{_tables('orders')} SELECT dataset, cell_type, cell_id, gene, value FROM e"
 
@@ -537,6 +655,30 @@ def quantized_expression(a):
     return codec.dequantise(codec.quantise(a), a.qb).select("gene", "cell_type", "cell_id", "code", F.round("decoded", 4).alias("decoded"))
 
 
+_PHI2 = _phi("x").replace("sigma = 0", "sigma = 0 AND next < mu").replace("THEN 0.5 ELSE", "THEN 0.0 WHEN sigma = 0 THEN 1.0 ELSE")
+
+
+@query(f"""SELECT gene, cell_type, cell_id, code, round(exp({_INV} * sqrt(2.0) * sigma + mu), 4) AS decoded FROM (SELECT *, (CASE code WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END + 0.5) / 4 AS q FROM (
+SELECT gene, cell_type, cell_id, mu, sigma, floor(round({_PHI2} * 4, 6) + 0.5)::BIGINT % 4 AS code FROM (SELECT *, 1 / (1 + {ERF_P} * abs(z)) AS t FROM (SELECT *, (next - mu) / nullif(sigma, 0) * sqrt(2.0) AS z FROM (
+SELECT gene, cell_type, cell_id, mu, abs(mu - last) / sqrt(n) AS sigma, CASE WHEN lead(cell_id) OVER posting = cell_id + 1 THEN ln(1 + lead(value) OVER posting) ELSE 0.0 END AS next FROM e JOIN (SELECT gene, cell_type, avg(ln(1 + value)) AS mu, arg_max(ln(1 + value), cell_id) AS last, count(*) AS n FROM e GROUP BY 1, 2) USING (gene, cell_type) WINDOW posting AS (PARTITION BY gene, cell_type ORDER BY cell_id))))))""", "customer")
+def quantized_compat(a):
+    return codec.dequantise(codec.quantise(a, codec="compat"), a.qb, "compat").select("gene", "cell_type", "cell_id", "code", F.round("decoded", 4).alias("decoded"))
+
+
+@query(f"""SELECT gene, cell_id, round(coalesce(decoded, 0), 4) AS value FROM (SELECT DISTINCT gene FROM e WHERE cell_type = '{TYPE}') CROSS JOIN (SELECT cell_id FROM cells WHERE cell_type = '{TYPE}') LEFT JOIN (
+SELECT gene, cell_id, exp({_INV} * sqrt(2.0) * sigma + mu) - 1 AS decoded FROM (SELECT *, {_QUANTILE} AS q FROM (SELECT gene, cell_id, mu, sigma, least(3, floor(round({_phi('x')} * 4, 6) + 0.5))::BIGINT AS code FROM (SELECT *, 1 / (1 + {ERF_P} * abs(z)) AS t FROM (
+SELECT *, (ln(1 + value) - mu) / nullif(sigma, 0) / sqrt(2.0) AS z FROM (SELECT * FROM e WHERE cell_type = '{TYPE}') JOIN (SELECT gene, avg(ln(1 + value)) AS mu, stddev_pop(ln(1 + value)) AS sigma FROM e WHERE cell_type = '{TYPE}' GROUP BY 1) USING (gene)))))) USING (gene, cell_id)""", "customer")
+def cell_type_expression_quantised(a):
+    return codec.cell_type_expression(a, TYPE, quantised=True).withColumn("value", F.round("value", 4))
+
+
+@query(f"SELECT gene, list(value ORDER BY cell_id)::VARCHAR AS vector FROM (SELECT g.gene, c.cell_id, coalesce(value, 0)::BIGINT AS value FROM (SELECT DISTINCT gene FROM e WHERE cell_type = '{TYPE}') g CROSS JOIN (SELECT cell_id FROM cells WHERE cell_type = '{TYPE}') c LEFT JOIN (SELECT gene, cell_id, value FROM e WHERE cell_type = '{TYPE}') v ON v.gene = g.gene AND v.cell_id = c.cell_id) GROUP BY 1", "customer")
+def cell_type_vectors(a):
+    """The arrays of each gene, block by block, as one string."""
+    parts = codec.cell_type_vectors(a, TYPE).select("gene", F.struct("cell_block", F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ", ").alias("v")).alias("p"))
+    return parts.groupBy("gene").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"]), ", "), F.lit("]")).alias("vector"))
+
+
 # front end
 
 REGIONS = "chr13:500-60000 , CHR5:1000-90000 chr7_100_70000 chr5:9-3"
@@ -554,8 +696,20 @@ def loci_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.loci(tables.driver_peaks(spark, sf_dir), REGIONS)
 
 
-_queries |= {"peak_interval": peak_interval, "loci_regions": loci_regions}
-_oracle |= {"peak_interval": f"SELECT input, chromosome || ':' || loc_2 || '-' || loc_3 AS peak FROM ({_LOCI})", "loci_regions": _LOCI}
+#: A region for each customer, of widths from a few bases to a whole chromosome.
+_MANY = "SELECT 'r' || c_custkey AS input, 'chr' || (c_custkey % 50 + 1) AS q_chr, (c_custkey * 37 % 190000)::BIGINT AS q_start, (c_custkey * 37 % 190000 + 40 * power(7, c_custkey % 9))::BIGINT AS q_end FROM customer"
+
+
+def loci_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks in as many regions as there are customers."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    start = (F.col("c_custkey") * 37 % 190000).cast("long")
+    asked = c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("input"), F.concat(F.lit("chr"), (F.col("c_custkey") % 50 + 1).cast("string")).alias("q_chromosome"), start.alias("q_start"), (start + 40 * F.pow(F.lit(7), F.col("c_custkey") % 9)).cast("long").alias("q_end"))
+    return intervals.with_gaps(intervals.peaks_in(tables.driver_peaks(spark, sf_dir), asked))
+
+
+_queries |= {"peak_interval": peak_interval, "loci_regions": loci_regions, "loci_many": loci_many}
+_oracle |= {"peak_interval": f"SELECT input, chromosome || ':' || loc_2 || '-' || loc_3 AS peak FROM ({_LOCI})", "loci_regions": _LOCI, "loci_many": f"SELECT input, gene, chromosome, q_start AS loc_1, p_start AS loc_2, p_end AS loc_3, q_end AS loc_4, p_start - q_start AS gap_before, p_end - p_start AS width, q_end - p_end AS gap_after FROM ({_PEAKS}) p JOIN ({_MANY}) q ON chromosome = q_chr AND p_start >= q_start AND p_end <= q_end"}
 
 
 @query(f"SELECT c.dataset, c.cell_type, c.cell_id, (c.cell_id % 10)::DOUBLE AS x, floor(c.cell_id / 10)::DOUBLE AS y, h.cell_id IS NOT NULL AS hit FROM cells c LEFT JOIN {_AND} h USING (dataset, cell_type, cell_id) WHERE c.cell_type IN ({_in(TYPES)})")
@@ -570,6 +724,9 @@ def union_tagged(a):
     return display.tagged_union(asia=one("ASIA"), europe=one("EUROPE"))
 
 
+_put_to_files()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

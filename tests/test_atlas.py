@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from postella.functions.text import locus_name, peak_name, split_query
 from postella.operators import boolean, codec, display, enrichment, intervals, lookup, markers, mining, similarity, specificity
 from postella.plans.query import parse, role_of
 from postella.sources import tables
+from postella.sources.manifest import Manifest
 
 CELLS = {
     ("D1", "T"): [("t1", dict(A=3, B=1, chr1_10_20=1)), ("t2", dict(A=2, C=4)), ("t3", dict(A=1, B=2, C=1))],
@@ -107,9 +109,16 @@ def test_complements_add_up(a):
 
 def test_parse():
     assert [role_of(t) for t in ("x", "*x", "-x", "*-x", "-*x")] == [("required", "x"), ("any_of", "x"), ("excluded", "x"), ("excluded_any", "x"), ("excluded_any", "x")]
-    with pytest.warns(UserWarning, match="both"):
+    with pytest.warns(UserWarning, match="more than one operator"):
         parse(["x", "-x"], lambda names: {n: n for n in names})
     assert parse(7, lambda n: {}).genes == []
+    same = lambda names: {n: n for n in names}
+    for terms in (["g", "*g"], ["-g", "*-g"], ["*g", "-g"], ["*g", "-*g"], ["g", "-*g"]):
+        with pytest.warns(UserWarning, match="more than one operator: g"):
+            parse(terms, same)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        parse(["g", "g", "*h", "-i", "*-j"], same)
 
 
 def test_names(a):
@@ -157,6 +166,39 @@ def test_markers(a):
     assert both == {"D1.T": (2, 1, 1), "D1.U": (0, 3, 0)}
 
 
+def test_marker_scores_where_nothing_else_has_the_gene(spark, a):
+    """tp 3 of 3, fp -3: nothing false, so precision is infinite and f1 is twice the recall."""
+    r = {x.gene: x for x in markers.score(a, ["D1.T"], background=["D1.U"]).collect()}
+    assert (r["A"].tp, r["A"].fp, r["A"].fn) == (3, -3, 0) and r["A"].precision == math.inf and r["A"].f1 == 2.0
+    assert (r["B"].precision, r["B"].recall) == (1.0, pytest.approx(2 / 3))
+    best = markers.top_markers(a, ["D1.T"], ["D1.U"], top_k=4).collect()
+    assert best[0].gene == "A" and [x.f1 for x in best] == sorted((x.f1 for x in best), reverse=True)
+    up = [x.gene for x in markers.evaluate(a, ["A", "B", "C"], ["D1.T"], ["D1.U"], "precision").collect()]
+    assert up[-1] == "A"
+    none = markers.evaluate_all(a, ["A", "d"], ["D1.T"]).first()
+    assert (none.tp, none.fp, none.fn, none.precision, none.recall, none.f1) == (0, 0, 0, None, None, None)
+    some = markers.evaluate_all(a, ["B", "d"], ["D1.T", "D1.U"])
+    assert {x.cell_type: (x.precision, x.recall, x.f1) for x in some.collect()}["D1.T"] == (0.0, None, None)
+    assert markers.evaluate_all(a, ["A", "B"], ["D1.T"], ["D2.X"]).first().tp == 0
+
+
+def test_cells_of_datasets_are_apart(spark):
+    """Datasets name cells alike; a value goes to its own dataset's cell."""
+    cells = [(d, "T", c) for d in ("D1", "D2") for c in ("c1", "c2")]
+    entries = [("D1", "c1", "A", 1.0), ("D2", "c1", "B", 5.0), ("D1", "c2", "A", 2.0), ("D2", "c2", "A", 7.0)]
+    annotation = spark.createDataFrame(cells, "dataset string, label string, cell string")
+    both = build(annotation, spark.createDataFrame(entries, "dataset string, cell string, gene string, value double"))
+    want = [("D1.T", 1, "A", 1.0), ("D1.T", 2, "A", 2.0), ("D2.T", 1, "B", 5.0), ("D2.T", 2, "A", 7.0)]
+    assert rows(both.expression, "cell_type", "cell_id", "gene", "value") == want
+    assert rows(both.cells, "cell_type", "cell_id", "reads") == [("D1.T", 1, 1.0), ("D1.T", 2, 2.0), ("D2.T", 1, 5.0), ("D2.T", 2, 7.0)]
+    long = spark.createDataFrame([(d, "T", c, g, v) for d, c, g, v in entries], "dataset string, label string, cell string, gene string, value double")
+    assert rows(tables.from_long(long).expression, "cell_type", "cell_id", "gene", "value") == want
+    with pytest.raises(ValueError, match="`dataset`"):
+        build(annotation, spark.createDataFrame([("c1", "A", 1.0)], "cell string, gene string, value double"))
+    with pytest.raises(ValueError, match="more than once"):
+        build(annotation.union(annotation.limit(1)), spark.createDataFrame(entries, "dataset string, cell string, gene string, value double"))
+
+
 def test_specificity(a):
     assert dict(rows(specificity.cell_type_specificity(a, min_cells=1, min_fraction=0.3), "gene", "n_types")) == {"A": 1, "B": 3, "C": 2, "d": 0, "chr1_10_20": 0}
     assert dict(rows(specificity.tissue_specificity(a, min_cells=1), "gene", "n_datasets"))["A"] == 1
@@ -230,14 +272,18 @@ def test_merge_is_build_of_the_union(spark, a):
 
 
 def test_save_and_load(spark, a, tmp_path):
-    save(a, str(tmp_path / "i"))
-    b = load(spark, str(tmp_path / "i"))
-    for t in tables.TABLES:
+    path = str(tmp_path / "i")
+    assert save(a, path) == 1
+    b = load(spark, path)
+    for t in ("expression", "cells", "cell_types", "support", "genes"):
         x, y = getattr(a, t), getattr(b, t)
         assert rows(x, *sorted(x.columns)) == rows(y, *sorted(x.columns))
-    spark.range(1).selectExpr("9 version", "2 qb").write.mode("overwrite").parquet(str(tmp_path / "i/meta"))
+    manifest = Manifest(spark, path)
+    assert manifest.commit(2, {**manifest.read()[1], "version": 9})
     with pytest.raises(ValueError, match="version"):
-        load(spark, str(tmp_path / "i"))
+        load(spark, path)
+    with pytest.raises(ValueError, match="no index"):
+        load(spark, str(tmp_path / "other"))
 
 
 def test_wide_source(spark):
@@ -282,6 +328,9 @@ def test_posting_by_number(a):
     for i in (0, len(every) - 1):
         assert {(r.gene, r.cell_type) for r in lookup.posting_at(a, i).collect()} == {every[i]}
     assert lookup.posting_at(a, len(every)).count() == lookup.posting_at(a, -1).count() == 0
+    # counted name by name, as if there were very many
+    assert [tuple(lookup.posting_key(a, i, most=1).first()) for i in range(len(every))] == every
+    assert lookup.posting_key(a, len(every), most=1).count() == 0
 
 
 def test_numbering_over_blocks(spark):
@@ -299,7 +348,58 @@ def test_codec(a):
     assert m["C"] == {"gene": "C", "1": 0.0, "2": 2.0, "3": 2.0, "4": 0.0} and set(m) == {"A", "B", "C", "d"}
     with pytest.raises(ValueError, match="bits"):
         codec.quantise(a, 40)
-    assert {r.gene: r["values"] for r in codec.cell_type_vectors(a, "D2.X").collect()}["C"] == [0.0, 2.0, 2.0, 0.0]
+    assert {(r.gene, r.cell_block): r["values"] for r in codec.cell_type_vectors(a, "D2.X").collect()}["C", 0] == [0.0, 2.0, 2.0, 0.0]
+
+
+def test_tiles(a, monkeypatch):
+    whole = rows(codec.cell_type_expression(a, "D2.X"), "gene", "cell_id", "value")
+    assert len(whole) == 16 and ("d", 2, 1.0) in whole and ("A", 4, 0.0) in whole
+    monkeypatch.setattr(codec, "TILE_GENES", 3)
+    monkeypatch.setattr(codec, "TILE_CELLS", 3)
+    tiles = {(r.gene_block, r.cell_block): r for r in codec.cell_type_tiles(a, "D2.X").collect()}
+    assert set(tiles) == {(0, 0), (0, 1), (1, 0), (1, 1)} and tiles[1, 0].genes == ["d"] and tiles[0, 1].n_cells == 1 and tiles[1, 1].value == []
+    assert (tiles[0, 0].row, tiles[0, 0].column, tiles[0, 0].value) == ([0, 1, 1, 2, 2], [0, 0, 2, 1, 2], [1.0, 1.0, 1.0, 2.0, 2.0])
+    assert rows(codec.cell_type_expression(a, "D2.X"), "gene", "cell_id", "value") == whole
+    assert {(r.gene, r.cell_block): r["values"] for r in codec.cell_type_vectors(a, "D2.X").collect()}["C", 0] == [0.0, 2.0, 2.0]
+    assert {r.gene: r.asDict() for r in codec.cell_type_matrix(a, "D2.X").collect()}["C"] == {"gene": "C", "1": 0.0, "2": 2.0, "3": 2.0, "4": 0.0}
+    monkeypatch.setattr(codec, "WIDE", 3)
+    with pytest.raises(ValueError, match="tiles"):
+        codec.cell_type_matrix(a, "D2.X")
+    assert codec.cell_type_expression(a, "no such").count() == 0
+
+
+def test_tiles_of_a_very_large_type(spark):
+    """A million cells: no row holds more than a tile."""
+    n = 1_000_000
+    ids = spark.range(n)
+    annotation = ids.selectExpr("'D' dataset", "'T' label", "id cell")
+    entries = ids.selectExpr("'D' dataset", "id cell", "explode(array('a', if(id % 3 = 0, 'b', 'c'))) gene", "cast(id % 7 + 1 as double) value")
+    t = codec.cell_type_tiles(build(annotation, entries), "D.T")
+    got = t.select(F.count("*"), F.max(F.size("value")), F.sum("n_cells"), F.sum(F.size("value")), F.sum(F.aggregate("value", F.lit(0.0), lambda x, v: x + v))).first()
+    assert tuple(got) == (489, 2 * codec.TILE_CELLS, n, 2 * n, 2.0 * sum(i % 7 + 1 for i in range(n)))
+
+
+def test_older_codec_by_hand(spark):
+    """Codes and values worked out from the definition with math.erfc: the next cell's value, the last cell's deviation, the wrap."""
+    values = [3.0, 0.0, 1.0, 8.0, 2.0]
+    cells = [("D", "T", f"c{i}") for i in range(5)]
+    entries = [("D", f"c{i}", "g", v) for i, v in enumerate(values) if v]
+    one = build(spark.createDataFrame(cells, "dataset string, label string, cell string"), spark.createDataFrame(entries, "dataset string, cell string, gene string, value double"))
+    logs = [math.log(v + 1) for v in values if v]
+    mu, n = sum(logs) / 4, 4
+    sigma = abs(mu - logs[-1]) / math.sqrt(n)
+    follows = [math.log(v + 1) for v in (0.0, 8.0, 2.0, 0.0)]
+    want = [int(math.floor((1 - 0.5 * math.erfc((x - mu) / (sigma * math.sqrt(0.5)))) * 4 + 0.5)) % 4 for x in follows]
+    got = codec.dequantise(codec.quantise(one, 2, "compat"), 2, "compat").orderBy("cell_id").collect()
+    assert [r.cell_id for r in got] == [1, 3, 4, 5] and [r.code for r in got] == want and got[0].sigma == pytest.approx(sigma)
+    bins = {0: 1, 1: 3, 2: 3, 3: 2}
+    from statistics import NormalDist
+
+    for r in got:
+        assert math.log(r.decoded) == pytest.approx(NormalDist(mu, sigma).inv_cdf((bins[r.code] + 0.5) / 4), abs=5e-3 * sigma)
+    assert {r.decoded for r in codec.dequantise(codec.quantise(one, 1, "compat"), 1, "compat").where("code = 1").collect()} <= {None}
+    with pytest.raises(ValueError, match="codec"):
+        codec.quantise(one, codec="other")
 
 
 def test_intervals(spark):
@@ -312,6 +412,22 @@ def test_intervals(spark):
     assert spark.createDataFrame([("chr1:10-20",)], "x string").select(peak_name(F.col("x")).alias("y")).first().y == "chr1_10_20"
 
 
+def test_intervals_over_bins(spark, monkeypatch):
+    """Regions and peaks that span bins, against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    peaks = [(f"chr{rng.randrange(3)}", s := rng.randrange(1 << 22), s + rng.choice([1, 50, 20_000, 300_000])) for _ in range(400)]
+    asked = [(f"r{i}", f"chr{rng.randrange(4)}", s := rng.randrange(1 << 22), s + rng.choice([0, 10, 5_000, 70_000, 1 << 20, 1 << 40])) for i in range(60)]
+    df = spark.createDataFrame([(f"{c}_{s}_{e}",) for c, s, e in peaks], "gene string")
+    regions = spark.createDataFrame([*asked, ("null", None, None, None)], "input string, q_chromosome string, q_start long, q_end long")
+    want = sorted((r, f"{c}_{s}_{e}") for r, q, lo, hi in asked for c, s, e in peaks if c == q and s >= lo and e <= hi)
+    assert len(want) > 100 and rows(intervals.peaks_in(df, regions), "input", "gene") == want
+    assert intervals.peaks_in(df, regions.limit(0)).count() == intervals.peaks_in(df.limit(0), regions).count() == 0
+    plan = intervals.peaks_in(df, regions)._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
 def test_display(spark, a):
     umap = a.cells.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
     assert sum(r.hit for r in display.umap_hits(umap, boolean.find(a, ["A", "B"]), ["D1.T"]).collect()) == 2
@@ -329,4 +445,5 @@ def test_streaming_growth(spark, tmp_path):
     q = grow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    assert load(spark, str(tmp_path / "out/part=0000000000")).cells.count() == 9
+    assert load(spark, str(tmp_path / "out")).cells.count() == 9
+    assert Manifest(spark, str(tmp_path / "out")).read()[1]["parts"] == ["batch-0000000000"]
