@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Chunk, chunks, in_part, mix, pack, partitions, pick, pick_with_rest, released, to_part, unpack
+from .common import Chunk, chunks, ids_of, in_part, mix, pack, partitions, pick, pick_with_rest, released, to_part, unpack
 
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PARTS_SQL = "part int, kind int, blob binary"
@@ -44,6 +44,8 @@ FLUSH = 28 << 20
 PARTITION, OPENED = 6 << 20, 24 << 20
 #: One document of so many is sampled for hot anchors; an anchor is hot with so many sampled runs; so many are told apart.
 SAMPLE, HOT, TOLD = 64, 400, 100_000
+#: Places of the filter of repeated ids.
+SLOTS = 1 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 
@@ -129,9 +131,31 @@ def words_of(chunk: Chunk) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return b" ".join(every) + b" ", starts, np.fromiter(map(xxhash.xxh3_64_intdigest, every), np.uint64, n), np.cumsum(counts)
 
 
-def tags_of(chunk: Chunk) -> np.ndarray:
-    """A few bits of each text, which keep apart different texts under one id."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(t) & 0xFFFF for t in chunk.texts()), np.uint16, len(chunk))
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def repeated_ids(rows: DataFrame) -> np.ndarray:
+    """A filter of fixed size that ids of more than one row pass, and few others."""
+
+    def slots(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(ids_of(b.column(0)))))], names=["slot"])
+
+    twice = rows.groupBy("k").count().where("count > 1").select("k")
+    out = np.zeros(SLOTS, bool)
+    out[twice.mapInArrow(slots, "slot long").distinct().toArrow().column(0).to_numpy()] = True
+    return out
+
+
+def tags_of(chunk: Chunk, repeated: np.ndarray) -> np.ndarray:
+    """What tells apart different texts under one id: a text's 64-bit hash where the filter of repeated ids says so, else 0,
+    which takes no room."""
+    out = np.zeros(len(chunk), np.uint64)
+    raw, o = chunk.data.tobytes(), chunk.offs
+    for i in np.flatnonzero(repeated[_slot(chunk.ids)]):
+        out[i] = xxhash.xxh3_64_intdigest(raw[o[i] : o[i + 1]])
+    return out
 
 
 def later(doc, pos, first_doc, first_pos, across: bool) -> np.ndarray:
@@ -270,7 +294,7 @@ def _repeated(key, doc, pos, across: bool) -> np.ndarray:
     return later(doc, pos, doc[f], pos[f], across)
 
 
-def run_mapper(spec: Spec, parts: int, hot):
+def run_mapper(spec: Spec, parts: int, hot, repeated):
     """From documents (id, text): their runs, less those that the task has met earlier; of those the ranges."""
 
     def send(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +330,7 @@ def run_mapper(spec: Spec, parts: int, hot):
     def run(batches):
         gathered, held = [], 0
         for chunk in chunks(batches, 3 << 20):
-            tags = tags_of(chunk)
+            tags = tags_of(chunk, repeated.value)
             if not (got := _runs_in(chunk, spec)):
                 continue
             d, first, n, lo, hi, alo, ahi, buf, offs = got
@@ -454,13 +478,13 @@ def _anchor_size(r: Runs, spec: Spec) -> np.ndarray:
     return stop - (lo + off)
 
 
-def text_mapper(parts: int):
+def text_mapper(parts: int, repeated):
     """Packs whole texts for their partition."""
 
     @released
     def run(batches):
         for chunk in chunks(batches, 8 << 20):
-            tags, texts = tags_of(chunk), chunk.texts()
+            tags, texts = tags_of(chunk, repeated.value), chunk.texts()
             rest = chunk.batch.slice(chunk.lo, len(chunk)).select(range(2, chunk.batch.num_columns))
             yield from rows_of(in_part(chunk.ids, parts), TEXTS, lambda i: (chunk.ids[i], tags[i], chunk.null[i], [texts[j] for j in i], rest.take(pa.array(i)) if rest.num_columns else None))  # noqa: B023
 
@@ -483,7 +507,7 @@ def with_ranges(names: list[str], make: Callable[[np.ndarray, np.ndarray, list[b
         if found:
             doc, tag, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
-            doc, tag, start, end = np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            doc, tag, start, end = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         doc, tag, start, end = merged(doc, tag, start, end - start)
         spans = np.stack([start, end], 1) if len(start) else np.zeros((0, 2), np.int64)
         for blob in texts:
@@ -513,8 +537,9 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, spec: Spec, windows
     for f in whole.schema.fields[2:]:
         out.add(f.name, f.dataType)
     n = partitions(rows, PARTITION)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(rows, spec))
-    runs = to_part(n, rows.mapInArrow(run_mapper(spec, n, hot), PARTS_SQL), "part")
+    send = docs.sparkSession.sparkContext.broadcast
+    hot, repeated = send(hot_anchors(rows, spec)), send(repeated_ids(rows))
+    runs = to_part(n, rows.mapInArrow(run_mapper(spec, n, hot, repeated), PARTS_SQL), "part")
     ranges = runs.mapInArrow(resolver(spec, n, windows), PARTS_SQL)
-    texts = whole.mapInArrow(text_mapper(n), PARTS_SQL)
+    texts = whole.mapInArrow(text_mapper(n, repeated), PARTS_SQL)
     return to_part(n, ranges.union(texts), "part").mapInArrow(with_ranges(out.names, make), out)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postella.llm import anchors, queries
 from postella.llm.anchors import STEP, Spec, grams, runs_of, sliding_min
+from postella.llm.common import NULL_ID
 from postella.llm.substring_dedup import substring_dedup
 from postella.llm.suffix_dedup import SuffixLevels, cut_repeats, distinct, suffix_dedup
 
@@ -119,7 +120,7 @@ def test_windows_of_a_hot_anchor_are_sent_once_a_task(split):
     every = np.sort(np.concatenate([b.column(0).to_numpy().view(np.uint64) for b in anchors.anchor_counter(spec)([batch])]))
     sent = []
     for hot in (np.zeros(0, np.uint64), np.unique(every)):
-        rows = [(k, anchors.unpack(x)) for b in anchors.run_mapper(spec, 4, type("B", (), {"value": hot}))([batch]) for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        rows = [(k, anchors.unpack(x)) for b in anchors.run_mapper(spec, 4, type("B", (), {"value": hot}), type("B", (), {"value": np.zeros(anchors.SLOTS, bool)}))([batch]) for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         sent.append({kind: sum(len(x[0]) for k, x in rows if k == kind) for kind in (anchors.RUNS, anchors.HASHES)})
     # in 2000 documents the line's own windows are the same; only those that reach into the numbers differ
     own = len({t[s : s + 50] for t in texts for s in range(len(t) - 49)})
@@ -212,3 +213,34 @@ def test_cut_inside_a_character(spark):
     rows = [(1, "é" * 60), (2, "x" + "é" * 30 + "yz")]
     out = dict(texts_of(cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"))))
     assert out[2] == "xyz"
+
+
+def colliding(want: str, make) -> str:
+    """A text whose hash's low 16 bits are those of the wanted one's."""
+    import xxhash
+
+    low = xxhash.xxh3_64_intdigest(want.encode()) & 0xFFFF
+    return next(t for i in range(1 << 22) if xxhash.xxh3_64_intdigest((t := make(i)).encode()) & 0xFFFF == low)
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    """Texts that share an id, and the low bits of their hashes: each has its own cuts."""
+    a = passage_of(60, 1)
+    y = colliding(a, lambda i: f"{passage_of(61, 2)} {i}")
+    rows = [(1, a), (2, a), (2, y), (3, y), (3, None), (3, ""), (4, "short"), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    in_any_order = lambda got: {k: sorted(v) for k, v in got.items()}
+    assert in_any_order(words_result(df)) == in_any_order(brute_words(rows))
+    assert in_any_order(bytes_result(df)) == in_any_order(brute_bytes(rows))
+    left = sorted((r.doc_id, r.text or "") for r in cut_repeats(df).collect())
+    assert (2, y) in left and (2, a) not in left and (1, a) in left
+
+
+def passage_of(n: int, seed: int) -> str:
+    return " ".join(f"v{(i * 7919 + seed * 104729) % 99991:x}" for i in range(n))
+
+
+def test_ids_that_stand_twice(spark):
+    ids = [1, 1, 2, None, None, 5, 7, 7, 7]
+    seen = anchors.repeated_ids(spark.createDataFrame([(i,) for i in ids], "k long").repartition(3))
+    assert [bool(x) for x in seen[anchors._slot(np.array([1, 2, NULL_ID, 5, 7]))]] == [True, False, True, False, True]
