@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution: hashed word runs, gains by bucket, the highest noisy weights drawn.
 
 Documents are scored by an array of integer gains, one for each bucket. Scores are integers, so their ranks come from a
-histogram: counts summed from the highest score down, in digits of 16 bits so that no sum runs over more than 65,536 rows,
+histogram: counts summed from the highest score down, in digits of a few bits so that no sum runs over more than 2,048 rows,
 give each score's first rank; the cutoff is the last score whose first rank is drawn. Only documents
 from there on are numbered, by id within their score. All of it is DataFrame functions.
 """
@@ -18,8 +18,8 @@ from .common import checkpoint, pick
 
 #: What words don't hold: ASCII but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of a score's digit; equal rows that are numbered by one array.
-DIGIT, STEP = 16, 1 << 16
+#: Bits of a score's digit, and digits below the highest; equal rows that are numbered by one array.
+DIGIT, DIGITS, STEP = 11, 3, 1 << 16
 OUT = ["doc_id", "n_features", "weight", "score", "rank"]
 
 
@@ -29,14 +29,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
+def _runs_of(w: Column, n: int) -> Column:
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]))
+
+
 def features_of(words: str, longest: int) -> Column:
     """All runs of up to `longest` words, each joined by one space."""
     w = F.col(words)
-    runs = [w]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
-    return F.concat(*runs) if len(runs) > 1 else w
+    return F.concat(w, *[_runs_of(w, n) for n in range(2, longest + 1)]) if longest > 1 else w
 
 
 def bucket_of(feature: Column, buckets: int) -> Column:
@@ -79,7 +80,7 @@ def rank_offsets(histogram: DataFrame) -> DataFrame:
     """(score, n, above): how many rows have a higher score, of a histogram (score, n). Sums run within a digit of the score
     at a time, lowest last: none is over more rows than a digit has values, but for the highest, whose values are few."""
     levels = [histogram.withColumn("up", F.shiftright("score", DIGIT))]
-    for _ in range(2):
+    for _ in range(DIGITS):
         levels.append(levels[-1].groupBy("up").agg(F.sum("n").alias("n")).withColumnRenamed("up", "score").withColumn("up", F.shiftright("score", DIGIT)))
     top = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("up").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)

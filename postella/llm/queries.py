@@ -108,8 +108,18 @@ def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3's rows SQL can express."""
+    return op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op7's rows SQL can express."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_html_extraction, op7_quality_rules, op8_token_counts, op9_language_id, op10_simhash_near_dedup, op11_embedding_whitening, op12_importance_resampling, op13_document_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece_codec, op2_substring_dedup, op3_lm_scoring, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_html_extraction, op7_quality_rules, op8_token_counts, op9_language_id, op10_simhash_near_dedup, op11_embedding_whitening, op12_importance_resampling, op13_document_fingerprints, lm_base_scores, quality_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
