@@ -7,9 +7,15 @@ sliding windows of lines. A run of windows with text begins at a surge and ends
 empty; it is kept, with short and link-heavy lines inside, if its highest window stands out on its page.
 The main container is the deepest that holds nearly all text of those runs: from its first to its last line of running
 text all is kept; of lines outside it that don't stand out only headings, paragraphs, items and cells are.
-Where the page marks an article that holds most of the running text, only its lines have lengths, so the runs lie in it;
-its lines are kept but for what lies beyond a dive before the first run or after the last. Names that
-are only a hint, such as `share` or `related`, take away lines that aren't running text.
+Where the page marks an article that holds most of the running text, only its lines have lengths, so the runs lie in it; its
+lines are kept, but for a list of links before the first surge that a dive parts from it. Links after the last
+dive are the article's too, as are those that a heading is followed by: how dense links are tells furniture from
+the article on the page, not within the article.
+
+Names (classes and ids) tell of containers: they take away menus, notices, adverts and comments. Headings are never
+judged by them, paragraphs, items and cells only by a class that says advert, comment or the like. Within an article an id
+is a hint, as it may name what a section is about, and a header is the article's own. What is only hinted at, as by
+`share` or `related`, loses the lines that aren't running text.
 
 Rows: one per page row; rows that repeat a page get equal texts. A null or empty html, or one without text, has the
 empty text. Broken markup is read as browsers do, in time linear in its length: a tag ends at the first > outside
@@ -31,15 +37,17 @@ from .common import chunks, id_array, pick
 
 # Element names of HTML, and words by which pages name their parts.
 RAW = "script style noscript textarea title xmp iframe noembed noframes".split()
-SKIP = "nav aside footer form button menu dialog head template svg math object canvas audio video select datalist".split()
+SKIP = "nav aside footer form button menu dialog head template svg annotation annotation-xml object canvas audio video select datalist".split()
 BLOCK = "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead title tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 NAMES = "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments disqus respond reply replies cookie cookies consent gdpr notice notices notification alert footer header masthead menu menubar nav navbar navigation newsletter popup modal overlay promo promotion sidebar sidebars sponsor sponsored subscribe subscription topbar".split()
+FOREIGN = "ad ads adv advert adverts advertisement advertising adsense comment comments disqus respond reply replies cookie cookies consent gdpr newsletter popup modal promo promotion sponsor sponsored subscribe subscription".split()
+HEADER = "banner header masthead".split()
 HINTS = "login pager pagination recommended recommendations related search share sharing signup skip social tagcloud tags toolbar widget widgets".split()
 HINTED = "fieldset label option input".split()
 ROLES = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
 
-_RAW, _SKIP, _BLOCK, _VOID, _NAMES, _HINTS, _HINTED, _ROLES = map(frozenset, (RAW, SKIP, BLOCK, VOID, NAMES, HINTS, HINTED, ROLES))
+_RAW, _SKIP, _BLOCK, _VOID, _NAMES, _FOREIGN, _HEADER, _HINTS, _HINTED, _ROLES = map(frozenset, (RAW, SKIP, BLOCK, VOID, NAMES, FOREIGN, HEADER, HINTS, HINTED, ROLES))
 _CLOSES = {"p": frozenset(_BLOCK - {"br"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 _NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 _KEY = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?(\s*=\s*)?")
@@ -56,6 +64,7 @@ PROSE = 10
 #: The main container holds this part of the text that stands out.
 MOST = 0.9
 _HOLDS = frozenset("div section article main td center".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre caption figcaption".split())
 
 
@@ -126,8 +135,9 @@ class _Page:
         return m[0].lower(), found, html[at - 1 : at] == "/", min(at + 1, n)
 
 
-def _named_away(name: str, attrs: list[tuple[str, str]]) -> tuple[bool, bool]:
-    """Whether class, id, role or style take the element out of the article, and whether a name hints at that."""
+def _named_away(name: str, attrs: list[tuple[str, str]], inside: bool) -> tuple[bool, bool]:
+    """Whether class, id, role or style take the element out of the article, and whether a name hints at that; inside says
+    that it stands in a marked article."""
     whole = name in ("body", "html", "article", "main")
     hint = name in _HINTED
     for key, value in attrs:
@@ -136,12 +146,22 @@ def _named_away(name: str, attrs: list[tuple[str, str]]) -> tuple[bool, bool]:
         if key == "role":
             if value in _ROLES:
                 return not whole, False
-        elif key in ("class", "id"):
+        elif key in ("class", "id") and name not in _HEADINGS and not (name in _TEXTUAL and key == "id"):
             for n in value.split():
                 parts = _SPLIT.split(n)
-                if (n in _NAMES or _NAMES.issuperset(parts)) and (not whole or "comment" in n or "dvert" in n):
+                named = n in _NAMES or _NAMES.issuperset(parts)
+                foreign = named and not _FOREIGN.isdisjoint([n, *parts])
+                if name in _TEXTUAL:
+                    # a class of a paragraph or an item counts if it says that its text is another's
+                    if foreign:
+                        return True, False
+                    hint |= named
+                elif named and inside and not foreign and (key == "id" or _HEADER.issuperset(parts)):
+                    hint |= key == "id" and not _HEADER.issuperset(parts)
+                elif named and (not whole or "comment" in n or "dvert" in n):
                     return True, False
-                hint |= not whole and (n in _HINTS or (_NAMES | _HINTS).issuperset(parts))
+                else:
+                    hint |= not whole and (n in _HINTS or (_NAMES | _HINTS).issuperset(parts))
     return False, hint
 
 
@@ -220,7 +240,7 @@ def lines_of(html: str) -> tuple[list[Line], list[int], list[int]]:
             continue
         if name in _VOID or empty and name in ("svg", "math"):
             continue
-        away, hint = _named_away(name, attrs)
+        away, hint = _named_away(name, attrs, state["article"] > 0)
         away = away or name == "header" and not state["article"] or name in _SKIP and page.find(_END[name], at) >= 0
         open_.setdefault(name, []).append(len(stack))
         if name in _BLOCK or name in _CLOSES:
@@ -254,13 +274,23 @@ def _runs(at: list[int], gap: int) -> list[tuple[int, int]]:
 
 
 def _within_dives(size: list[int], prose: list[bool], runs: list[tuple[int, int]]) -> list[int]:
-    """The lines of a marked article: all, but for those before its first run and after its last that a dive, a whole
-    window of lines without running text, parts from it."""
-    if not runs:
-        return list(range(len(size)))
-    at = [i for i in range(len(size)) if size[i] or prose[i]]
-    lo, hi = at[0], at[-1]
-    return list(range(0 if lo < WINDOW else lo, len(size) if len(size) - 1 - hi < WINDOW else hi + 1))
+    """The lines of a marked article: all, but for those before its first run that a dive, a whole window of lines without
+    running text, parts from it."""
+    first = next((i for i in range(len(size)) if size[i] or prose[i]), 0) if runs else 0
+    return list(range(0 if first < WINDOW else first, len(size)))
+
+
+def _headed(lines: list[Line], size: list[int], at: int, mine: range | list[int]) -> list[int]:
+    """The links that a heading, the last line with running text, is followed by: of the given lines those up to the next text."""
+    if lines[at].block not in _HEADINGS:
+        return []
+    out = []
+    for i in mine:
+        if i > at:
+            if size[i]:
+                break
+            out.append(i)
+    return out
 
 
 def main_text(html: str) -> str:
@@ -310,7 +340,11 @@ def main_text(html: str) -> str:
         sized = [i for i in mine if size[i]]
         for i in mine:
             keep[i] = sized[0] <= i <= sized[-1] or prose[i]
-    for lo, hi in runs:  # link-heavy prose beside a run
+        for i in _headed(lines, size, sized[-1], mine):
+            keep[i] = True
+    for lo, hi in runs:  # link-heavy prose beside a run, and links under a heading
+        for i in _headed(lines, size, hi, range(hi, len(lines))) if not main else []:
+            keep[i] = True
         while lo and prose[lo - 1] and not size[lo - 1]:
             lo -= 1
             keep[lo] = True

@@ -50,7 +50,8 @@ def test_articles_without_marks(spark, instead):
 
 
 def test_windows_decide_in_marked_articles():
-    assert main_text(f"<article><ul>{MENU}</ul><h1>Title</h1><p>{LONG}</p><p>End.</p><ul>{MENU}</ul></article>") == f"Title\n{LONG}\nEnd."
+    parts = "\n".join(f"Part {i}" for i in range(6))
+    assert main_text(f"<article><ul>{MENU}</ul><h1>Title</h1><p>{LONG}</p><p>End.</p><ul>{MENU}</ul></article>") == f"Title\n{LONG}\nEnd.\n{parts}"
     assert main_text(f"<article><p><a href=x>Part</a></p><p>{LONG}</p><ul>{MENU}</ul><p>It ends here.</p></article>").split("\n") == ["Part", LONG, *(f"Part {i}" for i in range(6)), "It ends here."]
 
 
