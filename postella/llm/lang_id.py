@@ -4,9 +4,9 @@ Each language has a zstandard raw-content dictionary made of learning documents.
 blocks with every dictionary, and the smallest sum of sizes names its language; on a tie the first by name. Where the
 runner-up is nearly as small, the verdict is marked as rejected.
 
-The dictionaries hold a bounded sample: of each language the first `docs_per_language` learning documents by
-a hash of their id, each whole; of one that has more than `bytes_per_doc` bytes, as many bytes in SPREAD pieces that are
-spread evenly from its start to its end. One pass over the learning documents finds them: a task keeps its first
+The dictionaries hold a bounded sample of labelled rows: of each language the first `docs_per_language` learning documents by
+a hash of their id, whole, as long as they have `bytes_per_language` bytes together; zstandard looks back no further. Documents
+that are longer alone teach nothing. One pass over the learning documents finds them: a task keeps its first
 few of each language. Predictions read whole texts, very long ones too.
 
 Rows: one per document row; rows that repeat an id or a text get equal results. A text that is null, empty or has no
@@ -31,8 +31,6 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes compressed at once.
 BLOCK = 2000
-#: Pieces of a long learning document.
-SPREAD = 16
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
@@ -40,15 +38,6 @@ def normalise(text: bytes) -> bytes:
     return b" ".join(text.translate(LETTERS).split())
 
 
-def excerpt(text: bytes, most: int) -> bytes:
-    """The normalised text, or pieces of it from start to end, of `most` bytes together."""
-    x = normalise(text)
-    if len(x) <= most:
-        return x
-    piece = max(most // SPREAD, 1)
-    return b" ".join(x[(len(x) - piece) * i // (SPREAD - 1) :][:piece] for i in range(SPREAD))
-
-
 class Model:
     """Dictionaries by language, in the order of names."""
 
@@ -77,8 +66,20 @@ class Model:
         return self.langs[at], float(p[at] / p.sum()), narrow
 
 
-def _sample(docs_per_language: int, bytes_per_doc: int):
-    """The task's first documents of each language by hash, as excerpts."""
+def _first(mine: list[tuple], docs: int, size: int) -> list[tuple]:
+    """The first of the rows in order that are so many and have so many bytes together, and the one that no longer fits, as
+    what comes after it doesn't count either."""
+    total = 0
+    mine = sorted(mine)[:docs]
+    for i, row in enumerate(mine):
+        total += len(row[-1])
+        if total > size:
+            return mine[: i + 1]
+    return mine
+
+
+def _sample(docs_per_language: int, bytes_per_language: int):
+    """The task's first documents of each language by hash."""
 
     def run(batches):
         kept: dict[str, list[tuple[int, int, bytes]]] = {}
@@ -88,11 +89,13 @@ def _sample(docs_per_language: int, bytes_per_doc: int):
             worst = {lang: mine[-1][:2] for lang, mine in kept.items() if len(mine) == docs_per_language}
             for i in range(len(langs)):
                 at = (int(h[i]), int(k[i]))
-                # two texts may share an id, and are then told apart by their excerpts
+                # two texts may share an id, and are then told apart by what they say
                 if langs[i] not in worst or at <= worst[langs[i]]:
-                    kept.setdefault(langs[i], []).append((*at, excerpt(b.column(3)[i].as_py().encode(), bytes_per_doc)))
+                    x = normalise(b.column(3)[i].as_py().encode())
+                    if len(x) <= bytes_per_language:
+                        kept.setdefault(langs[i], []).append((*at, x))
             for lang, mine in kept.items():
-                kept[lang] = sorted(mine)[:docs_per_language]
+                kept[lang] = _first(mine, docs_per_language, bytes_per_language)
         rows = [(h, k, lang, t) for lang, mine in kept.items() for h, k, t in mine]
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["h", "k", "lang", "t"])
@@ -100,23 +103,25 @@ def _sample(docs_per_language: int, bytes_per_doc: int):
     return run
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, docs_per_language: int, bytes_per_doc: int) -> list[tuple[str, bytes]]:
-    """The dictionaries; at most languages * docs_per_language excerpts go to the driver."""
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int, docs_per_language: int, bytes_per_language: int) -> list[tuple[str, bytes]]:
+    """The dictionaries; at most `bytes_per_language` for each language go to the driver, and back."""
     rows = pick(docs, k=(id_col, "long"), t=(text_col, "string"), lang=(lang_col, "string"))
     rows = rows.where(f"k is not null and t is not null and lang is not null and crc32(cast(k as string)) % {int(folds)} <> {int(fold)}")
-    found = rows.select(F.xxhash64("k").alias("h"), "k", "lang", "t").mapInArrow(_sample(docs_per_language, bytes_per_doc), "h long, k long, lang string, t binary")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k", "t"))  # of a few rows from each task
-    got = found.withColumn("nth", nth).where(F.col("nth") <= docs_per_language).orderBy("lang", "nth").collect()
+    found = rows.select(F.xxhash64("k").alias("h"), "k", "lang", "t").mapInArrow(_sample(docs_per_language, bytes_per_language), "h long, k long, lang string, t binary")
+    order = Window.partitionBy("lang").orderBy("h", "k", "t")  # of a few rows from each task
+    so_far = F.sum(F.octet_length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = found.withColumns({"nth": F.row_number().over(order), "size": so_far}).where((F.col("nth") <= docs_per_language) & (F.col("size") <= bytes_per_language))
+    got = first.orderBy("lang", "nth").collect()
     content: dict[str, list[bytes]] = {}
     for r in got:
         content.setdefault(r.lang, []).append(bytes(r.t))
     return [(lang, b" ".join(texts).ljust(8)) for lang, texts in sorted(content.items())]  # zstandard takes 8 bytes or more
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, docs_per_language: int = 64, bytes_per_doc: int = 32 << 10, margin: float = 0.02) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, docs_per_language: int = 64, bytes_per_language: int = 4 << 20, margin: float = 0.02) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected): held-out documents, those whose crc32(id as text) % folds
     == fold, teach nothing; score is the share of 2^-bytes; rejected says that the margin was narrow."""
-    dictionaries = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, folds, fold, docs_per_language, bytes_per_doc))
+    dictionaries = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, folds, fold, docs_per_language, bytes_per_language))
 
     def run(batches):
         model = Model(dictionaries.value)

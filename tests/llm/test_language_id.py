@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from postella.llm.lang_id import SPREAD, Model, _sample, excerpt, identify, learn, normalise
+from postella.llm.lang_id import Model, _first, _sample, identify, learn, normalise
 
 from .conftest import by_id
 
@@ -20,11 +20,9 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
 
-def test_excerpts_are_whole_or_spread_over_the_text():
-    assert excerpt(b"Short  TEXT.", 100) == b"short text"
-    text = b" ".join(b"%s" % (bytes([97 + i % 26]) * 3) + b"q" * (i // 100) for i in range(1000))
-    got = excerpt(text, 1600)
-    assert len(got) == 1600 + SPREAD - 1 and got.startswith(text[:100]) and got.endswith(text[-100:])
+def test_whole_rows_up_to_a_bound():
+    rows = [(3, 0, b"cc"), (1, 0, b"a" * 5), (2, 0, b"b" * 4), (4, 0, b"d")]
+    assert _first(rows, 4, 9) == [(1, 0, b"aaaaa"), (2, 0, b"bbbb"), (3, 0, b"cc")] and _first(rows, 1, 99) == [(1, 0, b"aaaaa")] and _first(rows, 4, 99) == sorted(rows)
 
 
 def test_sample_does_not_depend_on_batches():
@@ -34,9 +32,14 @@ def test_sample_does_not_depend_on_batches():
 
     def sample(step):
         batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + step]], schema=schema) for i in range(0, len(rows), step)]
-        return sorted(map(repr, (r for b in _sample(20, 100)(batches) for r in b.to_pylist())))
-
-    want = sorted(repr({"h": h, "k": k, "lang": lang, "t": excerpt(t.encode(), 100)}) for x in "ab" for h, k, lang, t in sorted(r for r in rows if r[2] == x)[:20])
+        return sorted(map(repr, (r for b in _sample(20, 300)(batches) for r in b.to_pylist())))
+
+    want = []
+    for x in "ab":
+        short = [(h, k, lang, normalise(t.encode())) for h, k, lang, t in sorted(rows) if lang == x and len(normalise(t.encode())) <= 300]
+        whole = [r for i, r in enumerate(short) if sum(len(y[3]) for y in short[:i]) <= 300][:20]
+        want += [repr(dict(zip(("h", "k", "lang", "t"), r, strict=True))) for r in whole]
+    want.sort()
     assert sample(500) == sample(7) == sample(1) == want
 
 
@@ -59,12 +62,12 @@ def test_long_repeated_and_clashing_rows(spark):
 def test_sample_and_predictions_of_the_table(spark, documents):
     rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
     h = {r.doc_id: r.h for r in documents.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
-    dictionaries = learn(documents, "doc_id", "text", "lang", 4, 2, 7, 500)
+    dictionaries = learn(documents, "doc_id", "text", "lang", 4, 2, 7, 20_000)
     for lang, content in dictionaries:
-        mine = sorted((h[d], d, t) for d, t, x in rows if x == lang and not held(d))[:7]
-        assert content == b" ".join(excerpt(t.encode(), 500) for _, _, t in mine)
+        mine = [normalise(t.encode()) for _, _, t in sorted((h[d], d, t) for d, t, x in rows if x == lang and not held(d) and len(normalise(t.encode())) <= 20_000)][:7]
+        assert content == b" ".join(t for i, t in enumerate(mine) if sum(map(len, mine[: i + 1])) <= 20_000)
     model = Model(dictionaries)
-    got = {r.doc_id: r for r in identify(documents, docs_per_language=7, bytes_per_doc=500).collect()}
+    got = {r.doc_id: r for r in identify(documents, docs_per_language=7, bytes_per_language=20_000).collect()}
     for d, t, _ in rows:
         size = [sum(len(c.compress(x)) for x in ([normalise(t.encode())[i : i + 2000] for i in range(0, len(normalise(t.encode())), 2000)] or [b""])) for c in model.with_]
         p = np.exp2(min(size) - np.array(size, float))
