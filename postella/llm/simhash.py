@@ -40,6 +40,8 @@ PIVOTS = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 CROWD = 32
 #: Places to which a component's members are dealt when they learn its name.
 SALTS = 16
+#: A fingerprint is hot with more rows than this, and than one in HOT_SHARE of all.
+HOT_LEAST, HOT_SHARE = 256, 4096
 #: Rounds with one reference member for each bucket; members compared together in later ones; pairs held at once.
 SINGLY, TOGETHER, PAIRS = 8, 256, 1 << 22
 
@@ -210,31 +212,37 @@ def near_fingerprints(fps: DataFrame, rows: int, parts: int, forest: bool = True
     return to_part(parts, fps.select("fp").mapInArrow(_to_buckets(masks, parts), PARTS_SQL), "part").mapInArrow(_link(masks, forest), "u long, v long")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, code of the text, fp), of each fingerprint (fp, least) the row that has the least id and then the
-    least code, and (fp, root) of those that are linked."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows (doc_id, code of the text, fp), of each fingerprint (fp, least, n) the row that has the least id and then the
+    least code, and how many have it, (fp, root) of those that are linked, and the number of rows."""
     rows = pick(docs, k=(id_col, "long"), t=(text_col, "string")).select("k", "t", F.xxhash64("t").alias("code"))
     n = partitions(rows, 64 << 20)
     marked = checkpoint(rows.mapInArrow(_fingerprint, "doc_id long, code long, fp long"))
-    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("least"))
-    links = near_fingerprints(least, marked.count(), n)
-    return marked, least, components(links).withColumnRenamed("node", "fp")
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("least"), F.count("*").alias("n"))
+    count = marked.count()
+    links = near_fingerprints(least, count, n)
+    return marked, least, components(links).withColumnRenamed("node", "fp"), count
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id): fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
-    marked, least, tied = _grouped(docs, id_col, text_col)
+    marked, least, tied, rows = _grouped(docs, id_col, text_col)
     linked = least.join(tied, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     # a component's name goes to as many places as a large component's members are dealt to
     named = linked.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.doc_id").alias("name"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
     of = least.join(linked.join(named, ["root", "salt"]).select("fp", "name", F.lit(True).alias("tied")), "fp", "left")
-    return marked.join(of.select("fp", F.when(F.col("tied"), F.col("name")).otherwise(F.col("least.doc_id")).alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint of very many rows, such as exact copies', meets its name in as many places; fewer than HOT_SHARE have so many
+    hot = F.broadcast(least.where(F.col("n") > max(HOT_LEAST, rows // HOT_SHARE)).select("fp", F.lit(True).alias("hot")))
+    places = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sent = of.join(hot, "fp", "left").select("fp", F.when(F.col("tied"), F.col("name")).otherwise(F.col("least.doc_id")).alias("component_id"), F.explode(places).alias("place"))
+    placed = marked.join(hot, "fp", "left").withColumn("place", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "code"), F.lit(SALTS)).cast("int")).otherwise(0))
+    return placed.join(sent, ["fp", "place"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, of one document of each component: that of the smallest id.
     Of rows that repeat its id and text one stays."""
-    marked, least, tied = _grouped(docs, id_col, text_col)
+    marked, least, tied, _ = _grouped(docs, id_col, text_col)
     of = least.join(tied, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
     first = of.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("k"), F.col("first.code").alias("code"))
     plain, names = flat(docs)

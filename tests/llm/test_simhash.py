@@ -136,3 +136,9 @@ def test_components_over_the_cluster(spark, shape):
     got = {r.node: r.root for r in components(spark.createDataFrame([(b - 30, a - 30) for a, b in edges], "u long, v long")).collect()}
     want = brute_components(n, edges)
     assert got == {i - 30: want[i] - 30 for i in range(n) if any(i in e and e[0] != e[1] for e in edges)}
+
+
+def test_fingerprints_of_very_many_rows(tricky, monkeypatch):
+    """Rows of hot fingerprints meet their names in several places, and get the same ones."""
+    monkeypatch.setattr(simhash, "HOT_LEAST", 1)
+    assert result(tricky) == brute(texts_of(tricky))
