@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import holm, with_hyper_tail
 from ..plans.atlas import Atlas
+from ..sources.shared import written
 from .lookup import resolve_genes, scoped
 from .markers import score
 
@@ -73,11 +74,10 @@ def signature(atlas: Atlas, cell_types: list[str], max_genes: int = 1000, min_ce
     ranked = score(atlas, names).withColumn("position", F.row_number().over(best)).where(F.col("position") <= max_genes).select(F.col("cell_type").alias("target"), "position", "gene")
     width = FIRST
     while True:
-        judged = _judged(atlas, ranked.where(F.col("position") <= width), len(names) * width, min_cells, max_pval).persist()
+        judged = written(_judged(atlas, ranked.where(F.col("position") <= width), len(names) * width, min_cells, max_pval), "signatures")
         longest = judged.agg(F.max("position")).first()[0] or 0
         if longest < width or width >= max_genes:
             return judged
-        judged.unpersist()
         width *= 4
 
 

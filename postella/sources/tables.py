@@ -145,6 +145,13 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Atlas:
     return Atlas(e.select("dataset", "cell_type", "cell_id", "gene", "value"), c, t, snapshot["qb"], s, g if len(snapshot["parts"]) == 1 else added_genes(g), b)
 
 
+def footprint(spark: SparkSession, path: str) -> DataFrame:
+    """(name, files, bytes): what the tables of a saved index take on disk, all snapshots' parts together."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    name = F.regexp_extract("path", "/([a-z_]+)/part=[^/]*/", 1)
+    return files.select(name.alias("name"), "length").groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 def to_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

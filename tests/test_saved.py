@@ -218,3 +218,10 @@ def test_an_empty_index(spark, tmp_path):
     assert b.datasets() == [] and lookup.gene_names(b).count() == 0 and boolean.find(b, ["A"]).count() == 0
     tables.append(mini(spark), str(tmp_path / "i"))
     assert load(spark, str(tmp_path / "i")).cells.agg(F.count("*")).first()[0] == 9
+
+
+def test_footprint(spark, a, tmp_path):
+    save(a, str(tmp_path / "i"))
+    got = {r.name: (r.files, r.bytes) for r in tables.footprint(spark, str(tmp_path / "i")).collect()}
+    want = {n: sum(f.stat().st_size for f in (tmp_path / "i" / n).rglob("*.parquet")) for n in tables.TABLES}
+    assert {n: b for n, (_, b) in got.items()} == want and all(n > 0 for n, _ in got.values())
