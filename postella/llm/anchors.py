@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Chunk, chunks, ids_of, in_part, mix, pack, partitions, pick, pick_with_rest, released, to_part, unpack
+from .common import NULL_ID, Chunk, chunks, ids_of, in_part, mix, pack, partitions, pick, pick_with_rest, released, to_part, unpack
 
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PARTS_SQL = "part int, kind int, blob binary"
@@ -527,19 +527,82 @@ def with_ranges(names: list[str], make: Callable[[np.ndarray, np.ndarray, list[b
     return run
 
 
+def run_rows(rows: DataFrame, spec: Spec, parts: int, hot: np.ndarray, repeated: np.ndarray) -> DataFrame:
+    """The packed runs of documents (k, t), and the ranges that their tasks know of."""
+    send = rows.sparkSession.sparkContext.broadcast
+    return rows.mapInArrow(run_mapper(spec, parts, send(hot), send(repeated)), PARTS_SQL)
+
+
+def resolved(runs: DataFrame, whole: DataFrame, spec: Spec, windows, schema_sql: str, make, parts: int, repeated: np.ndarray) -> DataFrame:
+    """Runs meet at their anchors' partitions, ranges and texts (k, t, more) at their documents' partitions."""
+    out = StructType.fromDDL(schema_sql)
+    for f in whole.schema.fields[2:]:
+        out.add(f.name, f.dataType)
+    ranges = to_part(parts, runs, "part").mapInArrow(resolver(spec, parts, windows), PARTS_SQL)
+    texts = whole.mapInArrow(text_mapper(parts, whole.sparkSession.sparkContext.broadcast(repeated)), PARTS_SQL)
+    return to_part(parts, ranges.union(texts), "part").mapInArrow(with_ranges(out.names, make), out)
+
+
 def deduplicate(docs: DataFrame, id_col: str, text_col: str, spec: Spec, windows, schema_sql: str, make, carry: bool = False) -> DataFrame:
     """The three steps: runs to their anchors' partitions, ranges and texts to their documents' partitions, results.
     carry: all columns of docs come along, named by position."""
     want = {"k": (id_col, "long"), "t": (text_col, "string")}
     rows = pick(docs, **want)
     whole = pick_with_rest(docs, **want)[0] if carry else rows
-    out = StructType.fromDDL(schema_sql)
-    for f in whole.schema.fields[2:]:
-        out.add(f.name, f.dataType)
-    n = partitions(rows, PARTITION)
-    send = docs.sparkSession.sparkContext.broadcast
-    hot, repeated = send(hot_anchors(rows, spec)), send(repeated_ids(rows))
-    runs = to_part(n, rows.mapInArrow(run_mapper(spec, n, hot, repeated), PARTS_SQL), "part")
-    ranges = runs.mapInArrow(resolver(spec, n, windows), PARTS_SQL)
-    texts = whole.mapInArrow(text_mapper(n, repeated), PARTS_SQL)
-    return to_part(n, ranges.union(texts), "part").mapInArrow(with_ranges(out.names, make), out)
+    n, repeated = partitions(rows, PARTITION), repeated_ids(rows)
+    return resolved(run_rows(rows, spec, n, hot_anchors(rows, spec), repeated), whole, spec, windows, schema_sql, make, n, repeated)
+
+
+def anonymous(spec: Spec):
+    """Packed runs and window hashes as those of one document before all others, each content of a task once."""
+
+    @released
+    def run(batches):
+        for b in batches:
+            for part, kind, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind == RUNS:
+                    r = Runs([blob], spec)
+                    yield _batch([(part, _nameless(r, np.arange(len(r.doc)), spec))], RUNS)
+                elif kind == HASHES:
+                    key = np.unique(unpack(blob)[0])
+                    yield _batch([(part, pack((key, np.full(len(key), NULL_ID), np.zeros(len(key), np.uint64), np.arange(len(key)))))], HASHES)
+
+    return run
+
+
+def _nameless(r: Runs, i: np.ndarray, spec: Spec) -> bytes:
+    """Some of the runs packed as one document's, each content once."""
+    content = list(r.content(i))
+    code = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(content))
+    _, one = np.unique(code, return_index=True)
+    at = i[one]
+    # windows of a run stand one after the other; runs are set apart so that none seems to go on from another
+    first = np.cumsum(r.n[at] + spec.length) - r.n[at] - spec.length
+    return pack(_packed(np.full(len(at), NULL_ID), np.zeros(len(at), np.uint64), first, r.n[at], r.off[at], (r.lo[1:] - r.lo[:-1])[at], b"".join([content[j] for j in one]), spec))
+
+
+def merged_levels(spec: Spec):
+    """Nameless runs and hashes of a partition put together, in as many rows as are opened at once."""
+
+    @released
+    def run(batches):
+        held: dict[tuple[int, int], list[bytes]] = {}
+        for b in batches:
+            for part, kind, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                held.setdefault((part, kind), []).append(blob)
+        for (part, kind), blobs in sorted(held.items()):
+            passes = sum(map(len, blobs)) // OPENED + 1
+            for p in range(passes):
+                if kind == HASHES:
+                    key = np.unique(np.concatenate([k[k % np.uint64(passes) == p] for k in (unpack(x)[0] for x in blobs)]))
+                    yield _batch([(part, pack((key, np.full(len(key), NULL_ID), np.zeros(len(key), np.uint64), np.arange(len(key)))))], HASHES)
+                    continue
+                masks = []
+                for x in blobs:
+                    r = Runs([x], spec)
+                    masks.append(np.fromiter((xxhash.xxh3_64_intdigest(c) % passes == p for c in r.content(np.arange(len(r.doc)))), bool, len(r.doc)))
+                r = Runs(blobs, spec, masks)
+                if len(r.doc):
+                    yield _batch([(part, _nameless(r, np.arange(len(r.doc)), spec))], RUNS)
+
+    return run
