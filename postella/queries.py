@@ -443,6 +443,7 @@ def _signature_query(name: str, kind: str, types: list[str] | None, *how) -> Non
 _signature_query("signature", "supplier", TYPES, 200, 1, 1.0)
 _signature_query("signature_default", "classes", None, 1000, 10, 0.0)
 _signature_query("signature_pval", "customer", TYPES, 30, 1, 0.05)
+_signature_query("signature_enriched", "supplier", None, 60, 1, 0.5)
 
 
 # similarity and mining
