@@ -49,8 +49,8 @@ def _by_bounds(atlas: Atlas, terms: list[str], datasets: list[str] | None, top_k
     never read, the others are counted exactly."""
     q = parse(list(terms), lambda names: resolve_genes(atlas, names))
     every = scoped(atlas, atlas.bitmaps, datasets)
-    if not q.genes or top_k < 1:
-        return atlas.spark.createDataFrame([], OUT)
+    if not q.genes or top_k < 1:  # no hits, which share nothing with any gene
+        return _by_entries(atlas, terms, datasets, top_k)
     hits = find_blocks(every, scoped(atlas, atlas.cell_types, datasets), q).persist()
     asked = _asked(atlas, terms)
     others = every.where(~F.col("gene").isin(asked)) if asked else every
