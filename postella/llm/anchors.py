@@ -6,8 +6,8 @@ Consecutive windows with the same anchor make a *run*. A map task sends each run
 once, to the partition of its anchor; whatever a task can decide itself (a run that it has
 already met earlier) is never sent, so a passage with millions of copies costs one row a task.
 In its partition a run that equals an earlier run is repeated as a whole; only runs that share an
-anchor and differ are opened, window by window, by the resolver of the operator. A partition with more than usual is read
-in passes over parts of its anchors, so what a task holds open doesn't follow the partition's size.
+anchor and differ are opened, window by window, by the resolver of the operator. A partition with more than usual is opened
+in passes over parts of its anchors; its packed rows are held meanwhile, so partitions are made of a fixed part of the input.
 
 Anchors that very many different runs share, as at the end of boilerplate, are found in a sample of documents. Their
 windows don't meet at the anchor: each is sent as a hash of its own content to that hash's partition, those that the task
