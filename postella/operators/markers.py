@@ -24,10 +24,12 @@ def _metrics(df: DataFrame) -> DataFrame:
     return df.withColumns({"precision": precision, "recall": F.try_divide(tp, tp + fn), "f1": F.when(tp > 0, 2 / (F.try_divide(tp + fp, tp) + F.try_divide(fn + tp, tp)))})
 
 
-def score(atlas: Atlas, cell_types: list[str], background: list[str] | None = None, genes: list[str] | None = None) -> DataFrame:
-    """A row for each gene that occurs in a target type. The target counts are taken off the background's
+def score(atlas: Atlas, cell_types: list[str], background: list[str] | None = None, genes: list[str] | DataFrame | None = None) -> DataFrame:
+    """A row for each gene that occurs in a target type, of those given where some are, as a list or a frame. The target counts are taken off the background's
     whether or not it is in there, so fp can be negative."""
-    s = atlas.support if genes is None else atlas.support.where(F.col("gene").isin(genes))
+    s = atlas.support
+    if genes is not None:
+        s = s.join(genes, "gene", "left_semi") if isinstance(genes, DataFrame) else s.where(F.col("gene").isin(genes))
     mine = s.where(F.col("cell_type").isin(cell_types)).join(atlas.cell_types.select("cell_type", "total_cells"), "cell_type")
     around = s if background is None else s.where(F.col("cell_type").isin(background))
     around = around.groupBy("gene").agg(F.sum("n_cells").alias("around"))
@@ -52,9 +54,14 @@ def top_markers(atlas: Atlas, cell_types: list[str], background: list[str] | Non
     return score(atlas, cell_types, background).orderBy(F.col(_sort_field(sort_field)).desc_nulls_last(), _asked(cell_types), "gene").limit(top_k)
 
 
-def evaluate(atlas: Atlas, genes: list[str], cell_types: list[str], background: list[str] | None = None, sort_field: str = "f1") -> DataFrame:
-    """Scores of the given genes, ascending, ties in the order of types asked, then genes; what isn't defined comes last."""
-    known = list(dict.fromkeys(resolve_genes(atlas, genes).values()))
+def evaluate(atlas: Atlas, genes: list[str] | DataFrame, cell_types: list[str], background: list[str] | None = None, sort_field: str = "f1") -> DataFrame:
+    """Scores of the given genes, ascending, ties in the order of types asked, then genes; what isn't defined comes last. Very many
+    genes are given as a frame with a column `gene`, which isn't read by the driver; unknown ones are left out."""
+    if isinstance(genes, DataFrame):
+        asked = genes.select(F.lower("gene").alias("lc"))
+        known = atlas.genes.join(asked, "lc", "left_semi").groupBy("lc").agg(F.min("gene").alias("gene")).select("gene")
+    else:
+        known = list(dict.fromkeys(resolve_genes(atlas, genes).values()))
     return score(atlas, cell_types, background, known).orderBy(F.col(_sort_field(sort_field)).asc_nulls_last(), _asked(cell_types), "gene")
 
 

@@ -300,11 +300,6 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, ROUND) for c in columns})
 
 
-def _in_order(df: DataFrame) -> DataFrame:
-    """The rows of a short result with their places in it, from 1."""
-    return df.limit(1000).withColumn("position", F.monotonically_increasing_id() + 1)
-
-
 @query(_hyper(_AND))
 def hyper_query(a):
     return _rounded(enrichment.hyper_query(a, B[1:3]), "pval")
@@ -360,12 +355,12 @@ def markers_by_recall(a):
 
 @query(f"SELECT row_number() OVER (ORDER BY f1 DESC, list_position([{_in(TYPES)}], cell_type), gene) AS position, cell_type, gene FROM ({_scores(TYPES)}) ORDER BY 1 LIMIT 12")
 def markers_topk_in_order(a):
-    return _in_order(markers.top_markers(a, TYPES, top_k=12)).select("position", "cell_type", "gene")
+    return display.in_order(markers.top_markers(a, TYPES, top_k=12)).select("position", "cell_type", "gene")
 
 
 @query(f"SELECT row_number() OVER (ORDER BY fn, list_position([{_in(TYPES)}], cell_type), gene) AS position, cell_type, gene FROM ({_scores(TYPES, where=f's.gene IN ({_in(B[1:9])})')})")
 def evaluate_markers_in_order(a):
-    return _in_order(markers.evaluate(a, B[1:9], TYPES, sort_field="fn")).select("position", "cell_type", "gene")
+    return display.in_order(markers.evaluate(a, B[1:9], TYPES, sort_field="fn")).select("position", "cell_type", "gene")
 
 
 #: Single parts come from few suppliers, so most of a type's aren't in its neighbour's.
@@ -375,13 +370,12 @@ _EXCLUSIVE = _scores([TYPE], "cell_type = 'ASIA.NATION_7'")
 @query(f"SELECT row_number() OVER (ORDER BY f1 DESC NULLS LAST, gene) AS position, gene, tp, fp, fn, isinf(precision) AS nothing_false, f1 FROM ({_EXCLUSIVE}) ORDER BY 1 LIMIT 50", "parts")
 def markers_exclusive(a):
     top = markers.top_markers(a, [TYPE], ["ASIA.NATION_7"], top_k=50)
-    return _rounded(_in_order(top), "f1").select("position", "gene", "tp", "fp", "fn", (F.col("precision") == float("inf")).alias("nothing_false"), "f1")
+    return _rounded(display.in_order(top), "f1").select("position", "gene", "tp", "fp", "fn", (F.col("precision") == float("inf")).alias("nothing_false"), "f1")
 
 
 @query(f"SELECT row_number() OVER (ORDER BY precision NULLS LAST, gene) AS position, gene FROM ({_EXCLUSIVE}) WHERE gene < 'P12'", "parts")
 def evaluate_exclusive_in_order(a):
-    genes = [r.gene for r in a.genes.where("gene < 'P12'").collect()]
-    return _in_order(markers.evaluate(a, genes, [TYPE], ["ASIA.NATION_7"], "precision")).select("position", "gene")
+    return display.in_order(markers.evaluate(a, a.genes.where("gene < 'P12'").select("gene"), [TYPE], ["ASIA.NATION_7"], "precision")).select("position", "gene")
 
 
 @query(_scores(TYPES, where=f"s.gene IN ({_in(B[1:4])})"))
@@ -466,7 +460,7 @@ def similar_genes_ops(a):
 
 @query(f"SELECT row_number() OVER (ORDER BY jaccard, gene) AS position, gene FROM ({_similar(_AND, B[1:3])})")
 def similar_genes_in_order(a):
-    return _in_order(similarity.similar_genes(a, B[1:3])).select("position", "gene")
+    return display.in_order(similarity.similar_genes(a, B[1:3])).select("position", "gene")
 
 
 def _tfidf(genes: list[str], where: str = "true") -> str:

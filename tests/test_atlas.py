@@ -447,3 +447,17 @@ def test_streaming_growth(spark, tmp_path):
     q.stop()
     assert load(spark, str(tmp_path / "out")).cells.count() == 9
     assert Manifest(spark, str(tmp_path / "out")).read()[1]["parts"] == ["batch-0000000000"]
+
+
+def test_places_of_a_long_ordered_result(spark):
+    # more rows than any limit on the way, in several parts; empty results have no places
+    many = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("x")).orderBy("x")
+    assert sorted((r.position, r.x) for r in display.in_order(many).collect()) == [(i + 1, i) for i in range(5000)]
+    assert display.in_order(many.where("x < 0")).count() == 0
+
+
+def test_genes_of_a_frame_are_evaluated_like_a_list(spark, a):
+    asked = ["a", "B", "C"]
+    frame = spark.createDataFrame([(g,) for g in [*asked, "none"]], "gene string")
+    want = markers.evaluate(a, asked, ["D1.T", "D1.U"], sort_field="recall").collect()
+    assert want and markers.evaluate(a, frame, ["D1.T", "D1.U"], sort_field="recall").collect() == want
