@@ -82,23 +82,29 @@ def signature(atlas: Atlas, cell_types: list[str], max_genes: int = 1000, min_ce
 
 
 def _judged(atlas: Atlas, ranked: DataFrame, rows: int, min_cells: int, max_pval: float) -> DataFrame:
-    """The ranked genes before the first at which each list ends. Every list is a prefix, so the length of each cell's unbroken
-    prefix, of which there is one for each target, tells its hits: all prefixes' are sums over lengths."""
-    met = atlas.expression.select("cell_type", "cell_id", "gene").join(F.broadcast(ranked) if rows <= SENT else ranked, "gene")
-    # a cell's n-th position is n as long as the prefix is unbroken
-    nth = F.row_number().over(Window.partitionBy("target", "cell_type", "cell_id").orderBy("position"))
-    lengths = met.withColumn("nth", nth).where("nth = position").groupBy("target", "cell_type", "cell_id").agg(F.max("position").alias("length"))
-    per = lengths.groupBy("target", "cell_type", "length").agg(F.count("*").alias("n"))
+    """The ranked genes before the first at which each list ends. Every list is a prefix, so the length of a cell's unbroken
+    prefix tells its hits: all prefixes' are sums over lengths. Cells of a type with the same ranked genes have the same
+    prefixes, so each set of genes is held against the lists once, and only against those whose first gene it has."""
+    lists = ranked.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "gene"))), lambda p: p["gene"]).alias("list")).withColumn("first", F.element_at("list", 1))
+    wanted = ranked.select("gene").distinct()
+    met = atlas.expression.select("cell_type", "cell_id", "gene").join(F.broadcast(wanted) if rows <= SENT else wanted, "gene", "left_semi")
+    sets = met.groupBy("cell_type", "cell_id").agg(F.array_sort(F.collect_list("gene")).alias("genes")).groupBy("cell_type", "genes").agg(F.count("*").alias("n"))
+    led = sets.withColumn("first", F.explode("genes")).join(lists, "first")
+    missing = F.get(F.array_except("list", "genes"), F.lit(0))  # what is left stands in the list's order
+    length = F.when(missing.isNull(), F.size("list")).otherwise(F.array_position("list", missing) - 1).cast("int")
+    per = led.select("target", "cell_type", length.alias("length"), "n").groupBy("target", "cell_type", "length").agg(F.sum("n").alias("n"))
     hits = per.select("target", "cell_type", "n", F.explode(F.sequence(F.lit(1), F.col("length"))).alias("position")).groupBy("target", "cell_type", "position").agg(F.sum("n").alias("x"))
     rows = hits.join(atlas.cell_types.select("cell_type", F.col("total_cells").alias("m")), "cell_type")
     step = Window.partitionBy("target", "position")
     rows = rows.withColumns({"k": F.sum("x").over(step), "u": F.sum("m").over(step)})
-    rows = with_hyper_tail(rows, "x", "m", "u", "k", "p")
+    # few rows, each a sum of many terms: dealt out, or they would be one task's
+    dealt = rows.repartition(int(atlas.spark.conf.get("spark.sql.shuffle.partitions")), "target", "position", "cell_type")
+    rows = with_hyper_tail(dealt, "x", "m", "u", "k", "p")
     n = atlas.cell_types.agg(F.count("*").alias("__n"))
     rows = holm(rows.join(F.broadcast(n)), "p", F.col("__n"), ["target", "position"])
-    own = rows.where(F.col("cell_type") == F.col("target")).select("target", "position", "x", "m", "p")
-    some = hits.select("target", "position").distinct().withColumn("some", F.lit(True))
-    judged = ranked.join(own, ["target", "position"], "left").join(some, ["target", "position"], "left")
+    own = F.max(F.when(F.col("cell_type") == F.col("target"), F.struct("x", "m", "p")))
+    found = rows.groupBy("target", "position").agg(own.alias("own"), F.lit(True).alias("some"))
+    judged = ranked.join(found, ["target", "position"], "left").select("target", "position", "gene", "own.x", "own.m", "own.p", "some")
     bad = F.col("some").isNotNull() & (F.col("x").isNull() | (F.col("p") > max_pval) | (F.col("x") < F.greatest(F.lit(min_cells), F.col("m"))))
     so_far = Window.partitionBy("target").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     return judged.withColumn("stop", F.max(bad.cast("int")).over(so_far)).where("stop = 0").select("target", "position", "gene")
