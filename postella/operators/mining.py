@@ -22,7 +22,7 @@ MASK_GENES = 32
 def tfidf(atlas: Atlas, genes: list[str], datasets: list[str] | None = None) -> DataFrame:
     """(gene, tfidf): a gene's share of reads summed over its cells, times (cells in the datasets) / (its cells anywhere)."""
     total = scoped(atlas, atlas.cell_types, datasets).agg(F.sum("total_cells").alias("__total"))
-    e = query_genes(atlas, genes, datasets).join(atlas.cells.select(*KEY, "reads"), KEY)
+    e = query_genes(atlas, genes, datasets).join(scoped(atlas, atlas.cells, datasets).select(*KEY, "reads"), KEY)
     per = e.groupBy("gene").agg(F.sum(F.col("value") / F.col("reads")).alias("tf"))
     reads = atlas.genes.where(F.col("gene").isin(list(genes)))
     return per.join(reads, "gene").join(F.broadcast(total)).select("gene", (F.col("tf") * F.col("__total") / F.col("total_reads")).alias("tfidf"))
