@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.atlas import Atlas
 from ..sources.shared import written
 from .bitmaps import KEY as BLOCK
-from .bitmaps import SLICE, bitmaps_of
+from .bitmaps import SLICE, WHOLE, bitmaps_of
 from .display import signif
 from .lookup import query_genes, resolve_genes, scoped
 
@@ -54,7 +54,7 @@ def _all_sets(atlas: Atlas, genes: list[str], datasets: list[str] | None, cutoff
     counts. Only frequent sets grow, each by later frequent genes, so every set is made once and none that a part of it rules out.
     A level is written to the shared folder, and goes when the next one is there."""
     number = F.element_at(F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(1 << i).cast("long"))]), F.col("gene"))
-    single = scoped(atlas, bitmaps_of(atlas), datasets).where(F.col("gene").isin(genes)).select(number.alias("s"), *BLOCK, "bits", "n")
+    single = scoped(atlas, bitmaps_of(atlas), datasets).where(F.col("gene").isin(genes)).select(number.alias("s"), *BLOCK, F.expr(WHOLE).alias("bits"), "n")
 
     def frequent(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts = rows.groupBy("s").agg(F.sum("n").alias("n_cells")).where(F.col("n_cells") >= cutoff)
