@@ -101,7 +101,8 @@ def frequent_sets(atlas: Atlas, genes: list[str], datasets: list[str] | None = N
     else:
         from pyspark.ml.fpm import FPGrowth
 
-        t = transactions(atlas, genes, datasets).where(F.size("items") > 1).select("items")
+        # counted, and read by the fit: made once
+        t = written(transactions(atlas, genes, datasets).where(F.size("items") > 1).select("items"), "transactions")
         n = t.count()
         if not n:
             return atlas.spark.createDataFrame([], "query string, items array<string>, n_cells long")
