@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,37 @@ def of_entries(expression: DataFrame, dealt: int | None = None) -> DataFrame:
     return made.select(*key, F.expr("substring(bits, 1, cast(last div 8 as int) + 1)").alias("bits"), "n")
 
 
+def of_ordered(entries: DataFrame, dealt: int) -> DataFrame:
+    """As `of_entries`, of entries that stand in the order of genes, types and cells, as a saved index has them. Bitmaps are made
+    of runs, batch by batch, so no task sorts what it reads; those that a batch's end cuts are united in so many tasks."""
+    key = ["gene", "cell_type", "dataset", "block"]
+    rows = entries.select("gene", "cell_type", "dataset", F.bitmap_bucket_number("cell_id").alias("block"), F.bitmap_bit_position("cell_id").cast("int").alias("at"))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column("at").to_numpy()
+            new = np.arange(b.num_rows) == 0
+            for c in key:
+                column = b.column(c)
+                new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            row, n, last = np.cumsum(new) - 1, np.diff(first, append=b.num_rows), np.maximum.reduceat(at, first)
+            for i in range(0, len(first), SLICE):
+                some = first[i : i + SLICE]
+                span = slice(some[0], some[-1] + n[i + len(some) - 1])
+                bits = np.zeros((len(some), BYTES), np.uint8)
+                np.bitwise_or.at(bits, (row[span] - i, at[span] >> 3), np.left_shift(1, at[span] & 7).astype(np.uint8))
+                cut = [x[: end // 8 + 1].tobytes() for x, end in zip(bits, last[i : i + SLICE])]
+                take = pa.array(some)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in key], pa.array(cut, pa.binary()), pa.array(last[i : i + SLICE], pa.int32()), pa.array(n[i : i + SLICE], pa.int64())], names=[*key, "bits", "last", "n"])
+
+    made = rows.mapInArrow(run, "gene string, cell_type string, dataset string, block long, bits binary, last int, n long").repartition(dealt, *key)
+    whole = made.groupBy(*key).agg(F.bitmap_or_agg(F.expr(WHOLE)).alias("bits"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return whole.select(*key, F.expr("substring(bits, 1, cast(last div 8 as int) + 1)").alias("bits"), "n")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Bitmaps as rows of bytes; null as zeros, as what is left out at an end."""
     return np.frombuffer(b"".join([(v or b"").ljust(BYTES, b"\0") for v in column.to_pylist()]), np.uint8).reshape(-1, BYTES)
