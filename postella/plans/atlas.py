@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import tasks_for
+from ..sources.shared import tasks_for, written
 
 VERSION = 2
 
@@ -119,45 +119,52 @@ def key_block(annotation: DataFrame, key: str) -> Column:
     return F.shiftright(number - first, max(0, (last - first).bit_length() - (n >> BLOCK_BITS).bit_length()))
 
 
-def number_cells(annotation: DataFrame, key: str, block: Column | None = None) -> DataFrame:
+def number_cells(annotation: DataFrame, key: str, block: Column | None = None, tasks: int | None = None) -> DataFrame:
     """cell_id: a cell's position from 1 in its type, in the order of the key. Keys are cut into
-    blocks, so that a type with a great part of all cells is numbered by many tasks."""
+    blocks, so that a type with a great part of all cells is numbered by many tasks, of which there may be more the more cells."""
     if block is None:
         block = key_block(annotation, key)
     cut = annotation.withColumn("__b", block)
     before = Window.partitionBy("cell_type").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     shift = cut.groupBy("cell_type", "__b").agg(F.count("*").alias("__n")).select("cell_type", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     nth = F.row_number().over(Window.partitionBy("cell_type", "__b").orderBy(key))
-    return cut.withColumn("__nth", nth).join(shift, ["cell_type", "__b"]).withColumn("cell_id", (F.col("__nth") + F.col("__shift")).cast("long")).drop("__b", "__nth", "__shift")
+    dealt = cut.repartition(tasks, "cell_type", "__b") if tasks else cut
+    return dealt.withColumn("__nth", nth).join(shift, ["cell_type", "__b"]).withColumn("cell_id", (F.col("__nth") + F.col("__shift")).cast("long")).drop("__b", "__nth", "__shift")
 
 
-def _check_annotation(annotation: DataFrame, by: list[str]) -> None:
+def _check_annotation(annotation: DataFrame, by: list[str], tasks: int) -> None:
     """Datasets need plain names, and a cell's key must stand once."""
     if bad := annotation.where("dataset is null or dataset = '' or contains(dataset, '.')").select("dataset").limit(1).collect():
         check_dataset_name(bad[0].dataset)
-    if twice := annotation.groupBy(*by).count().where("count > 1").limit(1).collect():
+    if twice := annotation.select(*by).repartition(tasks, *by).groupBy(*by).count().where("count > 1").limit(1).collect():
         of = ", ".join(str(twice[0][c]) for c in by)
         raise ValueError(f"cell {of} stands more than once" + ("" if "dataset" in by else "; entries need a column `dataset` where cells of several datasets share names"))
 
 
-def build(annotation: DataFrame, entries: DataFrame, qb: int = 2, least_cells: int = 2) -> Atlas:
+def build(annotation: DataFrame, entries: DataFrame, qb: int = 2, least_cells: int = 2, write_cells: bool = False) -> Atlas:
     """annotation(dataset, label, cell, ...) has a row for each cell; entries(dataset, cell, gene, value) one for each
     measured value, whose repeats are summed. Datasets name their cells apart: a cell is known by dataset and name. Entries
     without a column `dataset` are those of the cell's only dataset. A cell that stands twice is an error. Types of fewer than
-    `least_cells` cells are left out."""
+    `least_cells` cells are left out. Cells are checked, counted and numbered apart; with `write_cells` the annotation is written to
+    the shared folder first, so that what it comes from is read once."""
+    if write_cells:
+        annotation = written(annotation, "cells")
     by = ["dataset", "cell"] if "dataset" in entries.columns else ["cell"]
-    _check_annotation(annotation, by)
-    named = annotation.select("dataset", "label", "cell", F.concat_ws(".", "dataset", "label").alias("cell_type"))
-    types = named.groupBy("cell_type").agg(F.first("dataset").alias("dataset"), F.first("label").alias("label"), F.count("*").alias("total_cells")).where(F.col("total_cells") >= least_cells)
-    kept = number_cells(named.join(types.select("cell_type"), "cell_type", "left_semi"), "cell")
     tasks = tasks_for(annotation, entries)
-    dealt = entries.where("value is not null").repartition(max(tasks, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+    n = max(tasks, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    _check_annotation(annotation, by, n)
+    named = annotation.select("dataset", "label", "cell", F.concat_ws(".", "dataset", "label").alias("cell_type"))
+    types = named.groupBy("cell_type", "dataset", "label").agg(F.count("*").alias("total_cells")).where(F.col("total_cells") >= least_cells)
+    kept = number_cells(named.join(types.select("cell_type"), "cell_type", "left_semi"), "cell", tasks=n)
+    dealt = entries.where("value is not null").repartition(n, *by)
     summed = dealt.groupBy(*by, "gene").agg(F.sum("value").cast("double").alias("value")).where("value > 0")
-    expression = summed.join(kept, by).select("dataset", "cell_type", "cell_id", "gene", "value")
+    expression = summed.join(kept.hint("merge"), by).select("dataset", "cell_type", "cell_id", "gene", "value")
 
     def counted(expression: DataFrame) -> DataFrame:
-        per_cell = expression.groupBy("cell_type", "cell_id").agg(F.sum("value").alias("reads"), F.count("*").alias("features"))
-        return kept.join(per_cell, ["cell_type", "cell_id"], "left").select("dataset", "cell_type", "cell_id", F.coalesce("reads", F.lit(0.0)).alias("reads"), F.coalesce("features", F.lit(0)).cast("long").alias("features"))
+        """Every cell counts as a row of nothing, so sums tell those without values too."""
+        key = ["dataset", "cell_type", "cell_id"]
+        none = kept.select(*key, F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("n"))
+        return none.union(expression.select(*key, "value", F.lit(1).cast("long").alias("n"))).groupBy(*key).agg(F.sum("value").alias("reads"), F.sum("n").alias("features"))
 
     return Atlas(expression, counted(expression), types, qb, numbered=kept, counted=counted, tasks=tasks)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bitmaps import THIN, of_entries
+from ..operators.bitmaps import THIN, of_entries, of_ordered
 from ..plans.atlas import VERSION, Atlas, added_genes, build, check_dataset_name, check_types_apart, merge
 from .manifest import Manifest
 from .shared import tasks_for, written
@@ -41,19 +41,20 @@ def merge_wide(atlas: Atlas, wide: DataFrame, dataset: str, **kw) -> Atlas:
 
 def from_long(long: DataFrame, qb: int = 2) -> Atlas:
     """(dataset, label, cell, gene, value), where a cell without values stands once with a null gene. Cells and entries are both
-    taken from it, more than once, so it is written first: what it comes from is read once."""
+    taken from it, more than once, so it is written first, and its cells by `build`: what either comes from is read once."""
     long = written(long.select("dataset", "label", "cell", "gene", "value"), "long")
-    return build(long.select("dataset", "label", "cell").distinct(), long.where("gene is not null").select("dataset", "cell", "gene", "value"), qb)
+    return build(long.select("dataset", "label", "cell").distinct(), long.where("gene is not null").select("dataset", "cell", "gene", "value"), qb, write_cells=True)
 
 
 def _write_part(atlas: Atlas, path: str, part: str) -> None:
     """Entries and bitmaps are laid out by dataset and in the order of genes: a query reads the datasets and genes that it names.
-    They are dealt by range, so a gene of very many cells is more than one task's, among more tasks the more there is. What is derived from the entries is made of
+    They are dealt by range, so a gene of very many cells is more than one task's, among more tasks the more there is; their
+    order begins with the dataset, or the write would sort by that alone. What is derived from the entries is made of
     those just written, unless the index has it."""
     spark = atlas.spark
     at = lambda name: f"{path}/{name}/part={part}"
     n = atlas.tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    atlas.expression.repartitionByRange(n, "dataset", "gene", "cell_type", "cell_id").sortWithinPartitions("gene", "cell_type", "cell_id").write.mode("overwrite").partitionBy("dataset").parquet(at("expression"))
+    atlas.expression.repartitionByRange(n, "dataset", "gene", "cell_type", "cell_id").sortWithinPartitions("dataset", "gene", "cell_type", "cell_id").write.mode("overwrite").partitionBy("dataset").parquet(at("expression"))
     for name in ("cells", "cell_types"):
         getattr(atlas, name).write.mode("overwrite").parquet(at(name))
     entries = _read(spark, path, [part], "expression")
@@ -61,8 +62,8 @@ def _write_part(atlas: Atlas, path: str, part: str) -> None:
     bitmaps = atlas.bitmaps
     if bitmaps is None:
         counts = atlas.supports if atlas.supports is not None else entries.groupBy("gene", "cell_type").agg(F.count("*").alias("n_cells"))
-        bitmaps = of_entries(entries, n if (counts.agg(F.avg("n_cells")).first()[0] or 0) < THIN else None)
-    bitmaps.repartitionByRange(n, "dataset", "gene", "cell_type", "block").sortWithinPartitions("gene", "cell_type", "block").write.mode("overwrite").partitionBy("dataset").option("compression", "zstd").parquet(at("bitmaps"))
+        bitmaps = (of_entries if (counts.agg(F.avg("n_cells")).first()[0] or 0) < THIN else of_ordered)(entries, n)
+    bitmaps.repartitionByRange(n, "dataset", "gene", "cell_type", "block").sortWithinPartitions("dataset", "gene", "cell_type", "block").write.mode("overwrite").partitionBy("dataset").option("compression", "zstd").parquet(at("bitmaps"))
     counted = _read(spark, path, [part], "bitmaps").groupBy("gene", "cell_type", "dataset").agg(F.sum("n").alias("n_cells"))
     counted.repartitionByRange(n, "gene", "cell_type").sortWithinPartitions("gene", "cell_type").write.mode("overwrite").parquet(at("support"))
     genes = _read(spark, path, [part], "support").groupBy("gene").agg(F.sum("n_cells").alias("total_reads")).select("gene", F.lower("gene").alias("lc"), "total_reads")
@@ -178,7 +179,8 @@ def driver_atlas(spark: SparkSession, sf_dir: str, kind: str = "orders") -> Atla
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    sold = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    # parts and customers grow with the tables too, so neither is broadcast by way of the driver
+    sold = line.join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
     n = max(tasks_for(line), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def of_orders(rows: DataFrame) -> DataFrame:
@@ -188,11 +190,11 @@ def driver_atlas(spark: SparkSession, sf_dir: str, kind: str = "orders") -> Atla
     if kind == "barcodes":
         nations = place.select(F.col("n_nationkey").alias("s_at"), F.col("label").alias("gene"))
         by = _table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("s_at")).select("s_suppkey", "gene")
-        whose = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "dataset")
+        whose = orders.join(customer.hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "dataset")
         long = of_orders(whose).join(by, F.col("l_suppkey") == F.col("s_suppkey"))
         return from_long(long.select("dataset", F.col("p_brand").alias("label"), F.col("l_partkey").alias("cell"), "gene", F.col("l_quantity").alias("value")))
     if kind == "orders":
-        cells = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("cell"), F.col("c_nationkey").alias("at"))
+        cells = orders.join(customer.hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("cell"), F.col("c_nationkey").alias("at"))
         entries = sold.select(F.col("l_orderkey").alias("cell"), F.col("p_brand").alias("gene"), F.col("l_quantity").alias("value"))
     elif kind in ("customer", "classes"):
         gene = F.col("p_brand") if kind == "customer" else F.concat(F.lit("class"), (F.col("p_size") % 8).cast("string"))
@@ -204,7 +206,7 @@ def driver_atlas(spark: SparkSession, sf_dir: str, kind: str = "orders") -> Atla
         entries = sold.select(F.col("l_suppkey").alias("cell"), gene.alias("gene"), F.col("l_quantity").alias("value"))
     else:
         raise ValueError(f"no atlas {kind!r}")
-    return build(cells.join(place, F.col("at") == F.col("n_nationkey")).select("dataset", "label", "cell"), entries)
+    return build(cells.join(place, F.col("at") == F.col("n_nationkey")).select("dataset", "label", "cell"), entries, write_cells=True)
 
 
 def driver_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postella import build, load, save
-from postella.operators import bitmaps, boolean, specificity
+from postella.operators import bitmaps, boolean, mining, specificity
+from postella.plans import atlas
 from postella.plans.atlas import Atlas
 from postella.sources import shared, tables
 
@@ -106,3 +107,78 @@ def test_a_thin_index_is_saved_whole(spark, tmp_path):
     assert again.bitmaps.agg(F.max(F.octet_length("bits"))).first()[0] <= 20
     assert sorted(map(tuple, again.expression.collect())) == sorted(map(tuple, one.expression.collect()))
     assert again.support.agg(F.sum("n_cells")).first()[0] == again.expression.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("kind", ["barcodes", "orders"])
+def test_cells_are_written_once(spark, kind):
+    one = tables.driver_atlas(spark, SF, kind)
+    assert one.numbered.inputFiles() and all("/cells/" in f for f in one.numbered.inputFiles())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_parts_and_customers_are_not_broadcast(spark, monkeypatch):
+    cells = []
+    monkeypatch.setattr(atlas, "written", lambda df, name: cells.append(df) or df)
+    one = tables.driver_atlas(spark, SF, "orders")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (cells[0], one.expression)]
+    assert re.search(r"ShuffledHashJoin \[o_custkey#\d+L\], \[c_custkey#\d+L\]", plans[0])
+    assert re.search(r"ShuffledHashJoin \[l_partkey#\d+L\], \[p_partkey#\d+L\]", plans[1])
+
+
+def test_numbering_follows_the_input(spark, monkeypatch):
+    annotation, entries = cells_and_entries(spark)
+    monkeypatch.setattr(atlas, "tasks_for", lambda *frames: 23)
+    one = build(annotation, entries)
+    assert "hashpartitioning(cell_type" in (plan := one.numbered._jdf.queryExecution().executedPlan().toString()) and ", 23)" in plan
+    assert "SortAggregate" not in one.cell_types._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_without_values_are_counted(spark):
+    annotation, entries = cells_and_entries(spark, 40)
+    one = build(annotation, entries.where("cell % 3 = 0"))
+    got = {(r.dataset, r.cell_id): (r.reads, r.features) for r in one.cells.collect()}
+    assert len(got) == 40 and all(got["D" if c % 2 == 0 else "E", c // 2 + 1] == ((c % 5 + 1.0, c % 5 + 1) if c % 3 == 0 else (0.0, 0)) for c in range(40))
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_bitmaps_of_a_saved_index_are_made_without_a_sort(spark, tmp_path, monkeypatch, batch):
+    annotation = spark.range(70_000).selectExpr("if(id < 3, 'D', 'E') dataset", "if(id % 9 = 0, 'T', 'U') label", "id cell")
+    entries = annotation.where("cell < 400 or cell > 69900").selectExpr("dataset", "cell", "explode(sequence(0, cast(cell % 5 as int))) g").selectExpr("dataset", "cell", "concat('g', g) gene", "1.0 value")
+    one = build(annotation, entries).persist()
+    want = sorted(map(tuple, bitmaps.of_entries(one.expression).collect()))
+    assert len({r[3] for r in want}) > 1
+    monkeypatch.setattr(tables, "THIN", 0)
+    monkeypatch.setattr(tables, "of_entries", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        save(one, str(tmp_path / "i"))
+        got = load(spark, str(tmp_path / "i")).bitmaps.select("gene", "cell_type", "dataset", "block", "bits", "n")
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        one.unpersist()
+
+
+def test_transactions_are_made_once(spark, monkeypatch):
+    annotation, entries = cells_and_entries(spark)
+    one, names = build(annotation, entries).persist(), []
+    monkeypatch.setattr(mining, "written", lambda df, name: names.append(name) or shared.written(df, name))
+    got = sorted((r.query, r.n_cells) for r in mining.frequent_sets(one, ["g2", "g3", "g4"]).collect())
+    assert got == [("g2,g3", 120), ("g2,g3,g4", 60), ("g2,g4", 60), ("g3,g4", 60)] and names == ["transactions"]
+    one.unpersist()
+
+
+def test_saved_entries_stand_in_order(spark, tmp_path):
+    annotation, entries = cells_and_entries(spark)
+    save(build(annotation, entries), str(tmp_path / "i"))
+    again = load(spark, str(tmp_path / "i")).expression
+    for f in again.inputFiles():
+        rows = [(r.gene, r.cell_type, r.cell_id) for r in spark.read.parquet(f).coalesce(1).collect()]
+        assert rows == sorted(rows)
+
+
+def test_numbered_cells_are_not_broadcast(spark):
+    annotation, entries = cells_and_entries(spark)
+    plan = build(annotation, entries, write_cells=True).expression._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[cell#\d+L\], \[cell#\d+L\]", plan)
