@@ -181,4 +181,4 @@ def test_saved_entries_stand_in_order(spark, tmp_path):
 def test_numbered_cells_are_not_broadcast(spark):
     annotation, entries = cells_and_entries(spark)
     plan = build(annotation, entries, write_cells=True).expression._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"SortMergeJoin \[cell#\d+L\], \[cell#\d+L\]", plan)
+    assert re.search(r"SortMergeJoin \[dataset#\d+, cell#\d+L\], \[dataset#\d+, cell#\d+L\]", plan)
