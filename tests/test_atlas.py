@@ -428,6 +428,22 @@ def test_intervals_over_bins(spark, monkeypatch):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_pairs_of_intervals_are_dealt_to_tasks(spark, monkeypatch):
+    """One file of peaks and one of regions, all in a few bins, make far more pairs than rows: no task has them all, nothing is broadcast."""
+    monkeypatch.setattr(intervals, "TASK_PAIRS", 1 << 14, raising=False)
+    monkeypatch.setattr(intervals, "TILE_BITS", 4, raising=False)
+    peaks = spark.range(400).coalesce(1).select(F.format_string("chr1_%d_%d", F.col("id") * 10, F.col("id") * 10 + 5).alias("gene"))
+    asked = spark.range(400).coalesce(1).select(F.format_string("r%d", "id").alias("input"), F.lit("chr1").alias("q_chromosome"), F.col("id").alias("q_start"), (F.col("id") * 9 + 1000).alias("q_end"))
+    found = intervals.peaks_in(peaks, asked)
+    want = sorted((f"r{i}", f"chr1_{s}_{s + 5}") for i in range(400) for s in range(0, 4000, 10) if s >= i and s + 5 <= i * 9 + 1000)
+    assert rows(found, "input", "gene") == want
+    dealt = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(dealt) > 4 and max(dealt) < len(want) / 3
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    backward = spark.createDataFrame([("chr1_250_150",)], "gene string")
+    assert rows(intervals.peaks_in(backward, spark.createDataFrame([("r", "chr1", 100, 200)], asked.schema)), "input", "gene") == [("r", "chr1_250_150")]
+
+
 def test_display(spark, a):
     umap = a.cells.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
     assert sum(r.hit for r in display.umap_hits(umap, boolean.find(a, ["A", "B"]), ["D1.T"]).collect()) == 2
