@@ -31,12 +31,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 TASK_BYTES = 8 << 20
 
 
+def _leaf_bytes(plan) -> int:
+    """Bytes that the leaves of a plan have. What is kept but not made yet has only an estimate, the product of what it joins, so
+    what it reads counts instead; what has no known size says nothing."""
+    leaves, total = plan.collectLeaves(), 0
+    for leaf in map(leaves.apply, range(leaves.size())):
+        if leaf.nodeName() == "InMemoryRelation" and not leaf.cacheBuilder().isCachedColumnBuffersLoaded():
+            total += _leaf_bytes(leaf.cacheBuilder().logicalPlan())
+        elif (n := int(str(leaf.stats().sizeInBytes()))) < 1 << 60:
+            total += n
+    return total
+
+
 def tasks_for(*frames: DataFrame) -> int:
     """Tasks among which the rows of the frames are dealt, by the size of the files and tables that they read, so that no task
     grows with the input."""
-    total = 0
-    for df in frames:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-        total = max(total, sum(n for n in sizes if n < 1 << 60))  # what has no known size says nothing
+    total = max((_leaf_bytes(df._jdf.queryExecution().optimizedPlan()) for df in frames), default=0)
     return max(1, math.ceil(total / TASK_BYTES))

@@ -66,6 +66,17 @@ def test_tasks_follow_the_input(spark, tmp_path, monkeypatch):
     assert shared.tasks_for(x) >= 8 and shared.tasks_for(x, x.where("id < 5")) == shared.tasks_for(x)
 
 
+def test_tasks_of_kept_frames_not_made_yet(spark, tmp_path):
+    """Until it is made a kept frame has the product of what it joins for an estimate; what it reads counts."""
+    spark.range(1000).write.parquet(f"{tmp_path}/x")
+    frames = [spark.read.parquet(f"{tmp_path}/x").select(F.col("id").alias(c)) for c in "abcd"]
+    kept = frames[0].crossJoin(frames[1]).crossJoin(frames[2]).crossJoin(frames[3]).persist()
+    try:
+        assert shared.tasks_for(kept) == shared.tasks_for(kept.where("a < 5")) == 1
+    finally:
+        kept.unpersist()
+
+
 def test_signatures_are_judged_by_sets_of_genes(spark):
     annotation, entries = cells_and_entries(spark)
     one = build(annotation, entries).persist()
